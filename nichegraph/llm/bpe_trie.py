@@ -16,15 +16,15 @@ import hashlib
 import json
 import os.path
 import unicodedata
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pandas as pd
 import regex
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from . import shared
 
-SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 #: Words whose encodings a task keeps, and characters of text that it encodes at once.
 KEPT_WORDS, CHARS = 400_000, 8_000_000
 
@@ -166,33 +166,31 @@ class Vocabulary:
 
 def encoded(docs: DataFrame, path: str | None = None) -> DataFrame:
     """(doc_id, ids string, decoded string) per document, null texts as empty: the operator's real output."""
-    return _mapped(docs, path, "doc_id long, ids string, decoded string", lambda i, a, b: (i, a, b))
+    return _mapped(docs, path, "ids string, decoded string", lambda a, b: (a, b))
 
 
 def digests(docs: DataFrame, path: str | None = None) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256) per document, null texts as empty. Repeated rows stay."""
     sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
-    return _mapped(docs, path, SCHEMA, lambda i, a, b: (i, a.count(" ") + 1 if a else 0, sha(a), sha(b)))
+    return _mapped(docs, path, "n_tokens long, ids_sha256 string, decoded_sha256 string", lambda a, b: (a.count(" ") + 1 if a else 0, sha(a), sha(b)))
 
 
-def _mapped(docs: DataFrame, path: str | None, schema: str, row) -> DataFrame:
+def _mapped(docs: DataFrame, path: str | None, schema: str, row: Callable[[str, str], tuple]) -> DataFrame:
     path = path or default_path()
     names = [f.split()[0] for f in schema.split(", ")]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    @F.pandas_udf(schema)
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         vocabulary = Vocabulary(path)
-        for batch in batches:
-            ids, texts = batch["doc_id"].tolist(), batch["text"].tolist()
-            start = 0
-            while start < len(texts):
-                end, chars = start, 0
-                while end < len(texts) and (end == start or chars + len(texts[end]) <= CHARS):
-                    chars += len(texts[end])
-                    end += 1
-                rows = [row(i, a, b) for i, (a, b) in zip(ids[start:end], vocabulary.encode(texts[start:end]), strict=True)]
-                out = pd.DataFrame(rows, columns=names)
-                out["doc_id"] = pd.array([None if i is None or i != i else int(i) for i in out["doc_id"]], dtype="Int64")
-                yield out
-                start = end
-
-    return shared.texts(docs).mapInPandas(run, schema)
+        for texts in batches:
+            rows, some, chars = [], [], 0
+            for t in [*texts, None]:
+                if some and (t is None or chars + len(t) > CHARS):
+                    rows += [row(a, b) for a, b in vocabulary.encode(some)]
+                    some, chars = [], 0
+                if t is not None:
+                    some.append(t)
+                    chars += len(t)
+            yield pd.DataFrame(rows, columns=names)
+
+    return shared.texts(docs).select("doc_id", run("text").alias("out")).select("doc_id", "out.*")

@@ -14,8 +14,9 @@ from pyspark.sql import functions as F
 from . import shared
 
 DIMENSIONS = ["source", "lang", "topic"]
-#: Exponent of the default targets: shares of a dimension's values are tempered by it.
-TEMPER, SWEEPS, TOLERANCE, MOST_SWEEPS, ONE_TASK = 0.7, 10, 1e-6, 200, 50_000
+#: Exponents of the default targets: shares of a dimension's values are tempered by it; 1 holds them as they are.
+TEMPER = {"source": 0.7, "lang": 0.7, "topic": 1.0}
+SWEEPS, TOLERANCE, MOST_SWEEPS, ONE_TASK = 10, 1e-6, 200, 50_000
 
 
 def topic(text: Column) -> Column:
@@ -45,11 +46,11 @@ def cells_of(docs: DataFrame) -> DataFrame:
     return shared.written(described(docs).groupBy(*keys).agg(F.sum("_tokens").alias("tokens"), F.count("*").alias("documents")))
 
 
-def default_targets(cells: DataFrame, temper: float = TEMPER) -> dict[str, DataFrame]:
+def default_targets(cells: DataFrame, temper: dict[str, float] = TEMPER) -> dict[str, DataFrame]:
     """For each dimension (value, share): its values' shares of tokens, tempered and brought to sum 1."""
     out = {}
     for d in DIMENSIONS:
-        t = cells.groupBy(F.col(d).alias("value")).agg(F.pow(F.sum("tokens").cast("double"), F.lit(temper)).alias("p"))
+        t = cells.groupBy(F.col(d).alias("value")).agg(F.pow(F.sum("tokens").cast("double"), F.lit(temper[d])).alias("p"))
         out[d] = t.select("value", F.try_divide("p", F.sum("p").over(Window.partitionBy(F.lit(1)))).alias("share"))
     return out
 

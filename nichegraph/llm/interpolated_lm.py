@@ -24,7 +24,9 @@ from pyspark.sql import functions as F
 from . import shared
 
 #: Bytes of text in a batch and per range of n-gram hashes, in the mean.
-BATCH_BYTES, RANGE_BYTES = 16 << 20, 24 << 20
+BATCH_BYTES, RANGE_BYTES = 8 << 20, 16 << 20
+#: Bits of a bigram's hash beyond those that number all tokens: of 2 to this power bigrams, one shares its hash. Words have all 64.
+SPARE_BITS = 20
 #: Steps per power of ten in which probabilities are kept for scores and for learning the weights; buckets of context frequency, by powers of two.
 FINE, COARSE, BUCKETS = 256, 16, 32
 END, START = np.uint64(1), np.uint64(2)
@@ -35,7 +37,7 @@ class Hashes(dict):
     """64-bit hashes of words, as many as it may hold."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
+        if len(self) > 200_000:
             self.clear()
         self[word] = out = xxhash.xxh64_intdigest(word)
         return out
@@ -50,10 +52,21 @@ def unpacked(data: bytes) -> np.ndarray:
     return np.cumsum(np.frombuffer(data, np.uint8).reshape(8, -1).T.copy().view("<u8").ravel(), dtype=np.uint64)
 
 
+def planes(numbers: np.ndarray) -> bytes:
+    """Small counts as 32-bit numbers, byte by byte of their rank; a count beyond that as 64-bit ones."""
+    wide = numbers.astype("<u8" if len(numbers) and numbers.max() >= 1 << 32 else "<u4")
+    return wide.view(np.uint8).reshape(len(wide), wide.itemsize).T.tobytes()
+
+
+def from_planes(data: bytes, n: int) -> np.ndarray:
+    size = len(data) // n if n else 4
+    return np.frombuffer(data, np.uint8).reshape(size, n).T.copy().view(f"<u{size}").ravel().astype(np.int64)
+
+
 class Batch:
     """The tokens of some texts as hashes, with their distinct n-grams of two orders."""
 
-    def __init__(self, texts: list[str], train: np.ndarray, hashes: Hashes, ranges: int):
+    def __init__(self, texts: list[str], train: np.ndarray, hashes: Hashes, ranges: int, bits: int):
         parts = []
         for t in texts:
             words = t.encode("utf-8", "replace").lower().split()
@@ -69,24 +82,28 @@ class Batch:
             pair ^= pair >> np.uint64(32)
             pair *= np.uint64(0xD6E8FEB86659FD93)
             pair ^= pair >> np.uint64(29)
-        self.orders = [np.unique(keys, return_inverse=True) for keys in (self.tokens, pair)]
-        self.cuts = [np.searchsorted((k >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32), np.arange(ranges + 1, dtype=np.uint64)) for k, _ in self.orders]
-        self.before = before
+        del before
+        self.orders, self.cuts = [], []
+        for keys, size in ((self.tokens, 64), (pair >> np.uint64(64 - bits), bits)):
+            distinct, at = np.unique(keys, return_inverse=True)
+            self.orders.append((distinct, at.astype(np.int32)))
+            self.cuts.append(np.searchsorted((distinct >> np.uint64(size - 32)) * np.uint64(ranges) >> np.uint64(32), np.arange(ranges + 1, dtype=np.uint64)))
 
     def asks(self) -> Iterator[tuple[int, int, bytes, bytes]]:
         """(range, order, keys, counts in training texts) of each range of hashes that has some."""
         for order, ((keys, at), cuts) in enumerate(zip(self.orders, self.cuts)):
-            counts = np.bincount(at[self.train], minlength=len(keys)).astype(np.uint32)
+            counts = np.bincount(at[self.train], minlength=len(keys))
             for r, (a, b) in enumerate(zip(cuts, cuts[1:])):
                 if b > a:
-                    yield r, order, packed(keys[a:b]), counts[a:b].tobytes()
+                    yield r, order, packed(keys[a:b]), planes(counts[a:b])
 
     def counts(self, answers: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Counts in all training texts of each token's bigram, its context and the token itself."""
         known = []
         for order, (keys, _) in enumerate(self.orders):
             some = answers[answers["gram"] == order].sort_values("range")
-            known.append(np.concatenate([np.frombuffer(c, np.int64) for c in some["counts"]]))
+            sizes = [b - a for a, b in zip(self.cuts[order], self.cuts[order][1:]) if b > a]
+            known.append(np.concatenate([from_planes(c, n) for c, n in zip(some["counts"], sizes, strict=True)]))
             if len(known[-1]) != len(keys):
                 raise ValueError("a batch's answers don't fit its n-grams")
         (words, at), (_, pair_at) = self.orders
@@ -131,10 +148,11 @@ def counted(docs: DataFrame, divisor: int = 7, remainder: int = 2) -> DataFrame:
     rows = shared.texts(docs)
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     batches, ranges = max(1, -(-size // BATCH_BYTES)), max(1, -(-size // RANGE_BYTES))
+    bits = min(64, max(40, int(size).bit_length() + SPARE_BITS))
     rows = rows.select(F.pmod(F.xxhash64("doc_id"), F.lit(batches)).cast("int").alias("batch"), F.col("doc_id").cast("string").alias("doc_id"), "text", (~shared.held_out(F.col("doc_id"), divisor, remainder)).alias("train"))
 
     def ask(rows: pd.DataFrame) -> pd.DataFrame:
-        b = Batch(rows["text"].tolist(), rows["train"].to_numpy(bool), Hashes(), ranges)
+        b = Batch(rows["text"].tolist(), rows["train"].to_numpy(bool), Hashes(), ranges, bits)
         out = pd.DataFrame(list(b.asks()), columns=["range", "gram", "keys", "counts"])
         return out.assign(batch=int(rows["batch"].iat[0]))[["range", "gram", "batch", "keys", "counts"]]
 
@@ -144,10 +162,10 @@ def counted(docs: DataFrame, divisor: int = 7, remainder: int = 2) -> DataFrame:
             keys = [unpacked(k) for k in some["keys"]]
             ends = np.cumsum([len(k) for k in keys])
             every, at = np.unique(np.concatenate(keys), return_inverse=True)
-            sums = np.bincount(at, np.concatenate([np.frombuffer(c, np.uint32) for c in some["counts"]]), len(every)).astype(np.int64)
+            sums = np.bincount(at, np.concatenate([from_planes(c, len(k)) for c, k in zip(some["counts"], keys)]), len(every)).astype(np.int64)
             if not order:
                 totals = [int(sums.sum()), int((sums > 0).sum())]
-            out += [(b, order, c.tobytes()) for b, c in zip(some["batch"], np.split(sums[at], ends[:-1]))]
+            out += [(b, order, planes(c)) for b, c in zip(some["batch"], np.split(sums[at], ends[:-1]))]
         out = pd.DataFrame(out, columns=["batch", "gram", "counts"]).assign(range=int(asked["range"].iat[0]))
         end = pd.DataFrame({"batch": [-1], "gram": [-1], "counts": [json.dumps(totals).encode()], "range": [int(asked["range"].iat[0])]})
         return pd.concat([out, end])[["batch", "gram", "range", "counts"]]
@@ -159,17 +177,17 @@ def counted(docs: DataFrame, divisor: int = 7, remainder: int = 2) -> DataFrame:
         if not len(rows):
             totals = np.sum([json.loads(c) for c in answers["counts"]], axis=0)
             return pd.DataFrame([("total", None, int(totals[0]), int(totals[1]), None, None, None)], columns=names)
-        b = Batch(rows["text"].tolist(), rows["train"].to_numpy(bool), Hashes(), ranges)
+        b = Batch(rows["text"].tolist(), rows["train"].to_numpy(bool), Hashes(), ranges, bits)
         pair, context, one = b.counts(answers)
         codes, bases, known = coded(pair, context, one, FINE), np.log10(one + 1.0), one > 0
         out = []
         for i, (doc_id, start, n) in enumerate(zip(rows["doc_id"], b.starts, b.sizes)):
             part = slice(start, start + n)
             distinct, times = np.unique(codes[part], return_counts=True)
-            out.append(("text", doc_id, int(n), int(known[part].sum()), float(bases[part].sum()), packed(distinct), times.astype(np.uint32).tobytes()))
+            out.append(("text", doc_id, int(n), int(known[part].sum()), float(bases[part].sum()), packed(distinct), planes(times)))
         t = b.train
         less, times = np.unique(coded(pair[t] - 1, context[t] - 1, one[t] - 1, COARSE), return_counts=True)
-        out.append(("learn", None, None, None, None, packed(less), times.astype(np.uint32).tobytes()))
+        out.append(("learn", None, None, None, None, packed(less), planes(times)))
         return pd.DataFrame(out, columns=names).astype({"n_tokens": "Int64", "n_known": "Int64"})
 
     asked = rows.groupBy("batch").applyInPandas(ask, "range int, gram int, batch int, keys binary, counts binary")
@@ -187,8 +205,9 @@ def trained(table: DataFrame) -> tuple[int, int, np.ndarray]:
         codes, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
         for b in batches:
             for c, n in zip(b["codes"], b["counts"]):
-                codes, at = np.unique(np.concatenate([codes, unpacked(c)]), return_inverse=True)
-                counts = np.bincount(at, np.concatenate([counts, np.frombuffer(n, np.uint32)]), len(codes)).astype(np.int64)
+                more = unpacked(c)
+                codes, at = np.unique(np.concatenate([codes, more]), return_inverse=True)
+                counts = np.bincount(at, np.concatenate([counts, from_planes(n, len(more))]), len(codes)).astype(np.int64)
         yield pd.DataFrame({"code": codes.view(np.int64), "n": counts})
 
     sums = table.filter("kind = 'learn'").select("codes", "counts").mapInPandas(merge, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).toPandas().sort_values("code")
@@ -210,8 +229,9 @@ def scored(docs: DataFrame, divisor: int = 7, remainder: int = 2) -> DataFrame:
         for b in batches:
             out = []
             for c, n in zip(b["codes"], b["counts"]):
-                bucket, p = decoded(unpacked(c), FINE, total, words)
-                out.append(float(np.log10((weights[bucket] * p).sum(1)) @ np.frombuffer(n, np.uint32)))
+                codes = unpacked(c)
+                bucket, p = decoded(codes, FINE, total, words)
+                out.append(float(np.log10((weights[bucket] * p).sum(1)) @ from_planes(n, len(codes))))
             yield b[["doc_id", "n_tokens", "n_known", "base"]].assign(score=np.array(out, dtype=np.float64))
 
     rows = table.filter("kind = 'text'").select("doc_id", "n_tokens", "n_known", "base", "codes", "counts").mapInPandas(score, "doc_id string, n_tokens long, n_known long, base double, score double")

@@ -212,6 +212,6 @@ def deduplicated(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
         kept = kept.dropDuplicates(["doc_id"])
     if nulls:
         rest = docs.filter("doc_id is null").withColumn("_code", code_of(F.coalesce(F.col("text"), F.lit(""))))
-        roots = stays.filter("doc_id is null").select(F.conv("fingerprint", 16, -10).cast("long").alias("_code"), "root").distinct()
-        kept = kept.union(rest.join(roots, "_code").dropDuplicates(["root"]).select(*docs.columns))
+        roots = stays.filter("doc_id is null").select(F.conv("fingerprint", 16, -10).cast("long").alias("_code"), F.col("root").alias("_root")).distinct()
+        kept = kept.union(rest.join(roots, "_code").dropDuplicates(["_root"]).select(*docs.columns))
     return kept

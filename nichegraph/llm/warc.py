@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 
 from . import shared
 
-#: Payloads of fewer bytes are never revisits. Bytes between records that a read passes over rather than start anew, of one read, and of a run of records that one task reads.
-LEAST_BYTES, GAP, READ, RUN = 1000, 64 * 1024, 8 << 20, 64 << 20
+#: Payloads of fewer bytes are never revisits. Bytes between records that a read passes over rather than start anew, of one read, of a run of records that one task reads, and of a task's runs in the mean.
+LEAST_BYTES, GAP, READ, RUN, TASK = 1000, 64 * 1024, 8 << 20, 8 << 20, 16 << 20
 INDEX = "page_id string, file string, offset long, length long, url string, digest string, record_type string, refers_to string"
 RECORDS = "page_id string, url string, digest string, record_type string, refers_to string, payload binary"
 #: Fixed value: the date of every record, since the tables have none; a rerun writes the same bytes.
@@ -109,7 +109,9 @@ def read_records(index: DataFrame, folder: str) -> DataFrame:
     Raises if a record's digest or kind isn't the index's.
     """
     dealt = index.select("file", "offset", "length", "digest", "record_type", F.floor(F.col("offset") / RUN).alias("run"))
-    dealt = dealt.repartition("file", "run").sortWithinPartitions("file", "offset")
+    size = index.agg(F.sum("length")).first()[0] or 0
+    # a number of its own: what a task reads is as large as the records, not as the index that says where they are
+    dealt = dealt.repartition(max(1, -(-size // TASK)), "file", "run").sortWithinPartitions("file", "offset")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         store, _ = _file_system(folder)

@@ -7,14 +7,17 @@ words share is worked out once. Words are visited in sorted order, which is the
 trie, so the path is all of the trie that is ever held.
 
 The vocabulary file is one of the public ones with word ends ("</w>"), lower case and byte-level symbols;
-its path is a parameter and is opened where it is used. Each task has its own bounded table of words.
+its path is a parameter and is opened where it is used. Each Python worker has its own bounded table of words,
+which its later tasks go on with.
 """
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import json
 import os.path
+import re
 import unicodedata
 from collections.abc import Callable, Iterable, Iterator
 
@@ -25,8 +28,11 @@ from pyspark.sql import functions as F
 
 from . import shared
 
-#: Words whose encodings a task keeps, and characters of text that it encodes at once.
-KEPT_WORDS, CHARS = 400_000, 8_000_000
+#: Characters of words (each with 60 for its tables) whose encodings a worker keeps, and of text that it encodes at once.
+KEPT_CHARS, CHARS = 40_000_000, 8_000_000
+#: Tokens are told apart by their last END bytes before they are looked up; shorter ones are always tried.
+END, SHORT = 3, (2, 1)
+SEPARATORS = re.compile(r"[\x1c-\x1f]")
 
 
 def default_path() -> str:
@@ -42,6 +48,15 @@ def byte_symbols() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+def _sizes(tokens: dict[bytes, int]) -> dict[bytes, tuple[int, ...]]:
+    """By last END bytes, the lengths of tokens that end so, longest first."""
+    out: dict[bytes, set[int]] = {}
+    for t in tokens:
+        if len(t) >= END:
+            out.setdefault(t[-END:], set(SHORT)).add(len(t))
+    return {e: tuple(sorted(n, reverse=True)) for e, n in out.items()}
+
+
 class Vocabulary:
     """Tokens, merges and the special tokens of a file; encodes sorted distinct words."""
 
@@ -58,7 +73,6 @@ class Vocabulary:
             raw = bytes(byte[c] for c in (t[: -len(self.end)] if ends else t))
             (self.last if ends else self.inner)[raw] = i
             self.size[i] = len(raw)
-        self.longest = max(self.size.values())
         self.rank: dict[tuple[int, int], int] = {}
         self.parts: dict[int, tuple[int, int]] = {}
         self.made: dict[int, int] = {}  # rank of the merge that makes a token; -1 for single symbols
@@ -75,9 +89,10 @@ class Vocabulary:
         # fixed values: white space and the split pattern of this kind of vocabulary
         self.space = regex.compile(r"\p{White_Space}+")
         self.split = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\p{White_Space}\p{L}\p{N}]+")
-        self.fits: dict[tuple[int, int], bool] = {}
-        self.ids: dict[str, str] = {}
-        self.decoded: dict[str, str] = {}
+        self.fits: dict[int, bool] = {}
+        self.inner_sizes, self.last_sizes = _sizes(self.inner), _sizes(self.last)
+        self.known: dict[str, tuple[str, str]] = {}  # ids and tokens of words and of chunks, that is, words without white space between
+        self.held = 0
 
     def stands(self, a: int, b: int) -> bool:
         """Whether BPE leaves a followed by b as they are, that is, no merge ever crosses from a's end to b's start.
@@ -86,7 +101,7 @@ class Vocabulary:
         there, and a merge of theirs crosses if its turn came before either grew further. Of equal turns the
         leftmost comes first.
         """
-        if (known := self.fits.get((a, b))) is not None:
+        if (known := self.fits.get(a << 32 | b)) is not None:
             return known
         x, y, x_grows, y_grows = a, b, 1 << 60, 1 << 60
         while True:
@@ -104,64 +119,88 @@ class Vocabulary:
                 break
         if len(self.fits) > 2_000_000:
             self.fits.clear()
-        self.fits[a, b] = out
+        self.fits[a << 32 | b] = out
         return out
 
-    def step(self, word: bytes, d: int, tokens: dict[bytes, int], path: list[int]) -> int:
-        """The last token of word[:d], given those of all its prefixes; tokens: which may come last."""
-        for n in range(min(d, self.longest), 0, -1):
-            t = tokens.get(word[d - n : d])
-            if t is not None and (n == d or self.stands(path[d - n], t)):
-                return t
+    def step(self, word: bytes, d: int, tokens: dict[bytes, int], sizes: dict[bytes, tuple[int, ...]], path: list[int]) -> int:
+        """The last token of word[:d], given those of all its prefixes; tokens: which may come last; sizes: how long they are by their ends."""
+        fits = self.fits
+        for n in sizes.get(word[d - END : d], SHORT) if d >= END else range(d, 0, -1):
+            if n <= d and (t := tokens.get(word[d - n : d])) is not None:
+                if n == d:
+                    return t
+                if (known := fits.get(path[d - n] << 32 | t)) is None:
+                    known = self.stands(path[d - n], t)
+                if known:
+                    return t
         raise ValueError(f"no token of the vocabulary ends {word[:d]!r}")
 
     def walk(self, words: Iterable[bytes]) -> Iterator[list[int]]:
         """The encoding of each word; words: distinct and sorted. path[d] is the last token of the current word's first d bytes."""
-        path, before = [0], b""
+        path, before, step = [0], b"", self.step
+        inner, last, inner_sizes, last_sizes, size = self.inner, self.last, self.inner_sizes, self.last_sizes, self.size
         for w in words:
             shared_bytes = len(os.path.commonprefix([before, w]))
             del path[min(shared_bytes, len(path) - 1) + 1 :]
             for d in range(len(path), len(w)):
-                path.append(self.step(w, d, self.inner, path))
+                path.append(step(w, d, inner, inner_sizes, path))
             before, d, out = w, len(w), []
-            t = self.step(w, d, self.last, path)
+            t = step(w, d, last, last_sizes, path)
             while True:
                 out.append(t)
-                d -= self.size[t]
+                d -= size[t]
                 if not d:
                     break
                 t = path[d]
             yield out[::-1]
 
-    def pieces(self, text: str) -> list[str]:
-        """The words of a text, and its special tokens as they stand."""
+    def chunks(self, text: str) -> list[str]:
+        """The text between white space, normalised and in lower case, and its special tokens as they stand.
+
+        No word crosses white space, so a chunk's words are those that it has by itself.
+        """
         out: list[str] = []
-        for k, part in enumerate(self.special.split(text)):
+        for k, part in enumerate(self.special.split(text)) if any(t in text for t in self.specials) else [(0, text)]:
             if k % 2:
                 out.append(part)
             elif part:
                 plain = part if part.isascii() else unicodedata.normalize("NFC", part).replace("\u03a3", "\u03c3")
-                out += self.split.findall(self.space.sub(" ", plain).lower())
+                # split() alone takes four controls for white space too, which have no such property
+                out += [c for c in self.space.split(plain.lower()) if c] if SEPARATORS.search(plain) else plain.lower().split()
         return out
 
-    def learn(self, words: set[str]) -> None:
-        """Encodes the words that aren't known yet."""
-        if len(self.ids) > KEPT_WORDS:
-            self.ids, self.decoded = {}, {}
-        new = sorted(w.encode() for w in words if w not in self.ids and w not in self.specials)
-        for w, ids in zip(new, self.walk(new), strict=True):
-            word = w.decode()
-            self.ids[word] = " ".join(map(str, ids))
-            self.decoded[word] = " ".join([self.names[i] for i in ids])
-        for t, i in self.specials.items():
-            self.ids[t], self.decoded[t] = str(i), t
+    def learn(self, chunks: set[str]) -> None:
+        """Encodes the chunks that aren't known yet by their distinct words."""
+        known = self.known
+        if self.held > KEPT_CHARS:
+            known.clear()
+            self.held = 0
+        known |= {t: (str(i), t) for t, i in self.specials.items()}
+        new = [c for c in chunks if c not in known]
+        mixed = {c: self.split.findall(c) for c in new if not c.isalpha()}
+        words = {c for c in new if c.isalpha()}.union(*mixed.values())
+        words = sorted(w.encode() for w in words if w not in known)
+        for w, ids in zip(words, self.walk(words), strict=True):
+            known[w.decode()] = " ".join(map(str, ids)), " ".join([self.names[i] for i in ids])
+            self.held += len(w) + 60
+        for c, ws in mixed.items():
+            if ws != [c]:
+                known[c] = " ".join([known[w][0] for w in ws]), " ".join([known[w][1] for w in ws])
+                self.held += len(c) + 60
 
     def encode(self, texts: list[str]) -> Iterator[tuple[str, str]]:
         """For each text its ids, joined by spaces, and the text that decoding them gives: the tokens, joined by spaces."""
-        split = [self.pieces(t) for t in texts]
+        split = [self.chunks(t) for t in texts]
         self.learn(set().union(*split))
-        for words in split:
-            yield " ".join([self.ids[w] for w in words]), " ".join([self.decoded[w] for w in words])
+        for chunks in split:
+            found = [self.known[c] for c in chunks]
+            yield " ".join([f[0] for f in found]), " ".join([f[1] for f in found])
+
+
+@functools.lru_cache(maxsize=1)
+def _vocabulary(path: str) -> Vocabulary:
+    """A worker's vocabulary, with the words that its tasks have met."""
+    return Vocabulary(path)
 
 
 def encoded(docs: DataFrame, path: str | None = None) -> DataFrame:
@@ -181,7 +220,7 @@ def _mapped(docs: DataFrame, path: str | None, schema: str, row: Callable[[str,
 
     @F.pandas_udf(schema)
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        vocabulary = Vocabulary(path)
+        vocabulary = _vocabulary(path)
         for texts in batches:
             rows, some, chars = [], [], 0
             for t in [*texts, None]:

@@ -66,6 +66,16 @@ def _named(s: SparkSession, d: str) -> DataFrame:
     return t.select(name.alias("gene"))
 
 
+def _platform(s: SparkSession, d: str, mode: str) -> DataFrame:
+    """Points of another platform's columns, with some names of control probes, after both filters: their number and sums by gene."""
+    t, (gene, x, y, *_) = transcripts_view(s, d), clusters.MODES[mode]
+    name = F.when((F.col("transcript_id") % 97 == 0) & (F.lit(mode) != "cosmx_prefiltered"), "NegPrb7").otherwise(F.col("feature_name"))
+    more = ["qv"] if mode == "xenium" else []
+    raw = t.select((name.cast("binary") if mode == "xenium" else name).alias(gene), F.col("x_location").alias(x), F.col("y_location").alias(y), *more)
+    pts = clusters.prepared(raw, mode, FACTOR if mode in ("xenium", "cosmx") else None, LEAST)
+    return _r(pts.groupBy("gene").agg(F.count("*").alias("n"), F.sum(F.col("x").cast("double")).alias("x"), F.max(F.col("y").cast("double")).alias("y")), 3)
+
+
 def _gmt(s: SparkSession, d: str) -> DataFrame:
     g = table(s, d, "part").select("p_brand").distinct().withColumn("n", F.substring("p_brand", 7, 9).cast("int")).withColumn("t", F.explode(F.sequence(F.lit(0), F.lit(9))))
     g = g.filter("(n * 7 + t * 3) % 4 = 0").groupBy("t").agg(F.array_sort(F.collect_list("p_brand")).alias("genes"))
@@ -103,6 +113,7 @@ QUERIES = {
     "real_gene_filter": lambda s, d: _named(s, d).groupBy("gene", gene_category(F.col("gene")).alias("category")).agg(F.count("*").alias("n")),
     "cell_ids": _cell_ids,
     "gene_frequency_filter": lambda s, d: clusters.frequent_genes(clusters.quality_filtered(transcripts_view(s, d)), FACTOR, LEAST),
+    **{f"prepared_{m}": lambda s, d, m=m: _platform(s, d, m) for m in ("xenium", "merfish", "cosmx", "cosmx_prefiltered")},
     "global_bin_counts": lambda s, d: clusters.bin_counts(_prepared(s, d), BIN),
     "metatranscripts": _meta,
     "metatranscripts_fixed_min": lambda s, d: clusters.metatranscripts(_prepared(s, d), BIN, adaptive=False),
@@ -112,6 +123,11 @@ QUERIES = {
     "pair_stats_no_self": lambda s, d: _r(_pairs(s, d, drop_self=True).pairs),
     "null_globals": lambda s, d: _pairs(s, d).totals.crossJoin(_meta(s, d).agg(F.sum("n").alias("total_transcripts"))),
     "graph_edges": lambda s, d: _r(_edges(s, d)),
+    "graph_edges_self_loops": lambda s, d: _r(graph.graph_edges(_pairs(s, d).pairs, "PMI", self_loops=True)),
+    "pair_stats_directed": lambda s, d: _r(_pairs(s, d, undirected=False).pairs),
+    "bin_gene_counts_all_bins": lambda s, d: regions.bin_gene_counts(_binned(s, d), niche.grid_meta(_all_points(s, d), BIN)),
+    "niche_map_all_pixels": lambda s, d: _all_pixels(_maps(s, d)),
+    "top_genes": lambda s, d: graph.top_genes(_weights(s, d), 3),
     "graph_vertices": lambda s, d: graph.vertices(_edges(s, d)),
     "stouffer": lambda s, d: _stouffer(s, d),
     "grid_meta": lambda s, d: niche.grid_meta(_all_points(s, d), BIN),
@@ -167,6 +183,11 @@ def _blurred(s: SparkSession, d: str) -> DataFrame:
     return niche.blurred(niche.pixel_gene_counts(pts, grid, BIN, niche.driver_genes(_weights(s, d))), grid, SMOOTHING / BIN)
 
 
+def _all_pixels(maps: niche.NicheMaps) -> DataFrame:
+    """(k, bin_id, value) of every pixel."""
+    return maps.touched.select("k", "bin_id", "value").union(niche.all_pixels(maps, F.col("pixels") > 0))
+
+
 def _overlaps(s: SparkSession, d: str) -> DataFrame:
     pts = _all_points(s, d)
     return overlap.cell_overlaps(pts.withColumn("cell", cell_id(pts, "cell_id")), _module_genes(s, d), N_MODULES)
@@ -280,6 +301,14 @@ def _rs(*columns: str, digits: int = 6) -> str:
     return ", ".join(f"round({c}, {digits}) + 0.0 AS {c}" for c in columns)
 
 
+def _platform_sql(mode: str) -> str:
+    name = "feature_name" if mode == "cosmx_prefiltered" else "CASE WHEN transcript_id % 97 = 0 THEN 'NegPrb7' ELSE feature_name END"
+    xy = ", ".join(f"CAST({c}_location * CAST(0.18 AS FLOAT) AS FLOAT) AS {c}" if mode == "cosmx" else f"{c}_location AS {c}" for c in "xy")
+    kept = {"xenium": "qv >= 20 AND gene <> 'NegPrb7'", "cosmx_prefiltered": "true"}.get(mode, "gene <> 'NegPrb7'")
+    often = f"WHERE gene IN (SELECT gene FROM f GROUP BY gene HAVING count(*) >= {LEAST} AND count(*) < (SELECT count(*) FROM f) / {FACTOR}.0)" if mode in ("xenium", "cosmx") else ""
+    return f"WITH {_T}, f AS (SELECT * FROM (SELECT {name} AS gene, {xy}, qv FROM t) WHERE {kept}) SELECT gene, count(*) AS n, round(sum(CAST(x AS DOUBLE)), 3) + 0.0 AS x, round(max(CAST(y AS DOUBLE)), 3) + 0.0 AS y FROM f {often} GROUP BY gene"
+
+
 _PAIR = f"SELECT g_a, g_b, {_rs('O', 'f_a', 'f_b', 'E', 'PMI', 'Z')}, {_KEEP} AS keep FROM s"
 ORACLE_SQL = {
     "transcripts_view": f"WITH {_T} SELECT * FROM t",
@@ -287,6 +316,7 @@ ORACLE_SQL = {
       (SELECT CASE p_size WHEN 49 THEN 'NegControlProbe1' WHEN 48 THEN 'BLANK1' WHEN 47 THEN 'Gene_1' WHEN 46 THEN 'antisense1' ELSE p_brand END AS gene FROM lineitem JOIN part ON l_partkey = p_partkey) GROUP BY 1, 2""",
     "cell_ids": "SELECT CASE WHEN l_tax = 0 THEN 'none' ELSE CAST(l_suppkey AS VARCHAR) END AS whole, CASE WHEN l_tax = 0 THEN 'none' ELSE CAST(l_suppkey AS VARCHAR) END AS floating, CASE WHEN l_tax = 0 THEN 'none' ELSE 'c' || l_suppkey END AS text, count(*) AS n FROM lineitem GROUP BY 1, 2, 3",
     "gene_frequency_filter": f"WITH {_P} SELECT gene, n FROM fq",
+    **{f"prepared_{m}": _platform_sql(m) for m in ("xenium", "merfish", "cosmx", "cosmx_prefiltered")},
     "global_bin_counts": f"WITH {_P} SELECT CAST(floor(x / {BIN}) AS INT) AS bin_x, CAST(floor(y / {BIN}) AS INT) AS bin_y, count(*) AS n FROM p GROUP BY 1, 2",
     "metatranscripts": f"WITH {_M} SELECT * FROM m",
     "metatranscripts_fixed_min": f"WITH {_P}, m AS {_meta_sql('p', 'n >= 3')} SELECT * FROM m",
@@ -296,6 +326,11 @@ ORACLE_SQL = {
     "pair_stats_no_self": f"WITH {_M}{_e(RADIUS)}{_stats_sql(where='gene_source <> gene_target')} {_PAIR}",
     "null_globals": f"WITH {_S} SELECT CAST(sum(O) AS BIGINT) AS S, CAST(sum(m) AS BIGINT) AS n_edges, count(*) AS n_pairs, (SELECT CAST(sum(n) AS BIGINT) FROM m) AS total_transcripts FROM so",
     "graph_edges": f"WITH {_G} SELECT a, b, {_rs('weight')} FROM ge",
+    "graph_edges_self_loops": f"WITH {_S} SELECT g_a AS a, g_b AS b, {_rs('PMI')[:-3]}weight FROM s WHERE {_KEEP}",
+    "pair_stats_directed": f"WITH {_M}{_e(RADIUS)}{_stats_sql().replace('least(gene_source, gene_target)', 'gene_source').replace('greatest(gene_source, gene_target)', 'gene_target')} {_PAIR}",
+    "bin_gene_counts_all_bins": f"WITH {_B}, n AS (SELECT bin_id, gene, count(*) AS n FROM b GROUP BY 1, 2), every AS (SELECT unnest(range(CAST(width AS BIGINT) * height)) AS bin_id FROM g) SELECT bin_id, gene, coalesce(n, 0) AS n FROM every LEFT JOIN n USING (bin_id)",
+    "niche_map_all_pixels": f"WITH {_N} SELECT k, bin_id, value FROM fm",
+    "top_genes": f"WITH {_W} SELECT *, CAST(row_number() OVER (PARTITION BY archetype ORDER BY weight DESC, gene) AS INT) AS rank FROM w QUALIFY rank <= 3",
     "graph_vertices": f"WITH {_G} SELECT DISTINCT i AS gene FROM gb",
     "stouffer": f"WITH {_SLICES}, u AS ({' UNION ALL '.join(f'SELECT g_a, g_b, Z FROM s{x}' for x in 'ANR')}) SELECT g_a, g_b, round(sum(Z) / sqrt(count(*)), 6) + 0.0 AS Z, count(*) AS n_slices, count(*) >= 2 AND sum(Z) / sqrt(count(*)) > 1.96 AS keep FROM u GROUP BY 1, 2",
     "grid_meta": f"WITH {_B} SELECT * FROM g",

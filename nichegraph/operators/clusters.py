@@ -34,7 +34,7 @@ def quality_filtered(df: DataFrame, mode: str = "xenium_5k") -> DataFrame:
         df = df.filter(gene_category(F.col(gene)) == GENE)
     out = points(df, gene, x, y, **{c: c for c in df.columns if c not in (gene, x, y, "gene", "x", "y")})
     if mode == "cosmx":
-        out = out.withColumns({c: (F.col(c) * F.lit(PIXEL_UM)).cast("float") for c in "xy"})
+        out = out.withColumns({c: F.col(c) * F.lit(PIXEL_UM).cast("float") for c in "xy"})
     return out
 
 

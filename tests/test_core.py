@@ -50,9 +50,9 @@ def test_prepare_boundaries(spark):
         clusters.quality_filtered(df, "none")
     pts = spark.createDataFrame([("a", 0.0, 0.0)] * 4 + [("b", 0.0, 0.0)] * 2 + [(None, 0.0, 0.0)] * 2, POINTS)
     assert {r.gene for r in clusters.frequent_genes(pts, 2, 2).collect()} == {"b"}  # 4 is not below 8 / 2
-    cos = spark.createDataFrame([("a", 100.0, 50.0)], "target string, x_global_px float, y_global_px float")
+    cos = spark.createDataFrame([("a", 100.0, 10.125)], "target string, x_global_px float, y_global_px float")
     r = clusters.prepared(cos, "cosmx", 0.5, 1).first()
-    assert r.x == np.float32(np.float32(100) * np.float32(0.18))
+    assert r.x == np.float32(100) * np.float32(0.18) and r.y == np.float32(10.125) * np.float32(0.18) != np.float32(10.125 * 0.18)
     assert clusters.metatranscripts(pts.limit(0)).count() == 0
 
 

@@ -38,7 +38,7 @@ def cell_id(df: DataFrame, column: str, tokens: list = ("UNASSIGNED", -1), keep_
     """The cell's id as text, null where unassigned; what counts as unassigned depends on the column's type.
 
     Whole numbers: null, -1 and numeric tokens. Floating: also NaN; written without a fraction where the value
-    has none. Text: trimmed; empty, "-1" and any token in either case; upper case unless keep_strings.
+    has none (with_cell looks at the whole column). Text: trimmed; empty, "-1" and any token in either case; upper case unless keep_strings.
     """
     c, kind = F.col(column), df.schema[column].dataType
     numbers = {-1.0}
@@ -58,6 +58,17 @@ def cell_id(df: DataFrame, column: str, tokens: list = ("UNASSIGNED", -1), keep_
     return F.when(text.isNotNull() & ~F.upper(text).isin(none), text if keep_strings else F.upper(text))
 
 
+def with_cell(df: DataFrame, column: str, tokens: list = ("UNASSIGNED", -1), keep_strings: bool = True, name: str = "cell") -> DataFrame:
+    """df with cell_id() as a column. Floating ids are written without a fraction only if every assigned value has none."""
+    out = df.withColumn(name, cell_id(df, column, tokens, keep_strings))
+    if not isinstance(df.schema[column].dataType, (FloatType, DoubleType)):
+        return out
+    d = F.col(column).cast("double")
+    whole = out.filter(F.col(name).isNotNull()).agg(F.coalesce(F.bool_and((F.abs(d) < 2.0**53) & (d == F.floor(d))), F.lit(True)).alias("_all_whole"))
+    ids = F.when(F.col(name).isNotNull(), F.when(F.col("_all_whole"), F.col(name)).otherwise(d.cast("string")))
+    return out.crossJoin(F.broadcast(whole)).withColumn(name, ids).drop("_all_whole")  # one row
+
+
 def coerce_threshold(t: str | float) -> str | float:
     """"P98" to "p98", other text to a number."""
     if isinstance(t, str):

@@ -8,7 +8,7 @@ import time
 
 from pyspark.sql import DataFrame, SparkSession
 
-from nichegraph.functions.columns import cell_id, coerce_threshold, parse_tokens
+from nichegraph.functions.columns import coerce_threshold, parse_tokens, with_cell
 from nichegraph.operators import clusters, colocation, graph, niche, regions
 from nichegraph.sources.tables import read_points, save_bundle
 
@@ -65,7 +65,7 @@ def main(argv: list[str] | None = None) -> dict[str, DataFrame]:
     out |= {"niche_values": timed(log, "niche_maps", lambda: maps.touched), "niche_background": maps.background, "grid": maps.grid}
     if a.cell_col:
         t = coerce_threshold(a.threshold)
-        binned = niche.with_bins(pts.withColumn("cell", cell_id(pts, a.cell_col, parse_tokens(a.unassigned_token))), maps.grid, a.bin_size)
+        binned = niche.with_bins(with_cell(pts, a.cell_col, parse_tokens(a.unassigned_token)), maps.grid, a.bin_size)
         out["assignment_stats"] = regions.assignment_stats(niche.selected_bins(maps, t), niche.thresholds(maps, t), regions.bin_gene_split(binned), regions.cells_by_bin(binned))
     out["timings"] = spark.createDataFrame([(json.dumps(x),) for x in log], "step string")
     save_bundle(a.output_dir, out)

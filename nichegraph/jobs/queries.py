@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nichegraph.functions.columns import cell_id, gene_category
+from nichegraph.functions.columns import cell_id, gene_category, with_cell
 from nichegraph.operators import clusters, colocation, enrichment, graph, niche, overlap, regions
 from nichegraph.sources.tables import gmt_terms, polygon_edges, table, transcripts_view
 
@@ -108,10 +108,17 @@ def _cell_ids(s: SparkSession, d: str) -> DataFrame:
     return t.select(*(F.coalesce(cell_id(t, c), F.lit("none")).alias(c) for c in t.columns)).groupBy("whole", "floating", "text").agg(F.count("*").alias("n"))
 
 
+def _fractional_cells(s: SparkSession, d: str) -> DataFrame:
+    """A floating column of ids of which some have a fraction, so that all are written with one."""
+    v = F.when(F.col("l_tax") == 0, -1.0).otherwise(F.col("l_suppkey") + F.when(F.col("l_linenumber") == 7, 0.5).otherwise(0.0))
+    return with_cell(table(s, d, "lineitem").select(v.alias("v")), "v").groupBy(F.coalesce("cell", F.lit("none")).alias("cell")).agg(F.count("*").alias("n"))
+
+
 QUERIES = {
     "transcripts_view": transcripts_view,
     "real_gene_filter": lambda s, d: _named(s, d).groupBy("gene", gene_category(F.col("gene")).alias("category")).agg(F.count("*").alias("n")),
     "cell_ids": _cell_ids,
+    "cell_ids_fractional": _fractional_cells,
     "gene_frequency_filter": lambda s, d: clusters.frequent_genes(clusters.quality_filtered(transcripts_view(s, d)), FACTOR, LEAST),
     **{f"prepared_{m}": lambda s, d, m=m: _platform(s, d, m) for m in ("xenium", "merfish", "cosmx", "cosmx_prefiltered")},
     "global_bin_counts": lambda s, d: clusters.bin_counts(_prepared(s, d), BIN),
@@ -315,6 +322,7 @@ ORACLE_SQL = {
     "real_gene_filter": """SELECT gene, CASE WHEN regexp_matches(gene, 'BLANK|NegControl|antisense|Blank|SystemControl|Negative|NegPrb|_') THEN 'something_else' ELSE 'predesigned_gene' END AS category, count(*) AS n FROM
       (SELECT CASE p_size WHEN 49 THEN 'NegControlProbe1' WHEN 48 THEN 'BLANK1' WHEN 47 THEN 'Gene_1' WHEN 46 THEN 'antisense1' ELSE p_brand END AS gene FROM lineitem JOIN part ON l_partkey = p_partkey) GROUP BY 1, 2""",
     "cell_ids": "SELECT CASE WHEN l_tax = 0 THEN 'none' ELSE CAST(l_suppkey AS VARCHAR) END AS whole, CASE WHEN l_tax = 0 THEN 'none' ELSE CAST(l_suppkey AS VARCHAR) END AS floating, CASE WHEN l_tax = 0 THEN 'none' ELSE 'c' || l_suppkey END AS text, count(*) AS n FROM lineitem GROUP BY 1, 2, 3",
+    "cell_ids_fractional": "SELECT CASE WHEN l_tax = 0 THEN 'none' ELSE CAST(l_suppkey + CASE WHEN l_linenumber = 7 THEN 0.5::DOUBLE ELSE 0::DOUBLE END AS VARCHAR) END AS cell, count(*) AS n FROM lineitem GROUP BY 1",
     "gene_frequency_filter": f"WITH {_P} SELECT gene, n FROM fq",
     **{f"prepared_{m}": _platform_sql(m) for m in ("xenium", "merfish", "cosmx", "cosmx_prefiltered")},
     "global_bin_counts": f"WITH {_P} SELECT CAST(floor(x / {BIN}) AS INT) AS bin_x, CAST(floor(y / {BIN}) AS INT) AS bin_y, count(*) AS n FROM p GROUP BY 1, 2",

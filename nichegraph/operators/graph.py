@@ -12,8 +12,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Vertices that a dense kernel takes.
-MOST_VERTICES = 20_000
+#: Vertices that a kernel takes; tasks that share the sources of shortest paths.
+MOST_VERTICES, SOURCE_GROUPS = 8_000, 32
 
 
 def graph_edges(pairs: DataFrame, weight: str = "Z", self_loops: bool = False) -> DataFrame:
@@ -60,44 +60,47 @@ def _whole(edges: DataFrame, kernel, schema: str) -> DataFrame:
 def shortest_path_centrality(edges: DataFrame) -> DataFrame:
     """(gene, betweenness, closeness): paths by length 1 / weight; undirected, unnormalised; a task per group of sources.
 
-    closeness: vertices reached over the sum of distances to them. Every task gets the whole graph of genes.
+    closeness: vertices reached over the sum of distances to them. The graph of genes is dealt to every group
+    by a shuffle; none of it reaches the driver.
     """
-    e = edges.filter("a <> b").select("a", "b", "weight").toPandas()
-    if not len(e):
-        return edges.sparkSession.createDataFrame([], "gene string, betweenness double, closeness double")
-    names, m = _dense(e)
-    links = [[(int(j), 1 / m[i, j]) for j in np.flatnonzero(m[i] > 0)] for i in range(len(names))]
-
-    def run(batches):
-        for b in batches:
-            rows = []
-            for s in b["id"]:
-                far, ways, before, order = {}, {int(s): 1.0}, {int(s): []}, []
-                seen, heap = {int(s): 0.0}, [(0.0, int(s))]
-                while heap:
-                    d, v = heapq.heappop(heap)
-                    if v in far:
-                        continue
-                    far[v] = d
-                    order.append(v)
-                    for w, length in links[v]:
-                        n = d + length
-                        if w not in seen or n < seen[w] - 1e-12:
-                            seen[w], ways[w], before[w] = n, ways[v], [v]
-                            heapq.heappush(heap, (n, w))
-                        elif w not in far and abs(n - seen[w]) <= 1e-12:
-                            ways[w] += ways[v]
-                            before[w].append(v)
-                share = dict.fromkeys(order, 0.0)
-                for w in reversed(order):
-                    for v in before[w]:
-                        share[v] += ways[v] / ways[w] * (1 + share[w])
-                rows += [(names[v], share[v] / 2 if v != s else 0.0, 0.0) for v in order]
-                rows.append((names[s], 0.0, (len(far) - 1) / sum(far.values()) if len(far) > 1 else 0.0))
-            yield pd.DataFrame(rows, columns=["gene", "betweenness", "closeness"])
-
-    spark = edges.sparkSession
-    parts = spark.range(0, len(names), 1, min(len(names), 64)).mapInPandas(run, "gene string, betweenness double, closeness double")
+
+    def run(key: tuple, e: pd.DataFrame) -> pd.DataFrame:
+        names = sorted({*e["a"], *e["b"]})
+        if len(names) > MOST_VERTICES:
+            raise ValueError(f"{len(names)} vertices are too many for a kernel")
+        at, rows = {n: k for k, n in enumerate(names)}, []
+        near: list[dict[int, float]] = [{} for _ in names]
+        for a, b, w in zip(e["a"], e["b"], e["weight"]):
+            if w > 0:
+                near[at[a]][at[b]] = near[at[b]][at[a]] = 1 / w
+        links = [sorted(x.items()) for x in near]
+        for s in range(int(key[0]), len(names), SOURCE_GROUPS):
+            far, ways, before, order = {}, {int(s): 1.0}, {int(s): []}, []
+            seen, heap = {int(s): 0.0}, [(0.0, int(s))]
+            while heap:
+                d, v = heapq.heappop(heap)
+                if v in far:
+                    continue
+                far[v] = d
+                order.append(v)
+                for w, length in links[v]:
+                    n = d + length
+                    if w not in seen or n < seen[w] - 1e-12:
+                        seen[w], ways[w], before[w] = n, ways[v], [v]
+                        heapq.heappush(heap, (n, w))
+                    elif w not in far and abs(n - seen[w]) <= 1e-12:
+                        ways[w] += ways[v]
+                        before[w].append(v)
+            share = dict.fromkeys(order, 0.0)
+            for w in reversed(order):
+                for v in before[w]:
+                    share[v] += ways[v] / ways[w] * (1 + share[w])
+            rows += [(names[v], share[v] / 2 if v != s else 0.0, 0.0) for v in order]
+            rows.append((names[s], 0.0, (len(far) - 1) / sum(far.values()) if len(far) > 1 else 0.0))
+        return pd.DataFrame(rows, columns=["gene", "betweenness", "closeness"])
+
+    dealt = edges.filter("a <> b").select("a", "b", "weight", F.explode(F.sequence(F.lit(0), F.lit(SOURCE_GROUPS - 1))).alias("g"))
+    parts = dealt.groupBy("g").applyInPandas(run, "gene string, betweenness double, closeness double")
     return parts.groupBy("gene").agg(F.sum("betweenness").alias("betweenness"), F.sum("closeness").alias("closeness"))
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from nichegraph.operators import curve
+
 
 def bin_gene_counts(binned: DataFrame, keep_empty: DataFrame | None = None) -> DataFrame:
     """(bin_id, gene, n), null genes left out; with a grid, its empty bins too, with a null gene and 0."""
@@ -84,39 +86,48 @@ def bins_in_polygon(bins: DataFrame, edges: DataFrame, grid: DataFrame, bin_size
     return rows.groupBy("bin_id").agg(F.sum(crosses).alias("crossings"), F.max(on.cast("int")).alias("border")).filter("crossings % 2 = 1 and border = 0").select("bin_id")
 
 
-def _farthest(rows: DataFrame, i: str, n: str) -> DataFrame:
-    """rows (value) with d, the distance of each from the chord from first to last in the unit square; i from 0, n rows."""
-    w = Window.orderBy("i").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    rows = rows.withColumn("lo", F.min("value").over(w)).withColumn("hi", F.max("value").over(w))
-    ys = (F.col("value") - F.col("lo")) / (F.col("hi") - F.col("lo") + 1e-12)
-    rows = rows.withColumn("xs", F.col(i) / (F.col(n) - 1)).withColumn("ys", ys).withColumn("y_n", (F.col("hi") - F.col("lo")) / (F.col("hi") - F.col("lo") + 1e-12))
-    return rows.withColumn("d", F.abs(F.col("ys") - F.col("xs") * F.col("y_n")) / F.sqrt(1 + F.col("y_n") * F.col("y_n")))
-
-
-def knee(values: DataFrame, start_mode: str | int = "auto", slope_quantile: float = 0.2, min_run: int = 25, smooth_window: int = 11, fraction: float = 0.95) -> DataFrame:
+def _from_chord(places: DataFrame, first: int, n: int) -> DataFrame:
+    """(j, d) of the curve from place `first` on: j counts from there, d is the distance from the chord of the ends in the unit square."""
+    seg = places.filter(F.col("i") >= first).select("value", (F.col("i") - first).alias("j"))
+    lo, hi = seg.agg(F.min("value"), F.max("value")).first()
+    scale = F.lit(hi) - F.lit(lo) + 1e-12
+    top = (F.lit(hi) - F.lit(lo)) / scale
+    return seg.select("j", (F.abs((F.col("value") - lo) / scale - F.col("j") / (n - first - 1) * top) / F.sqrt(1 + top * top)).alias("d"))
+
+
+def _rise(runs: DataFrame, n: int, slope_quantile: float, min_run: int, smooth_window: int, piece: int) -> int:
+    """The place where the first min_run smoothed slopes in a row exceed the quantile of positive ones, else 0."""
+    half = max(3, smooth_window) // 2
+    by = Window.partitionBy("piece").orderBy("i")
+    before, after = F.lag("value").over(by), F.lead("value").over(by)
+    slope = F.when(before.isNull(), after - F.col("value")).when(after.isNull(), F.col("value") - before).otherwise((after - before) / 2)
+    s = curve.pieces(runs, n, piece, half + 1, half + min_run).withColumn("dx", slope)
+    s = s.select("piece", "i", "own", (F.sum("dx").over(by.rowsBetween(-half, half)) / (2 * half + 1)).alias("dx")).persist()
+    cut = curve.quantile(s.filter("own and dx > 0").select(F.col("dx").alias("value")), slope_quantile, piece)
+    if cut is None:
+        return 0
+    above = F.sum((F.col("dx") > cut).cast("int")).over(by.rowsBetween(0, min_run - 1))
+    found = s.withColumn("above", above).filter(F.col("own") & (F.col("above") == min_run)).agg(F.min("i")).first()[0]
+    s.unpersist()
+    return found or 0
+
+
+def knee(values: DataFrame, start_mode: str | int = "auto", slope_quantile: float = 0.2, min_run: int = 25, smooth_window: int = 11, fraction: float = 0.95, piece: int = curve.PIECE) -> DataFrame:
     """(knee, threshold, occupancy) of sorted finite values: first, first_sharper, second, second_sharper.
 
     The fit starts at a sustained rise ("auto"), above 0 ("zero") or at a place. A sharper knee is where the
     distance to the chord has fallen to the fraction of its peak on the right, or else the next value.
-    occupancy: share of values above the threshold. The second knee needs ten values from the first on. Places
-    of one sorted curve come from an unpartitioned window: meant for the pixels of one map. ValueError for
-    fewer than ten values.
+    occupancy: share of values above the threshold. The second knee needs ten values from the first on. The
+    curve is dealt to pieces of `piece` places with margins as wide as the windows; single numbers alone reach
+    the driver. ValueError for fewer than ten values.
     """
     ok = values.filter("value is not null and not isnan(value) and abs(value) < double('infinity')").select(F.col("value").cast("double").alias("value"))
-    order = Window.orderBy("value")
-    curve = ok.select("value", (F.row_number().over(order) - 1).alias("i"))
     n = ok.count()
     if n < 10:
         raise ValueError("there are too few values for a knee")
-    by = Window.orderBy("i")
+    runs = curve.sorted_runs(ok, n, piece).persist()
     if start_mode == "auto":
-        half = max(3, smooth_window) // 2
-        before, after = F.lag("value").over(by), F.lead("value").over(by)
-        slope = F.when(before.isNull(), after - F.col("value")).when(after.isNull(), F.col("value") - before).otherwise((after - before) / 2)
-        s = curve.withColumn("dx", slope).withColumn("dx", F.sum("dx").over(by.rowsBetween(-half, half)) / (2 * half + 1))
-        cut = s.filter("dx > 0").agg(F.percentile("dx", slope_quantile).alias("cut"))
-        runs = s.crossJoin(F.broadcast(cut)).withColumn("up", F.coalesce(F.col("dx") > F.col("cut"), F.lit(False))).withColumn("run", F.sum((~F.col("up")).cast("int")).over(by))
-        start = runs.filter("up").groupBy("run").agg(F.min("i").alias("first"), F.count("*").alias("m")).filter(F.col("m") >= min_run).agg(F.min("first")).first()[0] or 0
+        start = _rise(runs, n, slope_quantile, min_run, smooth_window, piece)
     elif start_mode == "zero":
         start = min(ok.filter("value <= 0").count(), n - 1)
     elif isinstance(start_mode, int):
@@ -125,21 +136,22 @@ def knee(values: DataFrame, start_mode: str | int = "auto", slope_quantile: floa
         raise ValueError("start_mode is auto, zero or a place")
     if n - start < 10:
         raise ValueError("there are too few values after the start")
-    spark, found = values.sparkSession, []
-    first = start
+    places, found, first = curve.pieces(runs, n, piece), [], start
     for name in ("first", "second"):
         m = n - first
         if m < 10:
             break
-        seg = _farthest(curve.filter(F.col("i") >= first).withColumn("j", F.col("i") - first).withColumn("m", F.lit(m)), "j", "m")
-        peak = seg.agg(F.max(F.struct("d", -F.col("j"))).alias("p")).select(F.col("p.d").alias("pd"), (-F.col("p.col2")).alias("pj"))
-        cross = seg.crossJoin(F.broadcast(peak)).agg(F.first("pj").alias("pj"), F.first("pd").alias("pd"), F.min(F.when((F.col("j") >= F.col("pj")) & (F.col("d") <= F.lit(fraction) * F.col("pd")), F.col("j"))).alias("c")).first()
-        at = int(cross["pj"])
-        sharper = at if cross["pd"] <= 0 else int(cross["c"]) if cross["c"] is not None else m - 1
+        seg = _from_chord(places, first, n)
+        peak, at = seg.agg(F.max(F.struct("d", (-F.col("j")).alias("j"))).alias("p")).select("p.d", -F.col("p.j")).first()
+        if peak <= 0:
+            sharper = at
+        else:
+            fallen = seg.filter((F.col("j") >= at) & (F.col("d") <= fraction * peak)).agg(F.min("j")).first()[0]
+            sharper = m - 1 if fallen is None else fallen
         if sharper <= at < m - 1:
             sharper = at + 1
         found += [(name, first + at), (f"{name}_sharper", first + sharper)]
         first += at
-    places = spark.createDataFrame(found, "knee string, i int")
-    t = curve.join(F.broadcast(places), "i").select("knee", F.col("value").alias("threshold"))
-    return t.crossJoin(ok).groupBy("knee", "threshold").agg(F.avg((F.col("value") > F.col("threshold")).cast("double")).alias("occupancy"))  # four thresholds at most
+    marks = values.sparkSession.createDataFrame(found, "knee string, i long")
+    at = runs.join(F.broadcast(marks), (F.col("first") <= F.col("i")) & (F.col("first") + F.col("m") > F.col("i")))  # four places at most
+    return at.select("knee", F.col("value").alias("threshold"), ((F.lit(n) - F.col("first") - F.col("m")) / F.lit(n)).alias("occupancy"))

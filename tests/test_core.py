@@ -7,8 +7,8 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from nichegraph.functions.columns import cell_id, coerce_threshold, gene_category, parse_tokens
-from nichegraph.operators import clusters, colocation, enrichment, graph, niche, overlap, regions
+from nichegraph.functions.columns import cell_id, coerce_threshold, gene_category, parse_tokens, with_cell
+from nichegraph.operators import clusters, colocation, curve, enrichment, graph, niche, overlap, regions
 from nichegraph.sources.tables import gmt_terms, polygon_edges
 
 GOLDEN = [("A", 1, 1), ("A", 3, 1), ("B", 2, 5), ("B", 4, 5), ("B", 6, 5), ("A", 9, 1), ("A", 11, 3), ("C", 100, 100), ("B", -1, -1), ("B", -3, -1)]
@@ -120,6 +120,39 @@ def test_knee(spark):
         regions.knee(df.limit(5))
 
 
+def test_curve_in_pieces_matches_numpy(spark):
+    rng = np.random.default_rng(3)
+    x = np.concatenate([np.round(rng.normal(size=300), 1), np.full(150, 0.5), rng.normal(size=50)])  # ties, and one value in a third of the rows
+    df = spark.createDataFrame([(float(v),) for v in x], "value double")
+    runs = curve.sorted_runs(df, len(x), strip=40)
+    assert runs.count() == len(np.unique(x))
+    rows = curve.pieces(runs, len(x), size=37, before=3, after=5).toPandas()
+    own = rows[rows.own].sort_values("i")
+    assert own.i.tolist() == list(range(len(x))) and own.value.tolist() == sorted(x)
+    for p, g in rows.groupby("piece"):
+        assert sorted(g.i) == list(range(max(0, p * 37 - 3), min(len(x), (p + 1) * 37 + 5)))
+    for q in (0.0, 0.2, 0.77, 1.0):
+        assert curve.quantile(df, q, strip=40) == pytest.approx(np.quantile(x, q), abs=1e-12)
+    assert curve.quantile(df.limit(0), 0.5) is None
+
+
+def test_knee_is_the_same_in_pieces(spark):
+    x = np.concatenate([np.zeros(200), np.linspace(0, 1, 300) ** 3, np.linspace(1, 9, 60)])
+    df = spark.createDataFrame([(float(v),) for v in x], "value double")
+    for mode in ("auto", 5):
+        whole, parts = (sorted(map(tuple, regions.knee(df, mode, piece=k).collect())) for k in (10_000, 50))
+        assert whole == parts and len(whole) == 4
+    with pytest.raises(ValueError):
+        regions.knee(df, "other")
+
+
+def test_floating_cells_follow_the_whole_column(spark):
+    ids = lambda values: [r.cell for r in with_cell(spark.createDataFrame([(v,) for v in values], "v double"), "v").collect()]
+    assert ids([3.0, -1.0, None, float("nan"), 4.0]) == ["3", None, None, None, "4"]
+    assert ids([3.0, -1.0, 4.5]) == ["3.0", None, "4.5"]
+    assert ids([-1.0, None]) == [None, None]
+
+
 def test_polygon(spark):
     edges = polygon_edges(spark, {"type": "Polygon", "coordinates": [[[0, 0], [4, 0], [4, 4], [0, 4]], [[1, 1], [2, 1], [2, 2], [1, 2]]]})
     grid = spark.createDataFrame([(0.0, 0.0, 6, 6)], "x_min double, y_min double, width int, height int")

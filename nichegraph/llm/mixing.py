@@ -1,9 +1,10 @@
 """Mixing sources to target weights: iterative proportional fitting, then calibrated sampling. Native.
 
 The cells of source x language x topic hold token counts. Raking scales their weights to each target
-marginal in turn until all hold; a cell's sampling probability is its weight over its tokens, scaled so
-that the largest is 1. Only the table of cells, which has no more rows than combinations that occur, is
-iterated over; documents are read twice, to count and to sample.
+marginal in turn until all hold; a cell's sampling probability is its weight over its tokens, scaled by one
+factor so that LEAST_SHARE of the tokens is expected to stay, and 1 where that gives more. Only the table of
+cells, which has no more rows than combinations that occur, is iterated over; documents are read twice, to
+count and to sample.
 """
 
 from __future__ import annotations
@@ -16,6 +17,8 @@ from . import shared
 DIMENSIONS = ["source", "lang", "topic"]
 #: Exponents of the default targets: shares of a dimension's values are tempered by it; 1 holds them as they are.
 TEMPER = {"source": 0.7, "lang": 0.7, "topic": 1.0}
+#: Share of the tokens of cells with a weight that is expected to stay at least, however rare the rarest cell.
+LEAST_SHARE = 0.6
 SWEEPS, TOLERANCE, MOST_SWEEPS, ONE_TASK = 10, 1e-6, 200, 50_000
 
 
@@ -81,19 +84,44 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame], tolerance: float = TOL
     return rows.select(*cells.columns, "weight")
 
 
-def with_probability(docs: DataFrame, targets: dict[str, DataFrame] | None = None, seed: int = 17) -> DataFrame:
-    """described(docs) with _weight and _probability of the cell and the document's _draw.
+def factor(cells: DataFrame, share: float = LEAST_SHARE) -> float:
+    """The factor c of probabilities min(1, c * weight / tokens) by which the share of tokens is expected to stay.
 
-    _probability: the cell's weight over its tokens, as a share of the largest such ratio; 1 in cells without
-    tokens, whose documents change no weight. _draw: uniform in [0, 1) from the id and the seed, so any rerun
-    keeps the same documents, and repeated ids stay or go together; a null id draws from its description.
+    Only cells with a weight count. Where the weights hold exactly at a larger share, c is that of the largest:
+    1 over the largest ratio. Expected tokens are a concave function of c made of straight pieces, so steps
+    along its slope never pass the solution and end at it.
+    """
+    ratio = F.col("weight") / F.col("tokens")
+    some = cells.filter("tokens > 0 and weight > 0")
+    top, total = some.agg(F.max(ratio), F.sum("tokens")).first()
+    if not top:
+        return 1.0
+    c = 1 / top
+    while True:
+        full = ratio * c >= 1
+        whole, rest = some.agg(F.sum(F.when(full, F.col("tokens")).otherwise(F.lit(0))), F.sum(F.when(full, F.lit(0.0)).otherwise(F.col("weight")))).first()
+        new = (share * total - whole) / rest if rest > 0 else c
+        if new <= c * (1 + 1e-12):
+            return c
+        c = new
+
+
+def with_probability(docs: DataFrame, targets: dict[str, DataFrame] | None = None, seed: int = 17, share: float = LEAST_SHARE) -> DataFrame:
+    """described(docs) with _weight, _probability and _short of the cell and the document's _draw.
+
+    _probability: the cell's weight over its tokens times factor(), 1 at most; 1 in cells without tokens, whose
+    documents change no weight. _short: by how much the cell's share of the tokens expected to stay is below its
+    weight, as all of its documents stay and are too few; 0 in cells that are sampled. _draw: uniform in [0, 1)
+    from the id and the seed, so any rerun keeps the same documents, and repeated ids stay or go together; a null
+    id draws from its description.
     """
     cells = cells_of(docs)
     done = rake(cells, targets or default_targets(cells))
-    done = done.withColumn("_ratio", F.try_divide("weight", "tokens"))
-    top = done.agg(F.max("_ratio").alias("_top"))
-    one = F.coalesce(F.try_divide("_ratio", "_top"), F.lit(1.0)).alias("_probability")
-    done = done.crossJoin(top).select(*(F.col(d).alias(f"_cell_{d}") for d in DIMENSIONS), F.col("weight").alias("_weight"), one)
+    one = F.coalesce(F.least(F.try_divide("weight", "tokens") * factor(done, share), F.lit(1.0)), F.lit(1.0))
+    done = done.withColumn("_probability", one)
+    stays = done.agg(F.sum(F.col("tokens") * F.col("_probability")).alias("_stays"))
+    short = F.when((F.col("_probability") >= 1) & (F.col("tokens") > 0), F.greatest(F.col("weight") - F.try_divide("tokens", "_stays"), F.lit(0.0))).otherwise(F.lit(0.0))
+    done = done.crossJoin(stays).select(*(F.col(d).alias(f"_cell_{d}") for d in DIMENSIONS), F.col("weight").alias("_weight"), "_probability", short.alias("_short"))
     if cells.count() <= ONE_TASK:
         done = F.broadcast(done)
     on = [F.col(f"_{d}") == F.col(f"_cell_{d}") for d in DIMENSIONS]
@@ -103,8 +131,8 @@ def with_probability(docs: DataFrame, targets: dict[str, DataFrame] | None = Non
 
 
 def calibrated(docs: DataFrame, targets: dict[str, DataFrame] | None = None, seed: int = 17) -> DataFrame:
-    """(doc_id, source, lang, topic, tokens, weight, probability, draw, kept) per document; kept: draw < probability."""
-    names = [*DIMENSIONS, "tokens", "weight", "probability", "draw"]
+    """(doc_id, source, lang, topic, tokens, weight, probability, short, draw, kept) per document; kept: draw < probability."""
+    names = [*DIMENSIONS, "tokens", "weight", "probability", "short", "draw"]
     rows = with_probability(docs.select("doc_id", "text", "source", "lang"), targets, seed)
     return rows.select("doc_id", *(F.col(f"_{n}").alias(n) for n in names), (F.col("_draw") < F.col("_probability")).alias("kept"))
 

@@ -174,6 +174,18 @@ def test_op4_sampling_is_calibrated(docs):
     assert sorted(kept.doc_id) == sorted(got.doc_id[got.kept])
 
 
+def test_op4_a_rare_language_leaves_the_corpus(spark):
+    rows = [(i, "word " * 100, "en" if i % 3 else "de", f"s{i % 2}", 500) for i in range(6000)]
+    df = spark.createDataFrame([*rows, (6000, "word", None, "s0", 4)], DOCS)
+    got = mixing.calibrated(df).toPandas()
+    assert abs((got.probability * got.tokens).sum() / got.tokens.sum() - mixing.LEAST_SHARE) < 1e-6
+    assert got.tokens[got.kept].sum() > 0.55 * got.tokens.sum()
+    rare = got[got.lang == ""].iloc[0]
+    assert rare.probability == 1 and rare.short == pytest.approx(rare.weight - 1 / (got.probability * got.tokens).sum()) and rare.short > 0
+    rest = got[got.lang != ""]
+    assert (rest.short == 0).all() and np.allclose(rest.probability / (rest.weight / rest.groupby(["source", "lang", "topic"]).tokens.transform("sum")), (rest.probability * rest.groupby(["source", "lang", "topic"]).tokens.transform("sum") / rest.weight).iloc[0])
+
+
 def test_op5_op6_held_out(spark):
     d = "/root/testdata/sf0.01"
     docs, labels = shared.table(spark, d, "documents"), shared.table(spark, d, "labels")

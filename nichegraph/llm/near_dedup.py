@@ -22,6 +22,8 @@ from pyspark.sql import functions as F
 from . import shared
 
 RADIUS, SHINGLE, SEED = 2, 3, 42
+#: Near copies of whole texts: Jaccard similarity of sets of runs of words; bands of minimum hashes and hashes in each, which find 0.8 in 99.9 % of cases.
+SIMILARITY, LONG_SHINGLE, BANDS, ROWS = 0.8, 5, 28, 7
 #: Fingerprints of a group (the groups are few for small inputs and at most MOST_GROUPS), children of a node, queries descended at once.
 GROUP, MOST_GROUPS, FANOUT, AT_ONCE = 8192, 65_536, 16, 1024
 
@@ -199,19 +201,100 @@ def classes(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     return rows.join(one, "code").select("doc_id", text, "component_id", "root")
 
 
-def deduplicated(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """The rows of docs without near-duplicates: of each component the row with the smallest id stays.
+def signatures(text: Column, shingle: int, bands: int = BANDS, rows: int = ROWS) -> Column:
+    """A 64-bit hash per band: of the band's minima of the shingles' hashes. Texts without words have none."""
 
-    Of rows that repeat that id one stays, and of a component of null ids alone one.
+    @F.pandas_udf("array<long>")
+    def run(t: pd.Series) -> pd.Series:
+        draw = np.random.default_rng(SEED)
+        by, plus = (draw.integers(0, 1 << 63, (bands * rows, 1), dtype=np.uint64) for _ in range(2))
+        by, out = by * np.uint64(2) + np.uint64(1), []
+        for x in t:
+            h = np.array(sorted(shingles(x, shingle)), dtype=np.uint64)
+            if not len(h):
+                out.append([])
+                continue
+            least = np.full(bands * rows, (1 << 32) - 1, dtype=np.uint64)
+            for i in range(0, len(h), 4096):
+                least = np.minimum(least, ((h[i : i + 4096] * by + plus) >> np.uint64(32)).min(1))
+            least = least.astype("<u4").reshape(bands, rows)
+            out.append([xxhash.xxh64_intdigest(b.tobytes(), k) - (1 << 63) for k, b in enumerate(least)])
+        return pd.Series(out)
+
+    return run(text)
+
+
+def shingles(text: str, shingle: int) -> set[int]:
+    """XXH64 of the distinct runs of so many lower-case words; of all words where there are fewer."""
+    words = text.encode("utf-8", "replace").lower().split()
+    grams = map(b" ".join, zip(*(words[i:] for i in range(shingle)))) if len(words) >= shingle else [b" ".join(words)] if words else []
+    return {xxhash.xxh64_intdigest(g, SEED) for g in grams}
+
+
+def similar_links(signed: DataFrame, texts: DataFrame, similarity: float, shingle: int) -> DataFrame:
+    """Links (a, b) of keys whose texts' sets of shingles have at least this Jaccard similarity, exactly computed.
+
+    Texts that agree in a band are compared with the one of them with the smallest key; those that aren't
+    similar to it are compared among themselves in the next round, until no band has two left.
+    """
+
+    @F.pandas_udf("boolean")
+    def similar(x: pd.Series, y: pd.Series) -> pd.Series:
+        last, of, out = None, set(), []
+        for a, b in zip(x, y):
+            if b != last:
+                last, of = b, shingles(b, shingle)
+            mine = shingles(a, shingle)
+            both = len(mine & of)
+            out.append(both >= similarity * (len(mine) + len(of) - both))
+        return pd.Series(out, dtype=bool)
+
+    left = shared.written(signed.select("key", F.explode("signature").alias("band")))
+    links, tried = None, None
+    while True:
+        least = left.groupBy("band").agg(F.min("key").alias("b"), F.count("*").alias("n")).filter("n > 1").drop("n")
+        left = shared.written(left.join(least, "band").filter("key <> b"))
+        if left.isEmpty():
+            return links if links is not None else signed.select(F.col("key").alias("a"), F.col("key").alias("b")).limit(0)
+        pairs = left.select(F.col("key").alias("a"), "b").distinct()
+        if tried is not None:
+            pairs = pairs.join(tried, ["a", "b"], "left_anti")
+        one, two = (texts.select(F.col("key").alias(k), F.col("text").alias(f"text_{k}")) for k in "ab")
+        done = shared.written(pairs.join(one, "a").join(two, "b").select("a", "b", similar("text_a", "text_b").alias("linked")))
+        found = done.filter("linked").select("a", "b")
+        links = found if links is None else links.union(found)
+        tried = done.select("a", "b") if tried is None else tried.union(done.select("a", "b"))
+        left = left.join(links.select(F.col("a").alias("key"), "b"), ["key", "b"], "left_anti").select("key", "band")
+
+
+def similar_classes(docs: DataFrame, similarity: float = SIMILARITY, shingle: int = LONG_SHINGLE) -> DataFrame:
+    """(doc_id, key, component_id, root) per document, as classes(): components of texts with at least this similarity.
+
+    key: the text's MD5. Candidates agree in one of BANDS bands of minimum hashes and are confirmed exactly.
+    """
+    rows = shared.written(shared.texts(docs).select("doc_id", F.md5("text").alias("key"), signatures(F.col("text"), shingle).alias("signature")))
+    keys = shared.written(rows.groupBy("key").agg(F.min("doc_id").alias("least"), F.first("signature").alias("signature")))
+    texts = shared.texts(docs).select(F.md5("text").alias("key"), "text").dropDuplicates(["key"])
+    found = shared.components(similar_links(keys, texts, similarity, shingle)).withColumnRenamed("node", "key")
+    one = shared.written(keys.join(found, "key", "left").select("key", "least", F.coalesce("root", "key").alias("root")))
+    smallest = one.groupBy("root").agg(F.min("least").alias("component_id"))
+    return rows.select("doc_id", "key").join(one.join(smallest, "root").select("key", "root", "component_id"), "key").select("doc_id", "key", "component_id", "root")
+
+
+def deduplicated(docs: DataFrame, radius: int = RADIUS, similarity: float | None = None, shingle: int = LONG_SHINGLE) -> DataFrame:
+    """The rows of docs without near-duplicates: of each class the row with the smallest id stays.
+
+    Classes are of fingerprints within the radius or, with a similarity, of texts with such sets of shingles.
     """
-    found = shared.written(classes(docs, radius))
-    stays = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    n, ids, nulls = stays.agg(F.count("*"), F.countDistinct("doc_id"), F.count(F.when(F.col("doc_id").isNull(), 1))).first()
-    kept = docs.join(stays.filter("doc_id is not null").select("doc_id").distinct(), "doc_id", "left_semi").select(*docs.columns)
-    if n - nulls > ids:
-        kept = kept.dropDuplicates(["doc_id"])
-    if nulls:
-        rest = docs.filter("doc_id is null").withColumn("_code", code_of(F.coalesce(F.col("text"), F.lit(""))))
-        roots = stays.filter("doc_id is null").select(F.conv("fingerprint", 16, -10).cast("long").alias("_code"), F.col("root").alias("_root")).distinct()
-        kept = kept.union(rest.join(roots, "_code").dropDuplicates(["_root"]).select(*docs.columns))
-    return kept
+    text = F.coalesce(F.col("_row.text"), F.lit(""))
+    if similarity is None:
+        key, found = code_of(text), classes(docs, radius).withColumn("key", F.conv("fingerprint", 16, -10).cast("long"))
+    else:
+        key, found = F.md5(text), similar_classes(docs, similarity, shingle)
+    stays = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("root").agg(F.min(F.struct("doc_id", "key")).alias("_stay"))
+    stays = shared.written(stays.select(F.col("_stay.doc_id").alias("_id"), F.col("_stay.key").alias("_key")))
+    rows = docs.select(F.struct("*").alias("_row")).withColumn("_code", key)
+    kept = rows.join(stays, (F.col("_code") == F.col("_key")) & F.col("_row.doc_id").cast("long").eqNullSafe(F.col("_id")))
+    if kept.select("_code").count() > stays.count():
+        kept = kept.dropDuplicates(["_code"])
+    return kept.select("_row.*")

@@ -30,3 +30,15 @@ def test_op8_stage_finds_copies_of_0_8_to_0_95(spark):
     assert near_dedup.deduplicated(df).count() > apart + 40
     kept = {r.doc_id for r in left.collect()}
     assert set(range(0, 160, 2)) <= kept
+
+
+def test_op8_repeated_ids_with_unequal_texts(spark):
+    a, b = (" ".join(f"{k}{i}" for i in range(200)) for k in "ab")
+    rows = [(1, a, "en", "s", 0), (2, a, "en", "s", 0), (1, b, "en", "s", 0), (3, b, "en", "s", 0), (None, a, "en", "s", 0), (None, "c c", "en", "s", 0), (None, "c c", "en", "s", 0), (None, "d d", "en", "s", 0)]
+    df = spark.createDataFrame(rows, DOCS)
+    for options in ({}, {"similarity": 0.8}):
+        got = near_dedup.deduplicated(df, **options).collect()
+        assert sorted((r.doc_id or 0, r.text) for r in got) == sorted([(1, a), (1, b), (0, "c c"), (0, "d d")])
+    c = " ".join(f"c{i}" for i in range(200))
+    df = spark.createDataFrame([(1, a, "en", "s", 0), (2, a, "en", "s", 0), (0, b, "en", "s", 0), (1, b, "en", "s", 0), (4, c, "en", "s", 0)], DOCS)
+    assert sorted((r.doc_id, r.text) for r in near_dedup.deduplicated(df, similarity=0.8).collect()) == sorted([(1, a), (0, b), (4, c)])

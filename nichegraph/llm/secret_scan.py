@@ -22,7 +22,9 @@ WINDOW = 20
 #: Alphabet of a candidate, its class: bits a character from which a window counts as random.
 CLASSES = {"digits": (r"[0-9]+", 9.9), "hexadecimal": (r"[0-9a-fA-F]+", 3.2), "base32": (r"[A-Z2-7=]+", 3.6), "base64": (r"[A-Za-z0-9+/=_-]+", 3.75)}
 #: No secrets: UUIDs, strings without digits or without letters, and (up to LONGEST) words joined by signs, as in paths.
-ALLOW = [r"^[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$", r"^[^0-9]*$", r"^[^A-Za-z]*$", r"(?i)example|sample|dummy|placeholder|x{8}"]
+#: A piece between signs that says it is an example is cut out; what stands beside it is judged by itself.
+ALLOW = [r"^[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$", r"^[^0-9]*$", r"^[^A-Za-z]*$"]
+SHOWN, PIECE = r"(?i)example|sample|dummy|placeholder|x{8}", r"(?i)(?<![A-Z0-9])[A-Z0-9]*?(?:example|sample|dummy|placeholder|x{8})[A-Z0-9]*"
 JOINED, LONGEST = r"^(?:[A-Z]?[a-z]*+[0-9]{0,4}+[-/_=+]++)*+[A-Z]?[a-z]*+[0-9]{0,4}+$", 256
 
 
@@ -67,8 +69,26 @@ def peak_entropy(value: Column, window: int = WINDOW) -> Column:
     return F.aggregate(chars, start, step, lambda acc: F.log2(size.cast("double")) - F.greatest(acc["least"], F.lit(0.0)) / size)
 
 
-def random_strings(text: Column) -> Column:
-    """Array of (start, end, value) of candidate strings with a random window that no allow-list pattern covers."""
+def stretches(found: Column, cuts: Column) -> Column:
+    """Array of (start, end, value): what the cuts, sorted by start, leave of each of the strings found."""
+
+    def left(x: Column) -> Column:
+        over = F.filter(cuts, lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"]))
+        part = lambda start, end: F.struct(start.alias("start"), end.alias("end"), F.substring(x["value"], start - x["start"] + 1, end - start).alias("value"))
+        nothing = F.struct(x["start"].alias("at"), F.array().cast("array<struct<start:int,end:int,value:string>>").alias("parts"))
+
+        def step(acc: Column, b: Column) -> Column:
+            more = F.when(b["start"] > acc["at"], F.concat(acc["parts"], F.array(part(acc["at"], b["start"])))).otherwise(acc["parts"])
+            return F.struct(F.greatest(acc["at"], b["end"]).alias("at"), more.alias("parts"))
+
+        rest = lambda acc: F.when(acc["at"] < x["end"], F.concat(acc["parts"], F.array(part(acc["at"], x["end"])))).otherwise(acc["parts"])
+        return F.when(F.size(over) > 0, F.aggregate(over, nothing, step, rest)).otherwise(F.array(x))
+
+    return F.flatten(F.transform(found, left))
+
+
+def random_strings(found: Column) -> Column:
+    """Those of an array of (start, end, value) that have a random window and that no allow-list pattern covers."""
     whole = lambda p: f"^(?:{p})$"
 
     def keeps(x: Column) -> Column:
@@ -76,12 +96,12 @@ def random_strings(text: Column) -> Column:
         bar = F.lit(99.0)
         for pattern, bits in reversed(CLASSES.values()):
             bar = F.when(v.rlike(whole(pattern)), F.lit(bits)).otherwise(bar)
-        allowed = (F.length(v) <= LONGEST) & v.rlike(JOINED)
+        allowed = (F.length(v) < LEAST) | (F.length(v) <= LONGEST) & v.rlike(JOINED)
         for p in ALLOW:
             allowed = allowed | v.rlike(p)
         return F.when(allowed, F.lit(False)).otherwise(peak_entropy(v) >= bar)
 
-    return F.filter(matches(text, CANDIDATE), keeps)
+    return F.filter(found, keeps)
 
 
 def _spans(found: Column, kind: int, least: int) -> Column:
@@ -92,8 +112,9 @@ def _spans(found: Column, kind: int, least: int) -> Column:
 def secret_spans(docs: DataFrame) -> DataFrame:
     """docs with spans, an array of (start, kind, end) in order: assign, access, hex, then entropy for each start.
 
-    A kind's pattern is only taken apart in texts that it occurs in. An entropy span that lies within a span
-    of the three patterns, or holds one, is left out. Null and empty texts have no spans.
+    A kind's pattern is only taken apart in texts that it occurs in. Entropy spans are stretches of candidates
+    that spans of the three patterns and pieces that say they are examples leave. Null and empty texts have no
+    spans.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     none = F.array().cast("array<struct<start:int,kind:int,end:int>>")
@@ -102,9 +123,11 @@ def secret_spans(docs: DataFrame) -> DataFrame:
         near = pattern if k == 0 else r"AKIA[A-Z0-9]{16}" if k == 1 else r"[0-9a-f]{24}"
         found.append(F.when(text.rlike(near), _spans(matches(text, pattern, group), k, least)).otherwise(none))
     base = F.array_sort(F.concat(*found))
-    more = F.when(text.rlike(CANDIDATE), _spans(random_strings(text), len(KINDS), LEAST)).otherwise(none)
-    rows = docs.withColumn("base_spans", base).withColumn("more_spans", more)
-    fresh = F.filter("more_spans", lambda x: ~F.exists(F.col("base_spans"), lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"])))
+    shown = F.when(text.rlike(SHOWN), _spans(matches(text, PIECE), len(KINDS), 1)).otherwise(none)
+    rows = docs.withColumn("base_spans", base)
+    cuts = F.array_sort(F.concat("base_spans", shown))
+    rows = rows.withColumn("more_spans", F.when(text.rlike(CANDIDATE), stretches(matches(text, CANDIDATE), cuts)).otherwise(F.array().cast("array<struct<start:int,end:int,value:string>>")))
+    fresh = _spans(random_strings(F.col("more_spans")), len(KINDS), LEAST)
     return rows.withColumn("spans", F.array_sort(F.concat("base_spans", fresh))).drop("more_spans")
 
 

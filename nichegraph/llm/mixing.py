@@ -46,7 +46,7 @@ def described(docs: DataFrame) -> DataFrame:
 def cells_of(docs: DataFrame) -> DataFrame:
     """(source, lang, topic, tokens, documents) of each combination that occurs, as a written table."""
     keys = [F.col(f"_{d}").alias(d) for d in DIMENSIONS]
-    return shared.written(described(docs).groupBy(*keys).agg(F.sum("_tokens").alias("tokens"), F.count("*").alias("documents")))
+    return shared.written(described(docs.select("text", *DIMENSIONS[:2])).groupBy(*keys).agg(F.sum("_tokens").alias("tokens"), F.count("*").alias("documents")))
 
 
 def default_targets(cells: DataFrame, temper: dict[str, float] = TEMPER) -> dict[str, DataFrame]:
@@ -107,7 +107,7 @@ def factor(cells: DataFrame, share: float = LEAST_SHARE) -> float:
 
 
 def with_probability(docs: DataFrame, targets: dict[str, DataFrame] | None = None, seed: int = 17, share: float = LEAST_SHARE) -> DataFrame:
-    """described(docs) with _weight, _probability and _short of the cell and the document's _draw.
+    """_row, the struct of a row of docs, and its description with _weight, _probability and _short of the cell and the document's _draw.
 
     _probability: the cell's weight over its tokens times factor(), 1 at most; 1 in cells without tokens, whose
     documents change no weight. _short: by how much the cell's share of the tokens expected to stay is below its
@@ -127,7 +127,8 @@ def with_probability(docs: DataFrame, targets: dict[str, DataFrame] | None = Non
     on = [F.col(f"_{d}") == F.col(f"_cell_{d}") for d in DIMENSIONS]
     by = F.coalesce(F.col("doc_id").cast("string"), F.concat_ws(" ", *(f"_{d}" for d in DIMENSIONS), "_tokens"))
     draw = F.shiftrightunsigned(F.xxhash64(by, F.lit(seed)), 11) / F.lit(float(1 << 53))
-    return described(docs).join(done, on).withColumn("_draw", draw).drop(*(f"_cell_{d}" for d in DIMENSIONS))
+    rows = described(docs.select(F.struct("*").alias("_row"), "doc_id", "text", *DIMENSIONS[:2]))
+    return rows.join(done, on).withColumn("_draw", draw).drop(*(f"_cell_{d}" for d in DIMENSIONS))
 
 
 def calibrated(docs: DataFrame, targets: dict[str, DataFrame] | None = None, seed: int = 17) -> DataFrame:
@@ -139,4 +140,4 @@ def calibrated(docs: DataFrame, targets: dict[str, DataFrame] | None = None, see
 
 def mixed(docs: DataFrame, targets: dict[str, DataFrame] | None = None, seed: int = 17) -> DataFrame:
     """The rows of docs that calibrated() keeps, with the columns of docs."""
-    return with_probability(docs, targets, seed).filter("_draw < _probability").select(*docs.columns)
+    return with_probability(docs, targets, seed).filter("_draw < _probability").select("_row.*")

@@ -145,8 +145,7 @@ def scan(docs: DataFrame) -> DataFrame:
 
 def redact(docs: DataFrame, mark: str = "[secret]") -> DataFrame:
     """docs with each run of overlapping spans replaced by the mark and n_chars set anew; other texts stay as they are."""
-    columns = docs.columns
-    rows = secret_spans(docs)
+    rows = secret_spans(docs.select(F.struct("*").alias("_row"), "text"))
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
     def step(acc: Column, x: Column) -> Column:
@@ -155,6 +154,6 @@ def redact(docs: DataFrame, mark: str = "[secret]") -> DataFrame:
 
     clean = F.aggregate("spans", start, step, lambda acc: F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, F.length("text"))))
     rows = rows.withColumn("text", F.when(F.size("spans") > 0, clean).otherwise(F.col("text")))
-    if "n_chars" in columns:
-        rows = rows.withColumn("n_chars", F.when(F.size("spans") > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars")))
-    return rows.select(*columns)
+    old = {c: F.col("_row").getField(c) for c in docs.columns}
+    new = {"text": F.col("text"), "n_chars": F.when(F.size("spans") > 0, F.char_length("text").cast("long")).otherwise(old.get("n_chars", F.lit(None)))}
+    return rows.select(*(new.get(c, old[c]).alias(c) for c in docs.columns))

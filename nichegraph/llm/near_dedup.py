@@ -24,6 +24,8 @@ from . import shared
 RADIUS, SHINGLE, SEED = 2, 3, 42
 #: Near copies of whole texts: Jaccard similarity of sets of runs of words; bands of minimum hashes and hashes in each, which find 0.8 in 99.9 % of cases.
 SIMILARITY, LONG_SHINGLE, BANDS, ROWS = 0.8, 5, 28, 7
+#: Pairs up to which a round sends their keys to the texts, which then needn't be dealt out; it changes no result.
+FEW = 20_000
 #: Fingerprints of a group (the groups are few for small inputs and at most MOST_GROUPS), children of a node, queries descended at once.
 GROUP, MOST_GROUPS, FANOUT, AT_ONCE = 8192, 65_536, 16, 1024
 
@@ -259,7 +261,10 @@ def similar_links(signed: DataFrame, texts: DataFrame, similarity: float, shingl
         pairs = left.select(F.col("key").alias("a"), "b").distinct()
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        one, two = (texts.select(F.col("key").alias(k), F.col("text").alias(f"text_{k}")) for k in "ab")
+        pairs = shared.written(pairs)
+        ends = pairs.select(F.col("a").alias("key")).union(pairs.select(F.col("b").alias("key"))).distinct()
+        few = texts.join(F.broadcast(ends), "key", "left_semi") if pairs.count() <= FEW else texts
+        one, two = (few.select(F.col("key").alias(k), F.col("text").alias(f"text_{k}")) for k in "ab")
         done = shared.written(pairs.join(one, "a").join(two, "b").select("a", "b", similar("text_a", "text_b").alias("linked")))
         found = done.filter("linked").select("a", "b")
         links = found if links is None else links.union(found)
@@ -274,7 +279,7 @@ def similar_classes(docs: DataFrame, similarity: float = SIMILARITY, shingle: in
     """
     rows = shared.written(shared.texts(docs).select("doc_id", F.md5("text").alias("key"), signatures(F.col("text"), shingle).alias("signature")))
     keys = shared.written(rows.groupBy("key").agg(F.min("doc_id").alias("least"), F.first("signature").alias("signature")))
-    texts = shared.texts(docs).select(F.md5("text").alias("key"), "text").dropDuplicates(["key"])
+    texts = shared.written(shared.texts(docs).select(F.md5("text").alias("key"), "text").dropDuplicates(["key"]))
     found = shared.components(similar_links(keys, texts, similarity, shingle)).withColumnRenamed("node", "key")
     one = shared.written(keys.join(found, "key", "left").select("key", "least", F.coalesce("root", "key").alias("root")))
     smallest = one.groupBy("root").agg(F.min("least").alias("component_id"))

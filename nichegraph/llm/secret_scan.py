@@ -1,11 +1,16 @@
 """Secret scans: three patterns, and sliding-window Shannon entropy over candidate strings. Native.
 
 Spark's functions return a pattern's matches without their places. The pieces between the matches, from a
-split by the same pattern, give them: a match starts after all pieces and matches before it.
+split by the same pattern, give them: a match starts after all pieces and matches before it. Running totals
+are taken in pieces of about the root of their number, and text is cut from an array of short strips, so that
+neither the number of matches nor a text's length makes a step dearer than the root of it.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from math import log2
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,78 +22,122 @@ KINDS = {
     "access": (r"AKIA[A-Z0-9]+", 0, 20),
     "hex": (r"[0-9a-f]+", 0, 24),
 }
+#: Patterns that find a kind's spans of enough characters alone: runs are maximal, so these are the same spans. Short assignments
+#: may cover the start of others and have to be found to be left out.
+LONG = {"access": r"AKIA[A-Z0-9]{16,}", "hex": r"[0-9a-f]{24,}"}
 CANDIDATE, LEAST = r"[A-Za-z0-9+/=_-]{20,}", 20
 WINDOW = 20
 #: Alphabet of a candidate, its class: bits a character from which a window counts as random.
-CLASSES = {"digits": (r"[0-9]+", 9.9), "hexadecimal": (r"[0-9a-fA-F]+", 3.2), "base32": (r"[A-Z2-7=]+", 3.6), "base64": (r"[A-Za-z0-9+/=_-]+", 3.75)}
-#: No secrets: UUIDs, strings without digits or without letters, and (up to LONGEST) words joined by signs, as in paths.
+CLASSES = {"hexadecimal": (r"[0-9a-fA-F]+", 3.2), "base32": (r"[A-Z2-7=]+", 3.6), "base64": (r"[A-Za-z0-9+/=_-]+", 3.75)}
+#: The signs of candidates; a window's counts of so many signs fit in one number of 64 bits, five for each.
+SIGNS, PER_WORD, COUNT_BITS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/=_-", 12, 5
+#: No secrets: UUIDs, strings without digits or without letters, and words joined by signs, as in paths.
 #: A piece between signs that says it is an example is cut out; what stands beside it is judged by itself.
 ALLOW = [r"^[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$", r"^[^0-9]*$", r"^[^A-Za-z]*$"]
 SHOWN, PIECE = r"(?i)example|sample|dummy|placeholder|x{8}", r"(?i)(?<![A-Z0-9])[A-Z0-9]*?(?:example|sample|dummy|placeholder|x{8})[A-Z0-9]*"
-JOINED, LONGEST = r"^(?:[A-Z]?[a-z]*+[0-9]{0,4}+[-/_=+]++)*+[A-Z]?[a-z]*+[0-9]{0,4}+$", 256
+JOINTS, WORD = r"[-/_=+]+", r"^[A-Z]?[a-z]*[0-9]{0,4}$"
+#: Code points of the strips that text is cut from; what stands for a cut-out sign.
+STRIP, BLANK = 1024, " "
 
 
-def matches(text: Column, pattern: str, group: int = 0) -> Column:
-    """Array of (start, end, value): a pattern's leftmost matches, in code points, end exclusive; value: the group."""
-    whole, value = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
-    gaps = F.split(text, pattern, -1)
-    steps = F.arrays_zip(F.slice(gaps, 1, F.size(whole)).alias("gap"), whole.alias("whole"), value.alias("value"))
-    nothing = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,value:string>>").alias("found"))
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is worked out once, however often body has it."""
+    return F.transform(F.array(value), body)[0]
 
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + F.length(x["gap"])
-        end = start + F.length(x["whole"])
-        return F.struct(end.alias("at"), F.concat(acc["found"], F.array(F.struct(start.alias("start"), end.alias("end"), x["value"].alias("value")))).alias("found"))
 
-    return F.aggregate(steps, nothing, step, lambda acc: acc["found"])
+def running(values: Column, join: Callable[[Column, Column], Column]) -> Column:
+    """Array of the running totals of an array of ints: join of all values up to each, from 0."""
 
+    def totals(x: Column) -> Column:
+        last = lambda acc: F.coalesce(F.get(acc, F.size(acc) - 1), F.lit(0))
+        return F.aggregate(x, F.array().cast("array<int>"), lambda acc, v: F.concat(acc, F.array(join(last(acc), v))))
 
-def _nlog(n: Column) -> Column:
-    return F.when(n > 1, n * F.log2(n.cast("double"))).otherwise(F.lit(0.0))
+    def parts(x: Column) -> Column:
+        width = F.ceil(F.sqrt(F.size(x).cast("double"))).cast("int")
+        return F.transform(F.sequence(F.lit(0), F.floor((F.size(x) - 1) / width).cast("int")), lambda i: totals(F.slice(x, i * width + 1, width)))
 
+    def joined(p: Column) -> Column:
+        ends = totals(F.transform(p, lambda x: F.get(x, F.size(x) - 1)))
+        return let(ends, lambda e: F.flatten(F.transform(p, lambda x, i: F.when(i == 0, x).otherwise(F.transform(x, lambda v: join(F.get(e, i - 1), v))))))
 
-def peak_entropy(value: Column, window: int = WINDOW) -> Column:
-    """Largest Shannon entropy, in bits a character, of the string's windows; shorter strings are one window.
+    return let(values, lambda x: F.when(F.size(x) > 0, let(parts(x), joined)).otherwise(F.array().cast("array<int>")))
 
-    The sum of n log2 n over the characters' counts n follows the window: the count of the character that
-    enters and of the one that leaves are all that change.
-    """
-    size = F.least(F.length(value), F.lit(window))
-    chars = F.regexp_extract_all(value, F.lit("(?s)."), F.lit(0))
-    start = F.struct(F.lit("").alias("seen"), F.lit(0.0).cast("double").alias("s"), F.lit(-1.0).cast("double").alias("least"))
-    count = lambda seen, c: F.length(seen) - F.length(F.replace(seen, c, F.lit("")))
 
-    def step(acc: Column, c: Column) -> Column:
-        full = F.length(acc["seen"]) == size
-        gone, rest = F.substring(acc["seen"], 1, 1), F.when(full, F.substring(acc["seen"], 2, window)).otherwise(acc["seen"])
-        left = F.when(full, _nlog(count(acc["seen"], gone)) - _nlog(count(acc["seen"], gone) - 1)).otherwise(F.lit(0.0))
-        s = acc["s"] - left + _nlog(count(rest, c) + 1) - _nlog(count(rest, c))
-        done = F.length(rest) + 1 == size
-        return F.struct(F.concat(rest, c).alias("seen"), s.alias("s"), F.when(done & ((acc["least"] < 0) | (s < acc["least"])), s).otherwise(acc["least"]).alias("least"))
+def matches(text: Column, pattern: str, group: int = 0) -> Column:
+    """Array of (start, end, value): a pattern's leftmost matches, in code points, end exclusive; value: the group."""
+    whole = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    value = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else whole
+
+    def placed(m: Column) -> Column:
+        sizes = F.transform(m["whole"], lambda x, i: F.length(F.get(m["gaps"], i)) + F.length(x))
+        rows = lambda ends: F.transform(ends, lambda end, i: F.struct((end - F.length(F.get(m["whole"], i))).alias("start"), end.alias("end"), F.get(m["value"], i).alias("value")))
+        return let(running(sizes, lambda a, b: a + b), rows)
 
-    return F.aggregate(chars, start, step, lambda acc: F.log2(size.cast("double")) - F.greatest(acc["least"], F.lit(0.0)) / size)
+    return let(F.struct(whole.alias("whole"), value.alias("value"), F.split(text, pattern, -1).alias("gaps")), placed)
 
 
-def stretches(found: Column, cuts: Column) -> Column:
-    """Array of (start, end, value): what the cuts, sorted by start, leave of each of the strings found."""
+def without(text: Column, cuts: Column, put: Callable[[Column, Column], Column]) -> Column:
+    """The text with what spans, sorted by start, cover replaced by put(starts, size).
 
-    def left(x: Column) -> Column:
-        over = F.filter(cuts, lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"]))
-        part = lambda start, end: F.struct(start.alias("start"), end.alias("end"), F.substring(x["value"], start - x["start"] + 1, end - start).alias("value"))
-        nothing = F.struct(x["start"].alias("at"), F.array().cast("array<struct<start:int,end:int,value:string>>").alias("parts"))
+    A span that overlaps those before it has starts false and the size of what it covers beyond them.
+    """
+
+    def piece(strips: Column, a: Column, b: Column) -> Column:
+        first = F.floor(a / STRIP).cast("int")
+        some = F.slice(strips, first + 1, F.floor((b - 1) / STRIP).cast("int") - first + 1)
+        return F.when(b > a, F.substring(F.array_join(some, ""), a % STRIP + 1, b - a)).otherwise(F.lit(""))
+
+    def joined(s: Column) -> Column:
+        before = lambda i: F.coalesce(F.get(s["ends"], i - 1), F.lit(0))
+        one = lambda x, at: F.concat(piece(s["strips"], at, x["start"]), put(x["start"] >= at, F.greatest(x["end"] - F.greatest(x["start"], at), F.lit(0))))
+        parts = F.transform(s["cuts"], lambda x, i: let(before(i), lambda at: one(x, at)))
+        return F.concat(F.array_join(parts, ""), piece(s["strips"], before(F.size(s["ends"])), s["size"]))
+
+    ends = running(F.transform(cuts, lambda x: x["end"]), F.greatest)
+    strips = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{STRIP}}}"), F.lit(0))
+    return let(F.struct(cuts.alias("cuts"), ends.alias("ends"), strips.alias("strips"), F.length(text).alias("size")), joined)
 
-        def step(acc: Column, b: Column) -> Column:
-            more = F.when(b["start"] > acc["at"], F.concat(acc["parts"], F.array(part(acc["at"], b["start"])))).otherwise(acc["parts"])
-            return F.struct(F.greatest(acc["at"], b["end"]).alias("at"), more.alias("parts"))
 
-        rest = lambda acc: F.when(acc["at"] < x["end"], F.concat(acc["parts"], F.array(part(acc["at"], x["end"])))).otherwise(acc["parts"])
-        return F.when(F.size(over) > 0, F.aggregate(over, nothing, step, rest)).otherwise(F.array(x))
+def peak_entropy(value: Column, window: int = WINDOW) -> Column:
+    """Largest Shannon entropy, in bits a character, of the windows of a string of SIGNS; shorter strings are one window.
 
-    return F.flatten(F.transform(found, left))
+    A window has a count for each sign. As it moves, the count of the sign that enters rises by one and that of
+    the sign that leaves falls by one; the sum of n log2 n over the counts n follows these two alone.
+    """
+    if window >= 1 << COUNT_BITS:
+        raise ValueError("a window has less than 32 signs, as counts have five bits")
+    words = [f"w{k}" for k in range(-(-len(SIGNS) // PER_WORD))]
+    f = lambda n: n * log2(n) if n > 1 else 0.0
+    rise = F.array(*(F.lit(float(f(n) - f(n - 1))) for n in range(window + 1)))
+
+    def move(sign: Column, enters: bool) -> Column:
+        shift = (sign % PER_WORD * COUNT_BITS).cast("int")
+        return F.struct(F.floor(sign / PER_WORD).cast("int").alias("word"), shift.alias("shift"), F.call_function("shiftleft", F.lit(1).cast("long"), shift).alias("bit"), F.lit(enters).alias("enters"))
+
+    def step(acc: Column, m: Column) -> Column:
+        held = acc[words[0]]
+        for k, w in enumerate(words[1:], 1):
+            held = F.when(m["word"] == k, acc[w]).otherwise(held)
+        n = F.call_function("shiftrightunsigned", held, m["shift"]).bitwiseAND(F.lit((1 << COUNT_BITS) - 1).cast("long")).cast("int")
+        s = acc["s"] + F.when(m["enters"], F.get(rise, n + 1)).otherwise(-F.get(rise, n))
+        by = F.when(m["enters"], m["bit"]).otherwise(-m["bit"])
+        size = acc["size"] + F.when(m["enters"], 1).otherwise(-1)
+        full = m["enters"] & (size == acc["full"])
+        counts = [F.when(m["word"] == k, acc[w] + by).otherwise(acc[w]).alias(w) for k, w in enumerate(words)]
+        return F.struct(*counts, s.alias("s"), size.alias("size"), acc["full"].alias("full"), F.when(full, F.least(acc["least"], s)).otherwise(acc["least"]).alias("least"))
+
+    def peak(signs: Column) -> Column:
+        full = F.least(F.size(signs), F.lit(window))
+        moves = F.flatten(F.transform(signs, lambda x, i: F.when(i >= window, F.array(move(F.get(signs, i - window), False), move(x, True))).otherwise(F.array(move(x, True)))))
+        start = F.struct(*(F.lit(0).cast("long").alias(w) for w in words), F.lit(0.0).alias("s"), F.lit(0).alias("size"), full.alias("full"), F.lit(float("inf")).alias("least"))
+        return F.aggregate(moves, start, step, lambda acc: F.log2(acc["full"].cast("double")) - F.greatest(acc["least"], F.lit(0.0)) / acc["full"])
+
+    signs = F.transform(F.regexp_extract_all(value, F.lit("(?s)."), F.lit(0)), lambda c: F.instr(F.lit(SIGNS), c) - 1)
+    return let(signs, peak)
 
 
 def random_strings(found: Column) -> Column:
-    """Those of an array of (start, end, value) that have a random window and that no allow-list pattern covers."""
+    """Those of an array of (start, end, value) that have a random window and that the allow list doesn't cover."""
     whole = lambda p: f"^(?:{p})$"
 
     def keeps(x: Column) -> Column:
@@ -96,9 +145,9 @@ def random_strings(found: Column) -> Column:
         bar = F.lit(99.0)
         for pattern, bits in reversed(CLASSES.values()):
             bar = F.when(v.rlike(whole(pattern)), F.lit(bits)).otherwise(bar)
-        allowed = (F.length(v) < LEAST) | (F.length(v) <= LONGEST) & v.rlike(JOINED)
+        allowed = F.forall(F.split(v, JOINTS, -1), lambda w: w.rlike(WORD))
         for p in ALLOW:
-            allowed = allowed | v.rlike(p)
+            allowed = v.rlike(p) | allowed
         return F.when(allowed, F.lit(False)).otherwise(peak_entropy(v) >= bar)
 
     return F.filter(found, keeps)
@@ -113,22 +162,20 @@ def secret_spans(docs: DataFrame) -> DataFrame:
     """docs with spans, an array of (start, kind, end) in order: assign, access, hex, then entropy for each start.
 
     A kind's pattern is only taken apart in texts that it occurs in. Entropy spans are stretches of candidates
-    that spans of the three patterns and pieces that say they are examples leave. Null and empty texts have no
-    spans.
+    that spans of the three patterns and pieces that say they are examples leave: candidates of the text with
+    those blanked out. Null and empty texts have no spans.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     none = F.array().cast("array<struct<start:int,kind:int,end:int>>")
-    found = []
-    for k, (pattern, group, least) in enumerate(KINDS.values()):
-        near = pattern if k == 0 else r"AKIA[A-Z0-9]{16}" if k == 1 else r"[0-9a-f]{24}"
-        found.append(F.when(text.rlike(near), _spans(matches(text, pattern, group), k, least)).otherwise(none))
-    base = F.array_sort(F.concat(*found))
+    # an assignment needs a sign that most texts lack; runs are tried from their start alone
+    has = {"assign": (text.contains(":") | text.contains("=")) & text.rlike(KINDS["assign"][0]), "access": text.rlike(LONG["access"]), "hex": text.rlike(r"(?<![0-9a-f])" + LONG["hex"])}
+    found = [F.when(has[name], _spans(matches(text, LONG.get(name, pattern), group), k, least)).otherwise(none) for k, (name, (pattern, group, least)) in enumerate(KINDS.items())]
     shown = F.when(text.rlike(SHOWN), _spans(matches(text, PIECE), len(KINDS), 1)).otherwise(none)
-    rows = docs.withColumn("base_spans", base)
-    cuts = F.array_sort(F.concat("base_spans", shown))
-    rows = rows.withColumn("more_spans", F.when(text.rlike(CANDIDATE), stretches(matches(text, CANDIDATE), cuts)).otherwise(F.array().cast("array<struct<start:int,end:int,value:string>>")))
-    fresh = _spans(random_strings(F.col("more_spans")), len(KINDS), LEAST)
-    return rows.withColumn("spans", F.array_sort(F.concat("base_spans", fresh))).drop("more_spans")
+    rows = docs.withColumn("base_spans", F.array_sort(F.concat(*found)))
+    blank = lambda cuts: without(text, cuts, lambda _, n: F.repeat(F.lit(BLANK), n))
+    left = let(F.array_sort(F.concat("base_spans", shown)), lambda cuts: F.when(F.size(cuts) > 0, blank(cuts)).otherwise(text))
+    fresh = let(left, lambda t: _spans(random_strings(matches(t, CANDIDATE)), len(KINDS), LEAST))
+    return rows.withColumn("spans", F.when(text.rlike(r"(?<![A-Za-z0-9+/=_-])" + CANDIDATE), F.array_sort(F.concat("base_spans", fresh))).otherwise(F.col("base_spans")))
 
 
 def span_text(spans: Column) -> Column:
@@ -146,13 +193,7 @@ def scan(docs: DataFrame) -> DataFrame:
 def redact(docs: DataFrame, mark: str = "[secret]") -> DataFrame:
     """docs with each run of overlapping spans replaced by the mark and n_chars set anew; other texts stay as they are."""
     rows = secret_spans(docs.select(F.struct("*").alias("_row"), "text"))
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-
-    def step(acc: Column, x: Column) -> Column:
-        piece = F.when(x["start"] >= acc["at"], F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, x["start"] - acc["at"]), F.lit(mark))).otherwise(acc["out"])
-        return F.struct(F.greatest(acc["at"], x["end"]).alias("at"), piece.alias("out"))
-
-    clean = F.aggregate("spans", start, step, lambda acc: F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, F.length("text"))))
+    clean = without(F.col("text"), F.col("spans"), lambda starts, _: F.when(starts, F.lit(mark)).otherwise(F.lit("")))
     rows = rows.withColumn("text", F.when(F.size("spans") > 0, clean).otherwise(F.col("text")))
     old = {c: F.col("_row").getField(c) for c in docs.columns}
     new = {"text": F.col("text"), "n_chars": F.when(F.size("spans") > 0, F.char_length("text").cast("long")).otherwise(old.get("n_chars", F.lit(None)))}

@@ -1,7 +1,6 @@
 """Stages on columns whose names they use themselves, and the pipeline against a plain version of it."""
 
 import hashlib
-import math
 import re
 import struct
 from collections import Counter, defaultdict
@@ -9,7 +8,9 @@ from collections import Counter, defaultdict
 import xxhash
 
 import corpus_pipeline
-from nichegraph.llm import bpe_trie, mixing, near_dedup, quality_rules, secret_scan, shared
+from nichegraph.llm import bpe_trie, mixing, near_dedup, quality_rules, shared
+
+from .test_secret_stretches import plain_spans
 
 SF = "/root/testdata/sf0.001"
 NAMES = ["code", "spans", "base_spans", "more_spans", "weight", "_s", "_draw", "_topic", "_weight", "_tokens", "_probability", "_short", "_row", "_code", "_key", "_id", "key", "root", "signature"]
@@ -27,24 +28,8 @@ def test_pipeline_keeps_columns_of_any_name(spark):
 
 
 def redacted(text):
-    cuts, spans = [], []
-    for pattern, group, least in secret_scan.KINDS.values():
-        spans += [m.span() for m in re.finditer(pattern, text, re.A) if len(m[group]) >= least]
-    cuts = sorted(spans + [m.span() for m in re.finditer(secret_scan.PIECE, text, re.A)])
-    for m in re.finditer(secret_scan.CANDIDATE, text, re.A):
-        free = [i for i in range(*m.span()) if not any(a <= i < b for a, b in cuts)]
-        starts = [i for i in free if i - 1 not in free]
-        for a in starts:
-            b = next(i for i in range(a, m.end() + 1) if i not in free)
-            v = text[a:b]
-            bar = next(bits for p, bits in secret_scan.CLASSES.values() if re.fullmatch(p, v))
-            if len(v) < 20 or len(v) <= 256 and re.match(secret_scan.JOINED, v) or any(re.search(p, v) for p in secret_scan.ALLOW):
-                continue
-            windows = [v[i : i + 20] for i in range(len(v) - 19)]
-            if max(-sum(n / 20 * math.log2(n / 20) for n in Counter(w).values()) for w in windows) >= bar:
-                spans.append((a, b))
     out, at = "", 0
-    for a, b in sorted(spans):
+    for a, _, b in plain_spans(text)[1]:
         out += text[at:a] + "[secret]" if a >= at else ""
         at = max(at, b)
     return out + text[at:]

@@ -28,6 +28,8 @@ SIMILARITY, LONG_SHINGLE, BANDS, ROWS = 0.8, 5, 28, 7
 FEW = 20_000
 #: Fingerprints of a group (the groups are few for small inputs and at most MOST_GROUPS), children of a node, queries descended at once.
 GROUP, MOST_GROUPS, FANOUT, AT_ONCE = 8192, 65_536, 16, 1024
+#: Visitors of a group in one task, as a multiple of GROUP; a key with more than one of so many rows is joined where the rows are.
+VISITORS, HOT_SHARE = 16, 10_000
 
 
 def simhash(text: str, shingle: int = SHINGLE, seed: int = SEED) -> int:
@@ -156,34 +158,65 @@ def near_links(codes: DataFrame, radius: int = RADIUS, group: int = GROUP) -> Da
     gids = np.array([r[0] for r in table], dtype=np.int64)
     ands, ors = (np.array([r[k] for r in table], dtype=np.int64).view(np.uint64) for k in (1, 2))
 
+    def visits(code: np.ndarray, upper: GrayIndex) -> tuple[np.ndarray, np.ndarray]:
+        """A fingerprint goes to its group, and to each group before it that may have some within the radius: (group, code)."""
+        at, found = home(code), [(q, gids[g]) for q, g in upper.search(code, radius)]
+        q, g = (np.concatenate([f[i] for f in found]) for i in (0, 1)) if found else (np.zeros(0, int), np.zeros(0, int))
+        before = g < at[q]
+        return g[before], code[q[before]]
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        upper = GrayIndex(ands, ors)
+        for b in batches:
+            ids, n = np.unique(visits(b["code"].to_numpy(np.int64).view(np.uint64), upper)[0], return_counts=True)
+            yield pd.DataFrame({"gid": ids, "n": n})
+
+    # a group with many visitors, as where few bits are shared, has them dealt to several tasks with a copy of the group each
+    many = codes.select("code").mapInPandas(count, "gid long, n long").groupBy("gid").agg(F.sum("n").alias("n")).filter(F.col("n") > VISITORS * group).collect()
+    parts = {r["gid"]: -(-r["n"] // (VISITORS * group)) for r in many}
+
     def route(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """A fingerprint goes to its group, and to each group before it that may have some within the radius."""
         upper = GrayIndex(ands, ors)
         for b in batches:
             code = b["code"].to_numpy(np.int64).view(np.uint64)
-            at = home(code)
             rows = []
-            found = [(q, gids[g]) for q, g in upper.search(code, radius)]
-            q, g = (np.concatenate([f[i] for f in found]) for i in (0, 1)) if found else (np.zeros(0, int), np.zeros(0, int))
-            before = g < at[q]
-            for own, to, what in ((True, at, code), (False, g[before], code[q[before]])):
+            for own, to, what in ((True, home(code), code), (False, *visits(code, upper))):
                 order = np.argsort(to, kind="stable")
                 ids, starts = np.unique(to[order], return_index=True)
-                rows += [(int(i), own, part.tobytes()) for i, part in zip(ids, np.split(what[order], starts[1:]))] if len(ids) else []
-            yield pd.DataFrame(rows, columns=["gid", "own", "codes"])
-
-    def link(rows: pd.DataFrame) -> pd.DataFrame:
+                for i, some in zip(ids.tolist(), np.split(what[order], starts[1:]) if len(ids) else []):
+                    n = parts.get(i, 1)
+                    if own or n == 1:
+                        rows += [(i, p, own, some.tobytes()) for p in range(n)]
+                    else:
+                        rows += [(i, p, own, part.tobytes()) for p in range(n) if len(part := some[some % np.uint64(n) == p])]
+            yield pd.DataFrame(rows, columns=["gid", "part", "own", "codes"])
+
+    def link(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         own, others = (np.frombuffer(b"".join(rows["codes"][rows["own"] == o]), dtype=np.uint64) for o in (True, False))
         own = own[np.argsort(gray_rank(own), kind="stable")]
         index, every = GrayIndex(own, own), np.concatenate([own, others])
-        root = np.arange(len(every))
-        for q, c in index.search(every, radius):
-            unite(root, q, c)
+        root, first = np.arange(len(every)), len(own) if key[1] else 0  # the group's own links are the first part's
+        for q, c in index.search(every[first:], radius):
+            unite(root, q + first, c)
         linked = np.flatnonzero(root != np.arange(len(every)))
         return pd.DataFrame({"a": every[linked].view(np.int64), "b": every[root[linked]].view(np.int64)})
 
-    routed = codes.select("code").mapInPandas(route, "gid long, own boolean, codes binary")
-    return routed.groupBy("gid").applyInPandas(link, "a long, b long")
+    routed = codes.select("code").mapInPandas(route, "gid long, part int, own boolean, codes binary")
+    return routed.groupBy("gid", "part").applyInPandas(link, "a long, b long")
+
+
+def with_class(rows: DataFrame, of: DataFrame, key: str) -> DataFrame:
+    """rows joined by the key to `of`, which has a row and the number n of rows for each key.
+
+    Keys with more than a HOT_SHARE-th of all rows, HOT_SHARE at most, are sent to the rows where they are; all
+    other keys deal out so few rows each that no task gets many more than others.
+    """
+    of = shared.written(of)
+    hot = of.filter(F.col("n") > max(1, rows.count() // HOT_SHARE))
+    rows = rows.join(F.broadcast(hot.withColumn("hot", F.lit(True)).drop("n")), key, "left")
+    names = [c for c in of.columns if c not in (key, "n")]
+    rest = rows.filter("hot is null").drop("hot", *names).join(of.drop("n"), key)
+    return rows.filter("hot").drop("hot").unionByName(rest.select(*rows.drop("hot").columns))
 
 
 def classes(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
@@ -193,14 +226,14 @@ def classes(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     included; null ids are passed over, and a component of null ids alone has a null one.
     """
     rows = shared.written(fingerprints(docs))
-    codes = shared.written(rows.groupBy("code").agg(F.min("doc_id").alias("least")))
+    codes = shared.written(rows.groupBy("code").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")))
     found = shared.components(near_links(codes, radius))
     linked = codes.join(found.withColumnRenamed("node", "code"), "code")
     roots = linked.groupBy("root").agg(F.min("least").alias("smallest"))
     linked = linked.join(roots, "root").select("code", F.col("root").alias("linked_root"), "smallest")
-    one = codes.join(linked, "code", "left").select("code", F.coalesce("linked_root", "code").alias("root"), F.when(F.col("linked_root").isNull(), F.col("least")).otherwise(F.col("smallest")).alias("component_id"))
+    one = codes.join(linked, "code", "left").select("code", "n", F.coalesce("linked_root", "code").alias("root"), F.when(F.col("linked_root").isNull(), F.col("least")).otherwise(F.col("smallest")).alias("component_id"))
     text = F.lower(F.lpad(F.hex("code"), 16, "0")).alias("fingerprint")
-    return rows.join(one, "code").select("doc_id", text, "component_id", "root")
+    return with_class(rows, one, "code").select("doc_id", text, "component_id", "root")
 
 
 def signatures(text: Column, shingle: int, bands: int = BANDS, rows: int = ROWS) -> Column:
@@ -278,12 +311,12 @@ def similar_classes(docs: DataFrame, similarity: float = SIMILARITY, shingle: in
     key: the text's MD5. Candidates agree in one of BANDS bands of minimum hashes and are confirmed exactly.
     """
     rows = shared.written(shared.texts(docs).select("doc_id", F.md5("text").alias("key"), signatures(F.col("text"), shingle).alias("signature")))
-    keys = shared.written(rows.groupBy("key").agg(F.min("doc_id").alias("least"), F.first("signature").alias("signature")))
+    keys = shared.written(rows.groupBy("key").agg(F.min("doc_id").alias("least"), F.count("*").alias("n"), F.first("signature").alias("signature")))
     texts = shared.written(shared.texts(docs).select(F.md5("text").alias("key"), "text").dropDuplicates(["key"]))
     found = shared.components(similar_links(keys, texts, similarity, shingle)).withColumnRenamed("node", "key")
-    one = shared.written(keys.join(found, "key", "left").select("key", "least", F.coalesce("root", "key").alias("root")))
+    one = shared.written(keys.join(found, "key", "left").select("key", "n", "least", F.coalesce("root", "key").alias("root")))
     smallest = one.groupBy("root").agg(F.min("least").alias("component_id"))
-    return rows.select("doc_id", "key").join(one.join(smallest, "root").select("key", "root", "component_id"), "key").select("doc_id", "key", "component_id", "root")
+    return with_class(rows.select("doc_id", "key"), one.join(smallest, "root").select("key", "n", "root", "component_id"), "key").select("doc_id", "key", "component_id", "root")
 
 
 def deduplicated(docs: DataFrame, radius: int = RADIUS, similarity: float | None = None, shingle: int = LONG_SHINGLE) -> DataFrame:

@@ -262,7 +262,9 @@ def test_op8_matches_brute_force(spark, monkeypatch):
     assert sorted(r.doc_id for r in left.collect()) == sorted(set(root.values()))
 
 
-def test_op8_links_of_many_groups(spark):
+@pytest.mark.parametrize("visitors", [16, 1])
+def test_op8_links_of_many_groups(spark, monkeypatch, visitors):
+    monkeypatch.setattr(near_dedup, "VISITORS", visitors)
     draw = random.Random(9)
     base = [draw.getrandbits(64) for _ in range(200)]
     codes = np.array(sorted({b ^ sum(1 << x for x in draw.sample(range(64), n)) for b in base for n in range(4)}), dtype=np.uint64)

@@ -74,6 +74,22 @@ class Rules:
         return 1 / (1 + F.exp(-self.log_odds(values)))
 
 
+def best_cut(flat: np.ndarray, g: np.ndarray, h: np.ndarray, cuts: list[np.ndarray]) -> tuple[int, int] | None:
+    """The statistic and the place of the cut that gains most; None where no cut leaves LEAST_ROWS on both sides and gains."""
+    if len(flat) < 2 * LEAST_ROWS:
+        return None
+    ids, shape = flat.ravel(), (len(cuts), BINS + 1)
+    sums = [np.bincount(ids, np.repeat(v, shape[0]), shape[0] * shape[1]).reshape(shape).cumsum(1) for v in (g, h, np.ones(len(g)))]
+    left, total = [s[:, :-1] for s in sums], [s[:, -1:] for s in sums]
+    right = [t - s for s, t in zip(left, total)]
+    gain = left[0] ** 2 / (left[1] + 1) + right[0] ** 2 / (right[1] + 1) - total[0] ** 2 / (total[1] + 1)
+    gain[(left[2] < LEAST_ROWS) | (right[2] < LEAST_ROWS)] = -1
+    for k, c in enumerate(cuts):
+        gain[k, len(c) :] = -1
+    k, i = np.unravel_index(np.argmax(gain), gain.shape)
+    return (int(k), int(i)) if gain[k, i] > 1e-6 else None
+
+
 def tree_rules(x: np.ndarray, y: np.ndarray, rounds: int = ROUNDS, depth: int = DEPTH) -> list[tuple[tuple[int, bool, float], ...]]:
     """The distinct rules of boosted trees' nodes, in the order in which they arise."""
     cuts = [np.unique(np.quantile(x[:, k], np.linspace(0, 1, BINS + 1)[1:-1])) for k in range(x.shape[1])]
@@ -84,37 +100,23 @@ def tree_rules(x: np.ndarray, y: np.ndarray, rounds: int = ROUNDS, depth: int =
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-margin))
         g, h = y - p, p * (1 - p) + 1e-6
-        level: list[tuple[np.ndarray, tuple]] = [(np.arange(len(y)), ())]
-        for d in range(depth):
+        level, leaves = [(np.arange(len(y)), ())], []
+        for _ in range(depth):
             deeper = []
             for rows, path in level:
-                if len(rows) < 2 * LEAST_ROWS:
-                    continue
-                ids = flat[rows].ravel()
-                shape = (x.shape[1], BINS + 1)
-                sums = [np.bincount(ids, np.repeat(v, x.shape[1]), shape[0] * shape[1]).reshape(shape).cumsum(1) for v in (g[rows], h[rows], np.ones(len(rows)))]
-                left, total = [s[:, :-1] for s in sums], [s[:, -1:] for s in sums]
-                right = [t - s for s, t in zip(left, total)]
-                gain = left[0] ** 2 / (left[1] + 1) + right[0] ** 2 / (right[1] + 1) - total[0] ** 2 / (total[1] + 1)
-                gain[(left[2] < LEAST_ROWS) | (right[2] < LEAST_ROWS)] = -1
-                for k, c in enumerate(cuts):
-                    gain[k, len(c) :] = -1
-                k, i = np.unravel_index(np.argmax(gain), gain.shape)
-                if gain[k, i] <= 1e-6:
+                cut = best_cut(flat[rows], g[rows], h[rows], cuts)
+                if cut is None:
+                    leaves.append(rows)
                     continue
+                k, i = cut
                 above = bins[rows, k] > i
                 for side in (False, True):
-                    part, way = rows[above == side], (*path, (int(k), side, float(cuts[k][i])))
+                    way = (*path, (k, side, float(cuts[k][i])))
                     found[tuple(sorted(way))] = None
-                    deeper.append((part, way))
-                    if d == depth - 1:
-                        margin[part] += RATE * g[part].sum() / (h[part].sum() + 1)
-            if d < depth - 1:
-                ends = {id(r) for r, _ in deeper}
-                for rows, _ in level:
-                    if len(deeper) == 0 and id(rows) not in ends and d:
-                        margin[rows] += RATE * g[rows].sum() / (h[rows].sum() + 1)
+                    deeper.append((rows[above == side], way))
             level = deeper
+        for rows in [*leaves, *(r for r, _ in level)]:
+            margin[rows] += RATE * g[rows].sum() / (h[rows].sum() + 1)
     return list(found)
 
 

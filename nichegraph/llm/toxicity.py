@@ -22,8 +22,11 @@ from . import labelled, shared
 BITS, FACTORS = 18, 4
 #: Letters of the beginnings that count as features of longer words.
 BEGINNINGS = (4, 6)
-#: Features that are learned: those in as many texts at least, whose share differs between the labels by so many standard errors.
+#: Features that are learned: those in as many texts at least, whose share differs between the labels by so many standard errors,
 LEAST_TEXTS, LEAST_Z = 5, 4.0
+#: and pairs of the MOST_PAIRED most frequent features, in as many texts at least, of which each changes the share of label 1 within
+#: the texts of the other by so many standard errors. Pairs are counted in PAIR_ROWS texts at most.
+MOST_PAIRED, LEAST_TOGETHER, PAIR_Z, PAIR_ROWS = 1536, 20, 9.0, 20_000
 EPOCHS, BATCH, RATE, DECAY = 20, 64, 0.2, 1e-4
 #: Labelled rows that the machine is fitted on at most.
 MOST_ROWS = 40_000
@@ -59,8 +62,31 @@ class Machine:
         return 1 / (1 + float(np.exp(-np.clip(x, -30, 30))))
 
 
+def paired_features(texts: list[np.ndarray], y: np.ndarray) -> np.ndarray:
+    """Features of pairs that tell about the label together, whether or not they do by themselves."""
+    counts = np.bincount(np.concatenate(texts), minlength=1 << BITS)
+    top = np.argsort(-counts, kind="stable")[:MOST_PAIRED]
+    top = np.sort(top[counts[top] >= LEAST_TOGETHER])
+    place = np.full(len(counts), -1)
+    place[top] = np.arange(len(top))
+    every, toxic = (np.zeros((len(top), len(top)), dtype=np.float32) for _ in range(2))
+    for start in range(0, min(len(y), PAIR_ROWS), 2000):
+        part, label = texts[start : start + 2000], y[start : start + 2000]
+        at, of = place[np.concatenate(part)], np.repeat(np.arange(len(part)), [len(t) for t in part])
+        has = np.zeros((len(part), len(top)), dtype=np.float32)
+        has[of[at >= 0], at[at >= 0]] = 1
+        every += has.T @ has
+        toxic += has[label > 0].T @ has[label > 0]
+    n, t = np.diag(every)[:, None], np.diag(toxic)[:, None]
+    with np.errstate(divide="ignore", invalid="ignore"):  # row i, column j: within the texts of i, those with j against those without
+        p = t / n
+        z = np.abs(toxic / every - (t - toxic) / (n - every)) / np.sqrt((p * (1 - p) + 1e-9) * (1 / every + 1 / (n - every)))
+    z[(every < LEAST_TOGETHER) | (n - every < LEAST_TOGETHER)] = 0
+    return top[(np.minimum(z, z.T) >= PAIR_Z).any(1)]
+
+
 def fit(texts: list[np.ndarray], y: np.ndarray, epochs: int = EPOCHS, seed: int = 7) -> Machine:
-    """A machine fitted by adaptive gradient steps; features below LEAST_TEXTS or LEAST_Z stay at zero.
+    """A machine fitted by adaptive gradient steps; features that tell nothing by themselves or in a pair stay at zero.
 
     With a label missing, the constant score of a smoothed share.
     """
@@ -74,6 +100,7 @@ def fit(texts: list[np.ndarray], y: np.ndarray, epochs: int = EPOCHS, seed: int
     p, some, others = (toxic + rest) / len(y), y.sum(), len(y) - y.sum()
     z = np.abs(toxic / some - rest / others) / np.sqrt((p * (1 - p) + 1e-9) * (1 / some + 1 / others))
     known = (toxic + rest >= LEAST_TEXTS) & (z >= LEAST_Z)
+    known[paired_features(texts, y)] = True
     draw = np.random.default_rng(seed)
     v[known] = draw.normal(0, 0.01, (int(known.sum()), FACTORS))
     texts = [t[known[t]] for t in texts]

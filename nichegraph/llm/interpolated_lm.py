@@ -7,7 +7,7 @@ counts that leave out the occurrence they predict.
 Documents are dealt to batches. A batch asks for the counts of its distinct n-grams only, once each, however
 often it has them; the counts are added up by ranges of the n-grams' hashes, and each batch gets its answers
 back. So a frequent n-gram costs one row per batch, no table of counts has to fit in one place, and no token
-is shuffled by itself.
+is shuffled by itself. A batch has a row for each range that it has n-grams of, so never more rows than n-grams.
 """
 
 from __future__ import annotations
@@ -24,13 +24,10 @@ from pyspark.sql import functions as F
 from . import shared
 
 #: Bytes of text in a batch and per range of n-gram hashes, in the mean.
-BATCH_BYTES, RANGE_BYTES = 8 << 20, 16 << 20
-#: Bits of a bigram's hash beyond those that number all tokens: of 2 to this power bigrams, one shares its hash. Words have all 64.
-SPARE_BITS = 20
-#: Steps per power of ten in which probabilities are kept for scores and for learning the weights; buckets of context frequency, by powers of two.
-FINE, COARSE, BUCKETS = 256, 16, 32
+BATCH_BYTES, RANGE_BYTES = 8 << 20, 32 << 20
+#: Buckets of context frequency, by powers of two; rounds of expectation-maximisation, from equal weights.
+BUCKETS, ROUNDS = 32, 16
 END, START = np.uint64(1), np.uint64(2)
-ROUNDS = 60
 
 
 class Hashes(dict):
@@ -66,7 +63,7 @@ def from_planes(data: bytes, n: int) -> np.ndarray:
 class Batch:
     """The tokens of some texts as hashes, with their distinct n-grams of two orders."""
 
-    def __init__(self, texts: list[str], train: np.ndarray, hashes: Hashes, ranges: int, bits: int):
+    def __init__(self, texts: list[str], times: np.ndarray, train: np.ndarray, hashes: Hashes, ranges: int):
         parts = []
         for t in texts:
             words = t.encode("utf-8", "replace").lower().split()
@@ -76,7 +73,7 @@ class Batch:
         self.starts = np.cumsum(self.sizes) - self.sizes
         before = np.concatenate([[START], self.tokens[:-1]])
         before[self.starts] = START
-        self.train = np.repeat(train, self.sizes)
+        self.train, self.times = np.repeat(train, self.sizes), np.repeat(times, self.sizes)
         with np.errstate(over="ignore"):
             pair = before * np.uint64(0x9E3779B97F4A7C15) ^ (self.tokens + np.uint64(0x632BE59BD9B4E019)) * np.uint64(0xC2B2AE3D27D4EB4F)
             pair ^= pair >> np.uint64(32)
@@ -84,21 +81,21 @@ class Batch:
             pair ^= pair >> np.uint64(29)
         del before
         self.orders, self.cuts = [], []
-        for keys, size in ((self.tokens, 64), (pair >> np.uint64(64 - bits), bits)):
+        for keys in (self.tokens, pair):
             distinct, at = np.unique(keys, return_inverse=True)
             self.orders.append((distinct, at.astype(np.int32)))
-            self.cuts.append(np.searchsorted((distinct >> np.uint64(size - 32)) * np.uint64(ranges) >> np.uint64(32), np.arange(ranges + 1, dtype=np.uint64)))
+            self.cuts.append(np.searchsorted((distinct >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32), np.arange(ranges + 1, dtype=np.uint64)))
 
     def asks(self) -> Iterator[tuple[int, int, bytes, bytes]]:
         """(range, order, keys, counts in training texts) of each range of hashes that has some."""
         for order, ((keys, at), cuts) in enumerate(zip(self.orders, self.cuts)):
-            counts = np.bincount(at[self.train], minlength=len(keys))
+            counts = np.bincount(at[self.train], self.times[self.train], len(keys)).astype(np.int64)
             for r, (a, b) in enumerate(zip(cuts, cuts[1:])):
                 if b > a:
                     yield r, order, packed(keys[a:b]), planes(counts[a:b])
 
-    def counts(self, answers: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Counts in all training texts of each token's bigram, its context and the token itself."""
+    def counts(self, answers: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, int]:
+        """Counts in all training texts of each token's bigram and of the token itself, and of texts, which are the starts."""
         known = []
         for order, (keys, _) in enumerate(self.orders):
             some = answers[answers["gram"] == order].sort_values("range")
@@ -107,53 +104,52 @@ class Batch:
             if len(known[-1]) != len(keys):
                 raise ValueError("a batch's answers don't fit its n-grams")
         (words, at), (_, pair_at) = self.orders
-        one = known[0][at]
-        context = np.concatenate([[0], one[:-1]])
-        context[self.starts] = known[0][np.searchsorted(words, END)]  # as many starts as ends
-        return known[1][pair_at], context, one
+        return known[1][pair_at], known[0][at], int(known[0][np.searchsorted(words, END)])  # as many starts as ends
 
 
-def coded(pair: np.ndarray, context: np.ndarray, one: np.ndarray, steps: int) -> np.ndarray:
-    """The context's bucket, the bigram's probability and the token's count in one number each, the latter two by steps."""
-    bucket = np.minimum(np.log2(context + 1).astype(np.uint64), np.uint64(BUCKETS - 1))
-    with np.errstate(divide="ignore", invalid="ignore"):
-        two = np.where(pair > 0, 1 + np.rint(np.log10(np.maximum(context, 1) / np.maximum(pair, 1)) * steps), 0).astype(np.uint64)
-        uni = np.where(one > 0, 1 + np.rint(np.log10(np.maximum(one, 1)) * steps), 0).astype(np.uint64)
-    return bucket << np.uint64(32) | two << np.uint64(16) | uni
+def contexts(one: np.ndarray, starts: np.ndarray, texts: int) -> np.ndarray:
+    """The count of what stands before each token: the token before, or at places `starts` the start of a text."""
+    out = np.concatenate([[0], one[:-1]])
+    out[starts] = texts
+    return out
 
 
-def decoded(codes: np.ndarray, steps: int, total: int, words: int) -> tuple[np.ndarray, np.ndarray]:
-    """Buckets, and the probabilities of bigram, unigram and any word, a column each."""
-    two, uni = (codes >> np.uint64(16) & np.uint64(0xFFFF)).astype(np.int64), (codes & np.uint64(0xFFFF)).astype(np.int64)
-    p2 = np.where(two > 0, 10.0 ** (-(two - 1) / steps), 0.0)
-    p1 = np.where(uni > 0, 10.0 ** ((uni - 1) / steps) / max(1, total), 0.0)
-    return (codes >> np.uint64(32)).astype(np.int64), np.stack([p2, p1, np.full(len(codes), 1 / (words + 1))], axis=1)
+def grouped(arrays: list[np.ndarray], times: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+    """Equal rows of the arrays as one with their times summed. Ordered by a hash; rows whose hashes clash may stay apart."""
+    with np.errstate(over="ignore"):
+        key = np.zeros(len(times), dtype=np.uint64)
+        for a in arrays:
+            key = (key ^ a.astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+            key ^= key >> np.uint64(29)
+    order = np.argsort(key)
+    arrays = [a[order] for a in arrays]
+    new = np.ones(len(order), dtype=bool)
+    new[1:] = np.any([a[1:] != a[:-1] for a in arrays], axis=0)
+    starts = np.flatnonzero(new)
+    return [a[starts] for a in arrays], np.add.reduceat(times[order], starts) if len(starts) else times
 
 
-def learned(codes: np.ndarray, counts: np.ndarray, total: int, words: int, rounds: int = ROUNDS) -> np.ndarray:
-    """BUCKETS x 3 mixture weights by expectation-maximisation on counted codes; of a bucket without counts, of lower orders only."""
-    bucket, p = decoded(codes, COARSE, total, words)
-    weights = np.full((BUCKETS, 3), 1 / 3)
-    for _ in range(rounds):
-        share = weights[bucket] * p
-        share *= (counts / share.sum(1))[:, None]
-        sums = np.stack([np.bincount(bucket, share[:, k], BUCKETS) for k in range(3)], axis=1) + [1e-9, 1e-6, 1e-6]
-        weights = sums / sums.sum(1, keepdims=True)
-    return weights
+def estimates(pair: np.ndarray, context: np.ndarray, one: np.ndarray, total: int, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """The context's bucket, and the probabilities of bigram, unigram and any word, a column each."""
+    bucket = np.minimum(np.log2(context + 1.0).astype(np.int64), BUCKETS - 1)
+    return bucket, np.stack([pair / np.maximum(context, 1), one / max(1, total), np.full(len(pair), 1 / (words + 1))], axis=1)
 
 
 def counted(docs: DataFrame, divisor: int = 7, remainder: int = 2) -> DataFrame:
-    """A written table with, of kind "text", each document's coded tokens; of kind "learn", codes that leave out the
-    occurrence itself, over training texts; of kind "total", the numbers of tokens and of distinct ones in them."""
+    """A written table with, of kind "text", the counts of each document's bigrams and tokens in order; of kind "learn", the
+    distinct triples of counts (bigram, context, token) that leave out the occurrence itself, over training texts, and
+    how often each comes; of kind "total", the numbers of tokens and of distinct ones in training texts."""
     rows = shared.texts(docs)
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     batches, ranges = max(1, -(-size // BATCH_BYTES)), max(1, -(-size // RANGE_BYTES))
-    bits = min(64, max(40, int(size).bit_length() + SPARE_BITS))
-    rows = rows.select(F.pmod(F.xxhash64("doc_id"), F.lit(batches)).cast("int").alias("batch"), F.col("doc_id").cast("string").alias("doc_id"), "text", (~shared.held_out(F.col("doc_id"), divisor, remainder)).alias("train"))
+    rows = shared.distinct_rows(rows)
+    rows = rows.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(batches)).cast("int").alias("batch"), F.col("doc_id").cast("string").alias("doc_id"), "text", "times", (~shared.held_out(F.col("doc_id"), divisor, remainder)).alias("train"))
+
+    def batch(rows: pd.DataFrame) -> Batch:
+        return Batch(rows["text"].tolist(), rows["times"].to_numpy(np.int64), rows["train"].to_numpy(bool), Hashes(), ranges)
 
     def ask(rows: pd.DataFrame) -> pd.DataFrame:
-        b = Batch(rows["text"].tolist(), rows["train"].to_numpy(bool), Hashes(), ranges, bits)
-        out = pd.DataFrame(list(b.asks()), columns=["range", "gram", "keys", "counts"])
+        out = pd.DataFrame(list(batch(rows).asks()), columns=["range", "gram", "keys", "counts"])
         return out.assign(batch=int(rows["batch"].iat[0]))[["range", "gram", "batch", "keys", "counts"]]
 
     def answer(asked: pd.DataFrame) -> pd.DataFrame:
@@ -161,8 +157,9 @@ def counted(docs: DataFrame, divisor: int = 7, remainder: int = 2) -> DataFrame:
         for order, some in asked.groupby("gram"):
             keys = [unpacked(k) for k in some["keys"]]
             ends = np.cumsum([len(k) for k in keys])
+            counts = np.concatenate([from_planes(c, len(k)) for c, k in zip(some["counts"], keys)])
             every, at = np.unique(np.concatenate(keys), return_inverse=True)
-            sums = np.bincount(at, np.concatenate([from_planes(c, len(k)) for c, k in zip(some["counts"], keys)]), len(every)).astype(np.int64)
+            sums = np.bincount(at, counts, len(every)).astype(np.int64)
             if not order:
                 totals = [int(sums.sum()), int((sums > 0).sum())]
             out += [(b, order, planes(c)) for b, c in zip(some["batch"], np.split(sums[at], ends[:-1]))]
@@ -170,50 +167,57 @@ def counted(docs: DataFrame, divisor: int = 7, remainder: int = 2) -> DataFrame:
         end = pd.DataFrame({"batch": [-1], "gram": [-1], "counts": [json.dumps(totals).encode()], "range": [int(asked["range"].iat[0])]})
         return pd.concat([out, end])[["batch", "gram", "range", "counts"]]
 
-    schema = "kind string, doc_id string, n_tokens long, n_known long, base double, codes binary, counts binary"
+    schema = "kind string, doc_id string, times long, n_tokens long, n_known long, texts long, base double, pair binary, context binary, one binary, counts binary"
     names = [f.split()[0] for f in schema.split(", ")]
 
     def code(rows: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
         if not len(rows):
             totals = np.sum([json.loads(c) for c in answers["counts"]], axis=0)
-            return pd.DataFrame([("total", None, int(totals[0]), int(totals[1]), None, None, None)], columns=names)
-        b = Batch(rows["text"].tolist(), rows["train"].to_numpy(bool), Hashes(), ranges, bits)
-        pair, context, one = b.counts(answers)
-        codes, bases, known = coded(pair, context, one, FINE), np.log10(one + 1.0), one > 0
+            return pd.DataFrame([("total", None, None, int(totals[0]), int(totals[1]), None, None, None, None, None, None)], columns=names)
+        b = batch(rows)
+        pair, one, texts = b.counts(answers)
+        bases, known = np.log10(one + 1.0), one > 0
         out = []
-        for i, (doc_id, start, n) in enumerate(zip(rows["doc_id"], b.starts, b.sizes)):
+        for doc_id, times, start, n in zip(rows["doc_id"], rows["times"], b.starts, b.sizes):
             part = slice(start, start + n)
-            distinct, times = np.unique(codes[part], return_counts=True)
-            out.append(("text", doc_id, int(n), int(known[part].sum()), float(bases[part].sum()), packed(distinct), planes(times)))
-        t = b.train
-        less, times = np.unique(coded(pair[t] - 1, context[t] - 1, one[t] - 1, COARSE), return_counts=True)
-        out.append(("learn", None, None, None, None, packed(less), planes(times)))
-        return pd.DataFrame(out, columns=names).astype({"n_tokens": "Int64", "n_known": "Int64"})
+            out.append(("text", doc_id, int(times), int(n), int(known[part].sum()), texts, float(bases[part].sum()), planes(pair[part]), None, planes(one[part]), None))
+        t, context = b.train, contexts(one, b.starts, texts)
+        triples, times = grouped([pair[t] - 1, context[t] - 1, one[t] - 1], b.times[t])
+        out.append(("learn", None, None, len(times), None, None, None, *map(planes, [*triples, times])))
+        return pd.DataFrame(out, columns=names).astype({c: "Int64" for c in ("times", "n_tokens", "n_known", "texts")})
 
     asked = rows.groupBy("batch").applyInPandas(ask, "range int, gram int, batch int, keys binary, counts binary")
     answered = asked.groupBy("range").applyInPandas(answer, "batch int, gram int, range int, counts binary")
     answered = answered.toDF("to", "gram", "range", "counts")
-    return shared.written(rows.groupBy("batch").cogroup(answered.groupBy("to")).applyInPandas(code, schema))
+    return shared.written(rows.groupBy("batch").cogroup(answered.groupBy("to")).applyInPandas(code, schema), "zstd")
 
 
-def trained(table: DataFrame) -> tuple[int, int, np.ndarray]:
-    """Training tokens, distinct ones, and the mixture weights: what is summed over counted() on a grid of fixed size."""
+def trained(table: DataFrame, rounds: int = ROUNDS) -> tuple[int, int, np.ndarray]:
+    """Training tokens, distinct ones, and BUCKETS x 3 mixture weights; of a bucket without counts, those of lower orders only.
+
+    A round of expectation-maximisation reads all triples where they are; BUCKETS x 3 sums reach the driver.
+    """
     total = table.filter("kind = 'total'").agg(F.sum("n_tokens"), F.sum("n_known")).first()
     total, words = int(total[0] or 0), int(total[1] or 0)
-
-    def merge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        codes, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        for b in batches:
-            for c, n in zip(b["codes"], b["counts"]):
-                more = unpacked(c)
-                codes, at = np.unique(np.concatenate([codes, more]), return_inverse=True)
-                counts = np.bincount(at, np.concatenate([counts, from_planes(n, len(more))]), len(codes)).astype(np.int64)
-        yield pd.DataFrame({"code": codes.view(np.int64), "n": counts})
-
-    sums = table.filter("kind = 'learn'").select("codes", "counts").mapInPandas(merge, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).toPandas().sort_values("code")
-    if not len(sums):
-        return total, words, np.tile([0.0, 0.0, 1.0], (BUCKETS, 1))
-    return total, words, learned(sums["code"].to_numpy(np.int64).view(np.uint64), sums["n"].to_numpy(np.float64), total, words)
+    learn = table.filter("kind = 'learn' and n_tokens > 0").select("n_tokens", "pair", "context", "one", "counts")
+    weights = np.full((BUCKETS, 3), 1 / 3)
+    for _ in range(rounds if total else 0):
+
+        def expected(batches: Iterator[pd.DataFrame], weights: np.ndarray = weights) -> Iterator[pd.DataFrame]:
+            sums = np.zeros((BUCKETS, 3))
+            for b in batches:
+                for n, *arrays in b.itertuples(index=False):
+                    pair, context, one, counts = (from_planes(a, n) for a in arrays)
+                    bucket, p = estimates(pair, context, one, total, words)
+                    share = weights[bucket] * p
+                    share *= (counts / share.sum(1))[:, None]
+                    sums += np.stack([np.bincount(bucket, share[:, k], BUCKETS) for k in range(3)], axis=1)
+            yield pd.DataFrame({"bucket": np.arange(BUCKETS), "two": sums[:, 0], "one": sums[:, 1], "any": sums[:, 2]})
+
+        sums = learn.mapInPandas(expected, "bucket int, two double, one double, any double").groupBy("bucket").agg(F.sum("two"), F.sum("one"), F.sum("any")).orderBy("bucket").collect()
+        sums = np.array([list(r)[1:] for r in sums]) + [1e-9, 1e-6, 1e-6]
+        weights = sums / sums.sum(1, keepdims=True)
+    return total, words, weights if total else np.tile([0.0, 0.0, 1.0], (BUCKETS, 1))
 
 
 def scored(docs: DataFrame, divisor: int = 7, remainder: int = 2) -> DataFrame:
@@ -228,13 +232,14 @@ def scored(docs: DataFrame, divisor: int = 7, remainder: int = 2) -> DataFrame:
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             out = []
-            for c, n in zip(b["codes"], b["counts"]):
-                codes = unpacked(c)
-                bucket, p = decoded(codes, FINE, total, words)
-                out.append(float(np.log10((weights[bucket] * p).sum(1)) @ from_planes(n, len(codes))))
-            yield b[["doc_id", "n_tokens", "n_known", "base"]].assign(score=np.array(out, dtype=np.float64))
+            for n, texts, pair, one in zip(b["n_tokens"], b["texts"], b["pair"], b["one"]):
+                pair, one = from_planes(pair, n), from_planes(one, n)
+                bucket, p = estimates(pair, contexts(one, np.array([0]), texts), one, total, words)
+                out.append(float(np.log10((weights[bucket] * p).sum(1)).sum()))
+            yield b[["doc_id", "times", "n_tokens", "n_known", "base"]].assign(score=np.array(out, dtype=np.float64))
 
-    rows = table.filter("kind = 'text'").select("doc_id", "n_tokens", "n_known", "base", "codes", "counts").mapInPandas(score, "doc_id string, n_tokens long, n_known long, base double, score double")
+    rows = table.filter("kind = 'text'").select("doc_id", "times", "n_tokens", "n_known", "texts", "base", "pair", "one").mapInPandas(score, "doc_id string, times long, n_tokens long, n_known long, base double, score double")
     rows = rows.withColumn("doc_id", F.col("doc_id").cast("long"))
     base = F.col("base") - F.col("n_tokens") * float(np.log10(total + words + 1))
-    return rows.select("doc_id", shared.held_out(F.col("doc_id"), divisor, remainder).alias("held_out"), "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), base.alias("base_score"), "score")
+    rows = rows.select("doc_id", "times", shared.held_out(F.col("doc_id"), divisor, remainder).alias("held_out"), "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), base.alias("base_score"), "score")
+    return rows.select("*", F.explode(F.sequence(F.lit(1).cast("long"), "times")).alias("copy")).drop("times", "copy")

@@ -22,6 +22,17 @@ def texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
 
 
+def distinct_rows(rows: DataFrame) -> DataFrame:
+    """(doc_id, text, times): rows of texts() that are equal as one, with their number, so that they burden one task no more than one row.
+
+    Ids and hashes say first whether there are any; the texts are only grouped if so.
+    """
+    again = rows.groupBy("doc_id", F.xxhash64("text").alias("hash")).agg(F.count("*").alias("n")).filter("n > 1")
+    if again.isEmpty():
+        return rows.withColumn("times", F.lit(1).cast("long"))
+    return rows.groupBy("doc_id", "text").agg(F.count("*").alias("times"))
+
+
 def held_out(id_column: Column, divisor: int, remainder: int) -> Column:
     """Whether crc32 of the id as text leaves this remainder; a null id never does."""
     return F.coalesce(F.crc32(id_column.cast("string").cast("binary")) % divisor == remainder, F.lit(False))
@@ -42,10 +53,10 @@ def fresh_dir(spark: SparkSession, kind: str) -> str:
     return f"{shared_dir(spark)}/{kind}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame) -> DataFrame:
+def written(df: DataFrame, compression: str = "snappy") -> DataFrame:
     """df as a Parquet table in the shared folder: cuts the lineage and survives the loss of executors."""
     path = fresh_dir(df.sparkSession, "table")
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -125,30 +125,39 @@ def test_op2_round_trip(spark):
     assert [(r.url, bytes(r.payload)) for r in some] == [("u", small.encode())]
 
 
-def test_op3_matches_brute_force(docs, monkeypatch):
+def test_op3_equals_an_independent_model(spark, docs, monkeypatch):
     monkeypatch.setattr(interpolated_lm, "BATCH_BYTES", 100_000)
     monkeypatch.setattr(interpolated_lm, "RANGE_BYTES", 150_000)
-    got = {r.doc_id: r for r in interpolated_lm.scored(docs).collect()}
-    total, words, weights = interpolated_lm.trained(interpolated_lm.counted(docs))
-    text = {r.doc_id: [*r.text.encode().lower().split(), None] for r in docs.collect()}
-    one, two, context = Counter(), Counter(), Counter()
-    for d, t in text.items():
-        if zlib.crc32(str(d).encode()) % 7 != 2:
-            one.update(t)
-            two.update(zip([0, *t], t))
-            context.update([0, *t[:-1]])
+    again = docs.filter("doc_id % 9 = 0").select("doc_id", "text", "lang", "source", "n_chars")
+    docs = docs.select("doc_id", "text", "lang", "source", "n_chars").union(again).union(again)
+    got = interpolated_lm.scored(docs).collect()
+    texts = [(r.doc_id, [*r.text.encode().lower().split(), None]) for r in docs.collect()]
+    train = [t for d, t in texts if zlib.crc32(str(d).encode()) % 7 != 2]
+    one, two = Counter(w for t in train for w in t), Counter(p for t in train for p in zip([0, *t], t))
+    context = Counter({**one, 0: len(train)})
     n, v = sum(one.values()), len(one)
-    assert (total, words) == (n, v)
-    for d, t in text.items():
-        base = sum(math.log10((one[w] + 1) / (n + v + 1)) for w in t)
+    weights = np.full((32, 3), 1 / 3)
+    for _ in range(interpolated_lm.ROUNDS):
+        sums = np.zeros((32, 3)) + [1e-9, 1e-6, 1e-6]
+        for t in train:
+            for a, b in zip([0, *t], t):
+                c = context[a] - 1
+                k = min(31, int(math.log2(c + 1)))
+                share = weights[k] * [(two[a, b] - 1) / c if c else 0, (one[b] - 1) / n, 1 / (v + 1)]
+                sums[k] += share / share.sum()
+        weights = sums / sums.sum(1, keepdims=True)
+    want = {}
+    for d, t in texts:
         score = 0.0
         for a, b in zip([0, *t], t):
             w = weights[min(31, int(math.log2(context[a] + 1)))]
-            score += math.log10(w[0] * (two[a, b] / context[a] if context[a] else 0) + w[1] * one[b] / n + w[2] / (v + 1))
-        r = got[d]
-        assert r.base_score == pytest.approx(base) and r.score == pytest.approx(score, abs=0.002 * len(t) + 1e-6)
-        assert (r.n_tokens, r.n_known, r.train_tokens) == (len(t), sum(one[w] > 0 for w in t), n)
-    held = [r for r in got.values() if r.held_out]
+            score += math.log10(w @ [two[a, b] / context[a] if context[a] else 0, one[b] / n, 1 / (v + 1)])
+        want[d] = (len(t), sum(one[w] > 0 for w in t), n, sum(math.log10((one[w] + 1) / (n + v + 1)) for w in t), score)
+    assert Counter(r.doc_id for r in got) == Counter(d for d, _ in texts)
+    for r in got:
+        w = want[r.doc_id]
+        assert (r.n_tokens, r.n_known, r.train_tokens) == w[:3] and abs(r.base_score - w[3]) < 1e-9 * w[0] and abs(r.score - w[4]) < 1e-9 * w[0]
+    held = [r for r in got if r.held_out]
     assert sum(r.score for r in held) > sum(r.base_score for r in held)
 
 

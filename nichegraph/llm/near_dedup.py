@@ -28,8 +28,8 @@ SIMILARITY, LONG_SHINGLE, BANDS, ROWS = 0.8, 5, 28, 7
 FEW = 20_000
 #: Fingerprints of a group (the groups are few for small inputs and at most MOST_GROUPS), children of a node, queries descended at once.
 GROUP, MOST_GROUPS, FANOUT, AT_ONCE = 8192, 65_536, 16, 1024
-#: Visitors of a group in one task, as a multiple of GROUP; a key with more than one of so many rows is joined where the rows are.
-VISITORS, HOT_SHARE = 16, 10_000
+#: Visitors of a group in one task, as a multiple of GROUP.
+VISITORS = 16
 
 
 def simhash(text: str, shingle: int = SHINGLE, seed: int = SEED) -> int:
@@ -205,20 +205,6 @@ def near_links(codes: DataFrame, radius: int = RADIUS, group: int = GROUP) -> Da
     return routed.groupBy("gid", "part").applyInPandas(link, "a long, b long")
 
 
-def with_class(rows: DataFrame, of: DataFrame, key: str) -> DataFrame:
-    """rows joined by the key to `of`, which has a row and the number n of rows for each key.
-
-    Keys with more than a HOT_SHARE-th of all rows, HOT_SHARE at most, are sent to the rows where they are; all
-    other keys deal out so few rows each that no task gets many more than others.
-    """
-    of = shared.written(of)
-    hot = of.filter(F.col("n") > max(1, rows.count() // HOT_SHARE))
-    rows = rows.join(F.broadcast(hot.withColumn("hot", F.lit(True)).drop("n")), key, "left")
-    names = [c for c in of.columns if c not in (key, "n")]
-    rest = rows.filter("hot is null").drop("hot", *names).join(of.drop("n"), key)
-    return rows.filter("hot").drop("hot").unionByName(rest.select(*rows.drop("hot").columns))
-
-
 def classes(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     """(doc_id, fingerprint, component_id) per document, repeated rows included.
 
@@ -233,7 +219,7 @@ def classes(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     linked = linked.join(roots, "root").select("code", F.col("root").alias("linked_root"), "smallest")
     one = codes.join(linked, "code", "left").select("code", "n", F.coalesce("linked_root", "code").alias("root"), F.when(F.col("linked_root").isNull(), F.col("least")).otherwise(F.col("smallest")).alias("component_id"))
     text = F.lower(F.lpad(F.hex("code"), 16, "0")).alias("fingerprint")
-    return with_class(rows, one, "code").select("doc_id", text, "component_id", "root")
+    return shared.with_class(rows, one, "code").select("doc_id", text, "component_id", "root")
 
 
 def signatures(text: Column, shingle: int, bands: int = BANDS, rows: int = ROWS) -> Column:
@@ -316,7 +302,7 @@ def similar_classes(docs: DataFrame, similarity: float = SIMILARITY, shingle: in
     found = shared.components(similar_links(keys, texts, similarity, shingle)).withColumnRenamed("node", "key")
     one = shared.written(keys.join(found, "key", "left").select("key", "n", "least", F.coalesce("root", "key").alias("root")))
     smallest = one.groupBy("root").agg(F.min("least").alias("component_id"))
-    return with_class(rows.select("doc_id", "key"), one.join(smallest, "root").select("key", "n", "root", "component_id"), "key").select("doc_id", "key", "component_id", "root")
+    return shared.with_class(rows.select("doc_id", "key"), one.join(smallest, "root").select("key", "n", "root", "component_id"), "key").select("doc_id", "key", "component_id", "root")
 
 
 def deduplicated(docs: DataFrame, radius: int = RADIUS, similarity: float | None = None, shingle: int = LONG_SHINGLE) -> DataFrame:

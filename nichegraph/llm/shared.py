@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 #: White space that separates words: space and the six ASCII controls from tab to carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: A key with more than one of so many rows is joined where the rows are.
+HOT_SHARE = 10_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -60,6 +61,20 @@ def written(df: DataFrame, compression: str = "snappy") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def with_class(rows: DataFrame, of: DataFrame, key: str) -> DataFrame:
+    """rows joined by the key to `of`, which has a row and the number n of rows for each key.
+
+    Keys with more than a HOT_SHARE-th of all rows, HOT_SHARE at most, are sent to the rows where they are; all
+    other keys deal out so few rows each that no task gets many more than others.
+    """
+    of = written(of)
+    hot = of.filter(F.col("n") > max(1, rows.count() // HOT_SHARE))
+    rows = rows.join(F.broadcast(hot.withColumn("hot", F.lit(True)).drop("n")), key, "left")
+    names = [c for c in of.columns if c not in (key, "n")]
+    rest = rows.filter("hot is null").drop("hot", *names).join(of.drop("n"), key)
+    return rows.filter("hot").drop("hot").unionByName(rest.select(*rows.drop("hot").columns))
+
+
 def components(links: DataFrame) -> DataFrame:
     """Connected components of links (a, b): one row (node, root) per linked node, root the smallest node.
 

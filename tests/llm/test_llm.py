@@ -12,7 +12,7 @@ import pytest
 import xxhash
 
 import corpus_pipeline
-from nichegraph.llm import ann_search, bpe_trie, fingerprints, interpolated_lm, mixing, near_dedup, quality_rules, secret_scan, shared, toxicity, warc
+from nichegraph.llm import bpe_trie, fingerprints, interpolated_lm, mixing, near_dedup, quality_rules, secret_scan, shared, toxicity, warc
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 SF = "/root/testdata/sf0.001"
@@ -279,25 +279,6 @@ def test_op8_links_of_many_groups(spark, monkeypatch, visitors):
     assert all(same.setdefault(a, b) == b for a, b in zip(want, root)) and len(set(same.values())) == len(same)
 
 
-def test_op9_recall_and_odd_vectors(spark):
-    table = shared.table(spark, SF, "embeddings").select("vec_id", "embedding")
-    odd = spark.createDataFrame([(10**6, None), (10**6 + 100, [0.0] * 64), (10**6 + 200, [float("nan")] * 64), (10**6 + 300, [None] * 64), (None, [1.0] * 64)], "vec_id long, embedding array<float>")
-    got = ann_search.neighbours(table.union(odd)).toPandas()
-    e = table.toPandas()
-    x, ids = np.stack(e.embedding).astype(float), e.vec_id.to_numpy()
-    hits = total = 0
-    for q in ids[ids % 100 == 0]:
-        far = np.sqrt(((x - x[ids == q][0]) ** 2).sum(1))
-        far[ids == q] = np.inf
-        mine = got[got.query_id == q].sort_values("rank")
-        assert list(mine["rank"]) == list(range(1, 11)) and np.allclose(mine.score, [far[ids == v][0] for v in mine.vec_id])
-        hits += len(set(mine.vec_id) & set(ids[np.lexsort((ids, far))[:10]]))
-        total += 10
-    assert hits / total >= 0.9 and set(got.query_id) == set(ids[ids % 100 == 0])
-    assert ann_search.neighbours(table.limit(0)).count() == 0
-    assert ann_search.neighbours(table.filter("vec_id < 4")).count() == 3
-
-
 def test_op10_base_and_entropy(spark):
     texts = ["my PassWord: \"hunter22\" api-key apikey=abc12 api_key=ABCDEF", "AKIA" + "Z" * 15 + " AKIA" + "Q7" * 9, "ab" * 11 + " " + "0f" * 12 + "x", "😀 secret = 'αβγ' token:a.b-c/d+e", "key Zk3q9XvB7tLm2RwP8sYd4HnJ6c stays", "path/to/some/long/place/of/files and 123e4567-e89b-12d3-a456-426614174000", "aaaaaaaaaaaaaaaaaaaa1", None, ""]
     got = {r.doc_id: r for r in secret_scan.scan(spark.createDataFrame(rows_of(texts), DOCS)).collect()}

@@ -48,7 +48,7 @@ def _maps(s: SparkSession, d: str) -> niche.NicheMaps:
 
 def _binned(s: SparkSession, d: str) -> DataFrame:
     pts = _all_points(s, d)
-    return niche.with_bins(pts.withColumn("cell", cell_id(pts, "cell_id")), niche.grid_meta(pts, BIN), BIN)
+    return niche.with_bins(pts.withColumn("cell", cell_id(pts, "cell_id")), niche.pinned(niche.grid_meta(pts, BIN)), BIN)
 
 
 def _pairs(s: SparkSession, d: str, **k) -> colocation.NullModel:

@@ -1,4 +1,4 @@
-"""A sorted curve of any length: places of values, exact quantiles, and pieces with margins, without one task that orders all rows."""
+"""A sorted curve of any length: places of values, exact quantiles of one or by key, and pieces with margins, without one task that orders all rows."""
 
 from __future__ import annotations
 
@@ -53,3 +53,29 @@ def quantile(values: DataFrame, q: float, strip: int = STRIP) -> float | None:
     holds = lambda i: F.max(F.when((F.col("first") <= i) & (F.col("first") + F.col("m") > i), F.col("value")))
     a, b = sorted_runs(values, n, strip).agg(holds(low), holds(min(low + 1, n - 1))).first()
     return a + (b - a) * (at - low)
+
+
+def quantiles(rows: DataFrame, key: str, at: dict[str, float], strip: int = STRIP) -> DataFrame:
+    """(key, and a column per name in `at`): exact linear quantiles of column value, which comes freq times, by key.
+
+    Equal values are counted before anything is ordered. Approximate quantiles of a key deal its distinct values
+    to strips, each ordered by itself. Keys are few, as those of maps and modules.
+    """
+    counts = rows.groupBy(key, "value").agg(F.sum("freq").alias("m"))
+    strips = min(1024, max(1, counts.count() // strip))
+    counts = counts.withColumn("strip", F.lit(0))
+    if strips > 1:
+        cuts = rows.groupBy(F.col(key).alias("of")).agg(F.percentile_approx("value", [i / strips for i in range(1, strips)], 10 * strips).alias("cuts"))
+        counts = counts.join(F.broadcast(cuts), F.col(key) == F.col("of"))  # a row per key
+        counts = counts.withColumn("strip", F.size(F.filter("cuts", lambda c: c < F.col("value")))).select(key, "value", "m", "strip")
+    before = lambda w: F.coalesce(F.sum("m").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sums = counts.groupBy(F.col(key).alias("of"), F.col("strip").alias("s")).agg(F.sum("m").alias("m"))
+    sums = sums.select("of", "s", before(Window.partitionBy("of").orderBy("s")).alias("start"), F.sum("m").over(Window.partitionBy("of")).alias("n"))
+    runs = counts.withColumn("within", before(Window.partitionBy(key, "strip").orderBy("value")))
+    runs = runs.join(F.broadcast(sums), (F.col(key) == F.col("of")) & (F.col("strip") == F.col("s")))  # strips of few keys
+    first = F.col("start") + F.col("within")
+    place = lambda q: (F.col("n") - 1) * F.lit(float(q))
+    holds = lambda i: F.max(F.when((first <= i) & (first + F.col("m") > i), F.col("value")))
+    ends = [c for name, q in at.items() for c in (holds(F.floor(place(q))).alias(f"{name}_a"), holds(F.least(F.floor(place(q)) + 1, F.col("n") - 1)).alias(f"{name}_b"), F.max(place(q) - F.floor(place(q))).alias(f"{name}_t"))]
+    out = runs.groupBy(key).agg(*ends)
+    return out.select(key, *((F.col(f"{n}_a") + (F.col(f"{n}_b") - F.col(f"{n}_a")) * F.col(f"{n}_t")).alias(n) for n in at))

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from nichegraph.functions.columns import raster_bin
+from nichegraph.operators.curve import quantiles
 
 
 def grid_meta(pts: DataFrame, bin_size: float) -> DataFrame:
@@ -22,6 +23,18 @@ def grid_meta(pts: DataFrame, bin_size: float) -> DataFrame:
     return g.select("x_min", "y_min", size("x").alias("width"), size("y").alias("height"))
 
 
+def pinned(grid: DataFrame) -> DataFrame:
+    """The one row of a grid as a local table, so that plans that read it don't read all points again."""
+    return grid.sparkSession.createDataFrame(grid.collect(), grid.schema)
+
+
+def grid_bins(grid: DataFrame) -> DataFrame:
+    """(bin_id) of all bins of the grid: rows of bins are dealt out before each is written out."""
+    rows = grid.select("width", F.explode(F.sequence(F.lit(0).cast("long"), F.col("height").cast("long") - 1)).alias("gy")).repartition("gy")
+    rows = rows.withColumn("gx", F.explode(F.sequence(F.lit(0).cast("long"), F.col("width").cast("long") - 1)))
+    return rows.select((F.col("gy") * F.col("width") + F.col("gx")).alias("bin_id"))
+
+
 def with_bins(pts: DataFrame, grid: DataFrame, bin_size: float) -> DataFrame:
     """Points with gx, gy and bin_id, row by row of the grid; points without coordinates go."""
     rows = pts.filter(~F.isnan("x") & ~F.isnan("y")).crossJoin(F.broadcast(grid))  # one row
@@ -72,7 +85,7 @@ def niche_maps(pts: DataFrame, weights: DataFrame, bin_size: float = 8, smoothin
     With b a gene's blurred counts, the map is the sum of w b / s less the constant sum of w m / s, which is all
     there is where b is 0. Genes with s <= eps add nothing; weights up to the threshold count as 0.
     """
-    grid = grid_meta(pts, bin_size)
+    grid = pinned(grid_meta(pts, bin_size))
     genes = driver_genes(weights, threshold) if only_drivers else weights.select("gene").distinct()
     b = blurred(pixel_gene_counts(pts, grid, bin_size, genes), grid, smoothing_radius / bin_size)
     pixels = grid.select((F.col("width").cast("long") * F.col("height")).alias("pixels"), "width")
@@ -103,15 +116,14 @@ def thresholds(maps: NicheMaps, threshold: str | float) -> DataFrame:
     """(k, t): "pQ" is the exact linear percentile of all pixels of a map, a number is itself."""
     rows = weighted(maps)
     if isinstance(threshold, str):
-        return rows.groupBy("k").agg(F.percentile("value", float(threshold[1:]) / 100, F.col("freq")).alias("t"))
+        return quantiles(rows, "k", {"t": float(threshold[1:]) / 100})
     return rows.select("k").distinct().withColumn("t", F.lit(float(threshold)))
 
 
 def all_pixels(maps: NicheMaps, where: Column) -> DataFrame:
     """Background pixels (k, bin_id, value) of the maps whose background row satisfies `where`: the grid less touched ones."""
     bg = maps.background.filter(where).select("k", "value")
-    ids = maps.grid.select(F.explode(F.sequence(F.lit(0).cast("long"), F.col("width").cast("long") * F.col("height") - 1)).alias("bin_id"))
-    return ids.crossJoin(F.broadcast(bg)).join(maps.touched.select("k", "bin_id"), ["k", "bin_id"], "left_anti").select("k", "bin_id", "value")  # a row per map
+    return grid_bins(maps.grid).crossJoin(F.broadcast(bg)).join(maps.touched.select("k", "bin_id"), ["k", "bin_id"], "left_anti").select("k", "bin_id", "value")  # a row per map
 
 
 def selected_bins(maps: NicheMaps, threshold: str | float = "p80") -> DataFrame:
@@ -124,12 +136,12 @@ def selected_bins(maps: NicheMaps, threshold: str | float = "p80") -> DataFrame:
 def symmetric_scale(maps: NicheMaps, q: float = 0.995) -> DataFrame:
     """(k, scale): the percentile of absolute values, else the largest, else 1."""
     a = weighted(maps).withColumn("a", F.abs("value"))
-    s = a.groupBy("k").agg(F.percentile("a", q, F.col("freq")).alias("p"), F.max("a").alias("m"))
+    s = quantiles(a.select("k", F.col("a").alias("value"), "freq"), "k", {"p": q, "m": 1.0})
     return s.select("k", F.when(F.col("p") > 0, F.col("p")).when(F.col("m") > 0, F.col("m")).otherwise(1.0).alias("scale"))
 
 
 def percentile_categories(maps: NicheMaps, percentiles: list[float] = (90, 95, 98, 99)) -> DataFrame:
     """(k, bin_id, category) of touched pixels: how many of the percentiles the value reaches."""
-    cuts = weighted(maps).groupBy("k").agg(*(F.percentile("value", p / 100, F.col("freq")).alias(f"t{i}") for i, p in enumerate(sorted(percentiles))))
+    cuts = quantiles(weighted(maps), "k", {f"t{i}": p / 100 for i, p in enumerate(sorted(percentiles))})
     rows = maps.touched.join(F.broadcast(cuts), "k")
     return rows.select("k", "bin_id", sum((F.col("value") >= F.col(f"t{i}")).cast("int") for i in range(len(percentiles))).alias("category"))

@@ -2,15 +2,60 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from nichegraph.operators.colocation import pairs_within
+from nichegraph.operators.curve import quantiles
+
+#: A block's side in radii; rows of a block, its margin included, that one task compares with each other; own rows compared at once.
+SIDE, MOST_ROWS, AT_ONCE = 4, 20_000, 512
 
 
 def _sites(pts: DataFrame, module_genes: DataFrame) -> DataFrame:
     """(module, x, y, m): a module's points by place; equal points are one row with their number."""
-    return pts.join(module_genes, "gene").groupBy("module", "x", "y").agg(F.count("*").alias("m")).withColumn("id", F.xxhash64("x", "y"))
+    return pts.join(module_genes, "gene").groupBy("module", "x", "y").agg(F.count("*").alias("m"))
+
+
+def near_sums(sites: DataFrame, radius: float, weight: str) -> DataFrame:
+    """sites (module, x, y, ...) with near: the weights of the module's sites within the radius, its own included.
+
+    Sites are dealt to square blocks with a margin of the radius. A block of more than MOST_ROWS rows is dealt
+    to parts: each part of its own rows meets each part of all its rows in a task of its own, and the sums add up.
+    """
+    size, r2, names = SIDE * radius, float(radius) ** 2, [c for c in sites.columns if c not in ("module", "x", "y")]
+    at = lambda c, by: F.floor((F.col(c).cast("double") + by) / size)
+    span = lambda c: F.explode(F.sequence(at(c, -radius), at(c, radius)))
+    rows = sites.select("*", span("x").alias("bx")).select("*", span("y").alias("by"))
+    rows = rows.withColumn("own", (F.col("bx") == at("x", 0)) & (F.col("by") == at("y", 0)))
+    block = ["module", "bx", "by"]
+    large = rows.groupBy(*block).agg(F.ceil(F.count("*") / MOST_ROWS).cast("int").alias("parts")).filter("parts > 1")
+    split = not large.isEmpty()
+    if split:
+        rows = rows.join(large, block, "left").fillna(1, ["parts"])
+        part = F.pmod(F.xxhash64("x", "y"), F.col("parts")).cast("int")
+        every = F.sequence(F.lit(0), F.col("parts") - 1)
+        asks = F.transform(every, lambda q: F.struct(part.alias("p"), q.alias("q"), F.lit(True).alias("asks"), F.lit(False).alias("meets")))
+        meets = F.transform(every, lambda p: F.struct(p.alias("p"), part.alias("q"), F.lit(False).alias("asks"), F.lit(True).alias("meets")))
+        rows = rows.select("*", F.inline(F.when(F.col("own"), F.concat(asks, meets)).otherwise(meets)))
+    else:
+        rows = rows.select("*", F.lit(0).alias("p"), F.lit(0).alias("q"), F.col("own").alias("asks"), F.lit(True).alias("meets"))
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        mine, others = rows[rows["asks"]].sort_values("x"), rows[rows["meets"]].sort_values("x")
+        x, y, w = (others[c].to_numpy(np.float64) for c in ("x", "y", weight))
+        mx, my, near = mine["x"].to_numpy(np.float64), mine["y"].to_numpy(np.float64), np.zeros(len(mine))
+        for i in range(0, len(mine), AT_ONCE):
+            part = slice(i, i + AT_ONCE)
+            a, b = np.searchsorted(x, (mx[part][0] - radius * 1.001, mx[part][-1] + radius * 1.001))
+            dx, dy = mx[part, None] - x[a:b], my[part, None] - y[a:b]
+            near[part] = (dx * dx + dy * dy <= r2) @ w[a:b]
+        return mine[["module", "x", "y", *names]].assign(near=near.astype(np.int64))
+
+    schema = sites.select("module", "x", "y", *names).withColumn("near", F.lit(0).cast("long")).schema
+    out = rows.groupBy(*block, "p", "q").applyInPandas(run, schema)
+    return out.groupBy("module", "x", "y", *names).agg(F.sum("near").alias("near")) if split else out
 
 
 def density(pts: DataFrame, module_genes: DataFrame, radius: float = 10, least: int = 50) -> DataFrame:
@@ -19,17 +64,16 @@ def density(pts: DataFrame, module_genes: DataFrame, radius: float = 10, least:
     The minimum is the 80th percentile of the points' neighbours, themselves left out, as a whole number, and
     at least `least`.
     """
-    p = pairs_within(_sites(pts, module_genes), radius, "x", "y", "id", ["m"], ["module"], once=False)
-    s = p.groupBy(F.col("module_a").alias("module"), F.col("x_a").alias("x"), F.col("y_a").alias("y"), F.col("m_a").alias("m")).agg(F.sum("m_b").alias("near"))
-    t = s.groupBy("module").agg(F.greatest(F.floor(F.percentile(F.col("near") - 1, 0.8, F.col("m"))), F.lit(least)).cast("long").alias("min_samples"))
+    s = near_sums(_sites(pts, module_genes), radius, "m").persist()  # read by the quantiles and the result
+    t = quantiles(s.select("module", (F.col("near") - 1).cast("double").alias("value"), F.col("m").alias("freq")), "module", {"t": 0.8})
+    t = t.select("module", F.greatest(F.floor("t"), F.lit(least)).cast("long").alias("min_samples"))
     return s.join(F.broadcast(t), "module")  # a row per module
 
 
 def clustered(pts: DataFrame, module_genes: DataFrame, radius: float = 10, least: int = 50) -> DataFrame:
     """(module, x, y) of clustered places: core places, with at least the minimum near, and places within the radius of one."""
-    d = density(pts, module_genes, radius, least).withColumn("id", F.xxhash64("x", "y")).withColumn("core", F.col("near") >= F.col("min_samples"))
-    p = pairs_within(d, radius, "x", "y", "id", ["core"], ["module"], once=False).filter("core_b")
-    return p.select(F.col("module_a").alias("module"), F.col("x_a").alias("x"), F.col("y_a").alias("y")).distinct()
+    d = density(pts, module_genes, radius, least).select("module", "x", "y", (F.col("near") >= F.col("min_samples")).cast("int").alias("core"))
+    return near_sums(d, radius, "core").filter("near > 0").select("module", "x", "y")
 
 
 def cell_overlaps(pts: DataFrame, module_genes: DataFrame, n_modules: int, radius: float = 10, least: int = 50) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from nichegraph.operators import curve
+from nichegraph.operators.niche import grid_bins
 
 
 def bin_gene_counts(binned: DataFrame, keep_empty: DataFrame | None = None) -> DataFrame:
@@ -13,8 +14,7 @@ def bin_gene_counts(binned: DataFrame, keep_empty: DataFrame | None = None) -> D
     out = binned.filter("gene is not null").groupBy("bin_id", "gene").agg(F.count("*").alias("n"))
     if keep_empty is None:
         return out
-    ids = keep_empty.select(F.explode(F.sequence(F.lit(0).cast("long"), F.col("width").cast("long") * F.col("height") - 1)).alias("bin_id"))
-    return ids.join(out, "bin_id", "left").fillna(0, ["n"])
+    return grid_bins(keep_empty).join(out, "bin_id", "left").fillna(0, ["n"])
 
 
 def bin_gene_split(binned: DataFrame) -> DataFrame:

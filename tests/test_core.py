@@ -232,3 +232,30 @@ def test_stream_counts(spark, tmp_path):
     q = stream_bin_counts(src).writeStream.outputMode("complete").format("memory").queryName("bins").trigger(availableNow=True).start()
     q.awaitTermination(60)
     assert {(r.bin_x, r.n_total, r.n_unassigned) for r in spark.table("bins").collect()} == {(0, 2, 1), (1, 1, 0)}
+
+
+def test_near_sums_of_split_blocks_equal_brute_force(spark, monkeypatch):
+    from nichegraph.operators import overlap
+
+    draw = np.random.default_rng(3)
+    rows = [(int(m), float(x), float(y), int(w)) for m, x, y, w in zip(draw.integers(0, 2, 400), draw.normal(0, 15, 400).round(1), draw.normal(0, 15, 400).round(1), draw.integers(1, 4, 400))]
+    rows = list({r[:3]: r for r in rows}.values())
+    df = spark.createDataFrame(rows, "module int, x double, y double, m int")
+    want = {r[:3]: sum(o[3] for o in rows if o[0] == r[0] and (o[1] - r[1]) ** 2 + (o[2] - r[2]) ** 2 <= 25) for r in rows}
+    for most in (20_000, 30):
+        monkeypatch.setattr(overlap, "MOST_ROWS", most)
+        got = overlap.near_sums(df, 5, "m").collect()
+        assert len(got) == len(rows) and {(r.module, r.x, r.y): r.near for r in got} == want
+
+
+def test_quantiles_by_key_of_many_strips(spark):
+    from nichegraph.operators.curve import quantiles
+
+    draw = np.random.default_rng(4)
+    values = {k: draw.normal(size=n).round(2) for k, n in ((0, 500), (1, 3), (2, 1))}
+    df = spark.createDataFrame([(k, float(v), 1 + i % 3) for k, vs in values.items() for i, v in enumerate(vs)], "k int, value double, freq long")
+    for strip in (1_000_000, 20):
+        got = {r.k: (r.a, r.b, r.c) for r in quantiles(df, "k", {"a": 0.0, "b": 0.83, "c": 1.0}, strip).collect()}
+        for k, vs in values.items():
+            every = np.repeat(vs, [1 + i % 3 for i in range(len(vs))])
+            assert got[k] == pytest.approx(tuple(np.quantile(every, q) for q in (0, 0.83, 1)))

@@ -19,7 +19,10 @@ DIMENSIONS = ["source", "lang", "topic"]
 TEMPER = {"source": 0.7, "lang": 0.7, "topic": 1.0}
 #: Share of the tokens of cells with a weight that is expected to stay at least, however rare the rarest cell.
 LEAST_SHARE = 0.6
-SWEEPS, TOLERANCE, MOST_SWEEPS, ONE_TASK = 10, 1e-6, 200, 50_000
+#: Sweeps between looks at the gaps, the gap at which targets count as met, and the share of the gap before at which it counts as standing still.
+SWEEPS, TOLERANCE, STANDS = 5, 1e-6, 0.9
+#: Cells that are worked on in one task and sent to all; it changes where the work is done alone.
+ONE_TASK = 50_000
 
 
 def topic(text: Column) -> Column:
@@ -54,34 +57,51 @@ def default_targets(cells: DataFrame, temper: dict[str, float] = TEMPER) -> dict
     out = {}
     for d in DIMENSIONS:
         t = cells.groupBy(F.col(d).alias("value")).agg(F.pow(F.sum("tokens").cast("double"), F.lit(temper[d])).alias("p"))
-        out[d] = t.select("value", F.try_divide("p", F.sum("p").over(Window.partitionBy(F.lit(1)))).alias("share"))
+        out[d] = t.crossJoin(t.agg(F.sum("p").alias("total"))).select("value", F.try_divide("p", "total").alias("share"))  # one row
     return out
 
 
 def rake(cells: DataFrame, targets: dict[str, DataFrame], tolerance: float = TOLERANCE) -> DataFrame:
-    """cells with weight: the token counts raked until every marginal is within the tolerance of its target.
+    """cells with weight, the token counts raked to the targets, and gap: by how much the marginals of the cell's values miss theirs at most.
 
     Values with a target but no tokens can't be met: the shares of those that have tokens are brought to sum
-    1. Values without a target get weight 0, as do cells without tokens. Where the targets contradict each
-    other on the cells that occur, raking ends after MOST_SWEEPS sweeps, true to the last dimension.
+    1. Values without a target get weight 0, as do cells without tokens. Raking ends when every gap is within
+    the tolerance, or when the largest stands still: then the targets contradict each other on the cells that
+    occur, weights are true to the last dimension, and gap says what the others lack.
     """
     rows, n = cells.withColumn("weight", F.col("tokens").cast("double")), cells.count()
+    shares = [f"share_{d}" for d in targets]
     for d, t in targets.items():
         share = t.join(cells.filter("tokens > 0").select(F.col(d).alias("value")).distinct(), "value")
-        share = share.select(F.col("value").alias(d), F.try_divide(F.col("share").cast("double"), F.sum("share").over(Window.partitionBy(F.lit(1)))).alias(f"share_{d}"))
+        share = share.crossJoin(share.agg(F.sum(F.col("share").cast("double")).alias("total")))  # one row
+        share = share.select(F.col("value").alias(d), F.try_divide(F.col("share").cast("double"), "total").alias(f"share_{d}"))
         rows = rows.join(share, d, "left").fillna(0.0, [f"share_{d}"])
-    rows = shared.written(rows)
-    for _ in range(0, MOST_SWEEPS if n else 0, SWEEPS):
-        rows = rows.coalesce(1) if n <= ONE_TASK else rows
+    rows = shared.written(rows.coalesce(1) if n <= ONE_TASK else rows)
+
+    def marginals(rows: DataFrame, d: str, name: str) -> DataFrame:
+        """rows with the sum of weights of their value of d; beyond ONE_TASK sums are added up before they are dealt out."""
+        if n <= ONE_TASK:
+            return rows.withColumn(name, F.sum("weight").over(Window.partitionBy(d)))
+        return rows.join(rows.groupBy(F.col(d).alias("_value")).agg(F.sum("weight").alias(name)), F.col(d) == F.col("_value")).drop("_value")
+
+    before = None
+    while n:
+        if n <= ONE_TASK:
+            rows = rows.coalesce(1)
         for _ in range(SWEEPS):
             for d in targets:
-                scale = F.try_divide(f"share_{d}", F.sum("weight").over(Window.partitionBy(d)))
-                rows = rows.withColumn("weight", F.coalesce(F.col("weight") * scale, F.lit(0.0)))
-        rows = shared.written(rows)
-        gaps = [rows.filter("tokens > 0").groupBy(d).agg(F.abs(F.sum("weight") - F.max(f"share_{d}")).alias("gap")) for d in targets]
-        if max(g.agg(F.max("gap")).first()[0] or 0.0 for g in gaps) <= tolerance:
+                rows = marginals(rows, d, "_sum")
+                rows = rows.withColumn("weight", F.coalesce(F.col("weight") * F.try_divide(f"share_{d}", "_sum"), F.lit(0.0))).drop("_sum")
+            rows = rows if n <= ONE_TASK else shared.written(rows)
+        for d in targets:
+            rows = marginals(rows, d, f"_gap_{d}")
+        gap = F.greatest(*(F.abs(F.col(f"_gap_{d}") - F.col(f"share_{d}")) for d in targets), F.lit(0.0))
+        rows = shared.written(rows.withColumn("gap", gap).select(*cells.columns, "weight", "gap", *shares))
+        largest = rows.filter("tokens > 0").agg(F.max("gap")).first()[0] or 0.0
+        if largest <= tolerance or before is not None and largest > STANDS * before:
             break
-    return rows.select(*cells.columns, "weight")
+        before, rows = largest, rows.drop("gap")
+    return rows.select(*cells.columns, "weight", F.col("gap") if n else F.lit(0.0).alias("gap"))
 
 
 def factor(cells: DataFrame, share: float = LEAST_SHARE) -> float:
@@ -111,7 +131,8 @@ def with_probability(docs: DataFrame, targets: dict[str, DataFrame] | None = Non
 
     _probability: the cell's weight over its tokens times factor(), 1 at most; 1 in cells without tokens, whose
     documents change no weight. _short: by how much the cell's share of the tokens expected to stay is below its
-    weight, as all of its documents stay and are too few; 0 in cells that are sampled. _draw: uniform in [0, 1)
+    weight, as all of its documents stay and are too few; 0 in cells that are sampled. _gap: as rake() has it, what
+    weights miss of the targets at most, for the document's source, language and topic. _draw: uniform in [0, 1)
     from the id and the seed, so any rerun keeps the same documents, and repeated ids stay or go together; a null
     id draws from its description.
     """
@@ -121,7 +142,7 @@ def with_probability(docs: DataFrame, targets: dict[str, DataFrame] | None = Non
     done = done.withColumn("_probability", one)
     stays = done.agg(F.sum(F.col("tokens") * F.col("_probability")).alias("_stays"))
     short = F.when((F.col("_probability") >= 1) & (F.col("tokens") > 0), F.greatest(F.col("weight") - F.try_divide("tokens", "_stays"), F.lit(0.0))).otherwise(F.lit(0.0))
-    done = done.crossJoin(stays).select(*(F.col(d).alias(f"_cell_{d}") for d in DIMENSIONS), F.col("weight").alias("_weight"), "_probability", short.alias("_short"))
+    done = done.crossJoin(stays).select(*(F.col(d).alias(f"_cell_{d}") for d in DIMENSIONS), F.col("weight").alias("_weight"), "_probability", short.alias("_short"), F.col("gap").alias("_gap"))
     if cells.count() <= ONE_TASK:
         done = F.broadcast(done)
     on = [F.col(f"_{d}") == F.col(f"_cell_{d}") for d in DIMENSIONS]
@@ -132,8 +153,8 @@ def with_probability(docs: DataFrame, targets: dict[str, DataFrame] | None = Non
 
 
 def calibrated(docs: DataFrame, targets: dict[str, DataFrame] | None = None, seed: int = 17) -> DataFrame:
-    """(doc_id, source, lang, topic, tokens, weight, probability, short, draw, kept) per document; kept: draw < probability."""
-    names = [*DIMENSIONS, "tokens", "weight", "probability", "short", "draw"]
+    """(doc_id, source, lang, topic, tokens, weight, probability, short, gap, draw, kept) per document; kept: draw < probability."""
+    names = [*DIMENSIONS, "tokens", "weight", "probability", "short", "gap", "draw"]
     rows = with_probability(docs.select("doc_id", "text", "source", "lang"), targets, seed)
     return rows.select("doc_id", *(F.col(f"_{n}").alias(n) for n in names), (F.col("_draw") < F.col("_probability")).alias("kept"))
 

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from . import shared
 
 #: Bytes of text in a batch and per range of n-gram hashes, in the mean.
-BATCH_BYTES, RANGE_BYTES = 8 << 20, 32 << 20
+BATCH_BYTES, RANGE_BYTES = 8 << 20, 12 << 20
 #: Buckets of context frequency, by powers of two; rounds of expectation-maximisation, from equal weights.
 BUCKETS, ROUNDS = 32, 16
 END, START = np.uint64(1), np.uint64(2)
@@ -79,7 +79,7 @@ class Batch:
             pair ^= pair >> np.uint64(32)
             pair *= np.uint64(0xD6E8FEB86659FD93)
             pair ^= pair >> np.uint64(29)
-        del before
+        del before, parts
         self.orders, self.cuts = [], []
         for keys in (self.tokens, pair):
             distinct, at = np.unique(keys, return_inverse=True)
@@ -121,12 +121,13 @@ def grouped(arrays: list[np.ndarray], times: np.ndarray) -> tuple[list[np.ndarra
         for a in arrays:
             key = (key ^ a.astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
             key ^= key >> np.uint64(29)
-    order = np.argsort(key)
-    arrays = [a[order] for a in arrays]
-    new = np.ones(len(order), dtype=bool)
-    new[1:] = np.any([a[1:] != a[:-1] for a in arrays], axis=0)
+    order, new = np.argsort(key), np.zeros(len(times), dtype=bool)
+    del key
+    new[:1] = True
+    for a in arrays:
+        new[1:] |= np.diff(a[order]) != 0
     starts = np.flatnonzero(new)
-    return [a[starts] for a in arrays], np.add.reduceat(times[order], starts) if len(starts) else times
+    return [a[order[starts]] for a in arrays], np.add.reduceat(times[order], starts) if len(starts) else times
 
 
 def estimates(pair: np.ndarray, context: np.ndarray, one: np.ndarray, total: int, words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -158,8 +159,11 @@ def counted(docs: DataFrame, divisor: int = 7, remainder: int = 2) -> DataFrame:
             keys = [unpacked(k) for k in some["keys"]]
             ends = np.cumsum([len(k) for k in keys])
             counts = np.concatenate([from_planes(c, len(k)) for c, k in zip(some["counts"], keys)])
-            every, at = np.unique(np.concatenate(keys), return_inverse=True)
+            keys = np.concatenate(keys)
+            every, at = np.unique(keys, return_inverse=True)
+            del keys
             sums = np.bincount(at, counts, len(every)).astype(np.int64)
+            del every, counts
             if not order:
                 totals = [int(sums.sum()), int((sums > 0).sum())]
             out += [(b, order, planes(c)) for b, c in zip(some["batch"], np.split(sums[at], ends[:-1]))]
@@ -174,15 +178,18 @@ def counted(docs: DataFrame, divisor: int = 7, remainder: int = 2) -> DataFrame:
         if not len(rows):
             totals = np.sum([json.loads(c) for c in answers["counts"]], axis=0)
             return pd.DataFrame([("total", None, None, int(totals[0]), int(totals[1]), None, None, None, None, None, None)], columns=names)
-        b = batch(rows)
+        b, ids = batch(rows), rows[["doc_id", "times"]].copy()
+        del rows  # what is no longer needed goes at once: a worker's memory is what bounds the size of a batch
         pair, one, texts = b.counts(answers)
-        bases, known = np.log10(one + 1.0), one > 0
+        del answers, b.orders, b.tokens
         out = []
-        for doc_id, times, start, n in zip(rows["doc_id"], rows["times"], b.starts, b.sizes):
-            part = slice(start, start + n)
-            out.append(("text", doc_id, int(times), int(n), int(known[part].sum()), texts, float(bases[part].sum()), planes(pair[part]), None, planes(one[part]), None))
-        t, context = b.train, contexts(one, b.starts, texts)
-        triples, times = grouped([pair[t] - 1, context[t] - 1, one[t] - 1], b.times[t])
+        for doc_id, times, start, n in zip(ids["doc_id"], ids["times"], b.starts, b.sizes):
+            part = one[start : start + n]
+            out.append(("text", doc_id, int(times), int(n), int((part > 0).sum()), texts, float(np.log10(part + 1.0).sum()), planes(pair[start : start + n]), None, planes(part), None))
+        context = contexts(one, b.starts, texts)[b.train] - 1
+        pair, one = pair[b.train] - 1, one[b.train] - 1
+        triples, times = grouped([pair, context, one], b.times[b.train])
+        del pair, context, one
         out.append(("learn", None, None, len(times), None, None, None, *map(planes, [*triples, times])))
         return pd.DataFrame(out, columns=names).astype({c: "Int64" for c in ("times", "n_tokens", "n_known", "texts")})
 

@@ -18,6 +18,7 @@ import hashlib
 import json
 import os.path
 import re
+import sys
 import unicodedata
 from collections.abc import Callable, Iterable, Iterator
 
@@ -57,6 +58,28 @@ def _sizes(tokens: dict[bytes, int]) -> dict[bytes, tuple[int, ...]]:
     return {e: tuple(sorted(n, reverse=True)) for e, n in out.items()}
 
 
+@functools.lru_cache(maxsize=1)
+def unassigned() -> re.Pattern:
+    """A character that Python's tables don't know."""
+    gaps, start = [], None
+    for c in range(sys.maxunicode + 2):
+        if c <= sys.maxunicode and unicodedata.category(chr(c)) == "Cn":
+            start = c if start is None else start
+        elif start is not None:
+            gaps.append(f"\\U{start:08x}-\\U{c - 1:08x}")
+            start = None
+    return re.compile(f"[{''.join(gaps)}]")
+
+
+@functools.lru_cache(maxsize=100_000)
+def newer(c: str) -> tuple[str, str]:
+    """Lower case of a character that Python doesn't know, and a sign of its class: by the tables of the library that texts are encoded alike with."""
+    from tokenizers import Regex, normalizers, pre_tokenizers
+
+    is_in = lambda p: [part for part, _ in pre_tokenizers.Split(Regex(p), "removed").pre_tokenize_str(f"!{c}")] == ["!"]
+    return normalizers.Lowercase().normalize_str(c), "a" if is_in(r"\p{L}") else "1" if is_in(r"\p{N}") else "#"
+
+
 class Vocabulary:
     """Tokens, merges and the special tokens of a file; encodes sorted distinct words."""
 
@@ -165,10 +188,18 @@ class Vocabulary:
                 out.append(part)
             elif part:
                 plain = part if part.isascii() else unicodedata.normalize("NFC", part).replace("\u03a3", "\u03c3")
+                if not plain.isascii() and unassigned().search(plain):
+                    plain = unassigned().sub(lambda m: newer(m[0])[0], plain)
                 # split() alone takes four controls for white space too, which have no such property
                 out += [c for c in self.space.split(plain.lower()) if c] if SEPARATORS.search(plain) else plain.lower().split()
         return out
 
+    def words(self, chunk: str) -> list[str]:
+        """The words of a chunk; characters that Python doesn't know count as their class."""
+        if chunk.isascii() or not unassigned().search(chunk):
+            return self.split.findall(chunk)
+        return [chunk[m.start() : m.end()] for m in self.split.finditer(unassigned().sub(lambda m: newer(m[0])[1], chunk))]
+
     def learn(self, chunks: set[str]) -> None:
         """Encodes the chunks that aren't known yet by their distinct words."""
         known = self.known
@@ -177,7 +208,7 @@ class Vocabulary:
             self.held = 0
         known |= {t: (str(i), t) for t, i in self.specials.items()}
         new = [c for c in chunks if c not in known]
-        mixed = {c: self.split.findall(c) for c in new if not c.isalpha()}
+        mixed = {c: self.words(c) for c in new if not c.isalpha()}
         words = {c for c in new if c.isalpha()}.union(*mixed.values())
         words = sorted(w.encode() for w in words if w not in known)
         for w, ids in zip(words, self.walk(words), strict=True):

@@ -224,6 +224,19 @@ def test_op7_equals_the_library(spark, docs):
         assert got[r.doc_id] == (len(ids), sha(" ".join(map(str, ids))), sha(lib.decode(ids, skip_special_tokens=False)))
 
 
+def test_op7_equals_the_library_on_characters_of_newer_tables():
+    from tokenizers import Tokenizer
+
+    lib = Tokenizer.from_file(bpe_trie.default_path())
+    lib.no_truncation()
+    lib.no_padding()
+    codes = [c for c in range(0x110000) if not 0xD800 <= c < 0xE000 and (c < 0x3000 or c % 7 == 0 or 0x1C80 <= c < 0x1C90 or 0xA7C0 <= c < 0xA800)]
+    texts = [f"a{chr(c)}b1{chr(c)}" for c in codes]
+    ours = bpe_trie.Vocabulary(bpe_trie.default_path()).encode(texts)
+    theirs = lib.encode_batch(texts, add_special_tokens=False)
+    assert not [hex(c) for c, a, b in zip(codes, ours, theirs) if a[0] != " ".join(map(str, b.ids))]
+
+
 def test_op8_matches_brute_force(spark, monkeypatch):
     draw = random.Random(3)
     words = [f"w{i}" for i in range(400)]

@@ -8,17 +8,19 @@ to at most its length.
 
 from __future__ import annotations
 
+from collections import Counter
 from functools import reduce
 from itertools import combinations
 
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import shared
 
 RADIUS, BLOCKS = 3, 5
-#: Mean number of documents that are ordered together.
-RUN = 256
+#: Mean number of documents that are ordered together; stretches of ids, even in rows, that are cut to runs.
+RUN, MOST_STRETCHES = 256, 10_000
 
 
 def _signed(n: int) -> int:
@@ -84,19 +86,54 @@ def _next_run(runs: DataFrame) -> DataFrame:
     return inner.join(firsts, "top").select("run", F.coalesce("here", "after", "start").alias("next"))
 
 
+def run_of(rows: DataFrame) -> DataFrame:
+    """rows (doc_id, text) with hash and run: numbers that ascend with (doc_id, hash), each of RUN rows in the mean.
+
+    Quantiles of the ids cut them to stretches of as many rows each, whatever gaps and outliers the ids have; a
+    stretch of more than a run is cut evenly between its ends. An id that fills stretches by itself, null among
+    them, is cut by the hash of the text. Only rows equal in id and text can't be told apart.
+    """
+    rows = rows.withColumn("hash", F.xxhash64("text"))
+    n, nulls, lowest, highest = rows.agg(F.count("doc_id"), F.count_if(F.col("doc_id").isNull()), F.min("doc_id"), F.max("doc_id")).first()
+    stretches = max(1, min(MOST_STRETCHES, n // RUN))
+    cuts = rows.agg(F.percentile_approx("doc_id", [i / stretches for i in range(stretches + 1)], 10 * max(1000, stretches))).first()[0] if n else []
+    times = Counter([lowest, *cuts[1:-1], highest] if n else [])  # the ends of approximate quantiles may be off
+    # ids from low up to but not including the next row's are cut to so many parts: by hash if they are one id, else evenly
+    at, table, run = sorted(times), [], -(-nulls // RUN) if nulls else 0
+    nulls_parts = max(1, run)
+    for low, high in zip(at, [*at[1:], at[-1] + 1] if at else []):
+        share = n / stretches / RUN
+        parts = max(1, round((times[low] - 1) * share))
+        table.append((float(low), run, parts, True, low, 1))
+        run += parts
+        if high > low + 1:
+            parts = max(1, round(share))
+            table.append((float(low + 1), run, parts, False, low + 1, high - low - 1))
+            run += parts
+    by_hash = lambda parts: F.least(F.floor((F.col("hash") / 2.0**64 + 0.5) * parts), parts - 1).cast("long")
+    first = by_hash(F.lit(nulls_parts))
+    if not table:
+        return rows.withColumn("run", first)
+    spark, bounds = rows.sparkSession, sorted({r[0] for r in table})
+    last = {r[0]: r for r in table}  # ids beyond 2^53 may share a bound as a floating number: the later row has them
+    rows = rows.withColumn("place", F.coalesce(F.col("doc_id").cast("double"), F.lit(bounds[0])))
+    rows = Bucketizer(splits=[*bounds, float("inf")], inputCol="place", outputCol="of").transform(rows) if len(bounds) > 1 else rows.withColumn("of", F.lit(0.0))
+    known = spark.createDataFrame([(float(i), *last[b][1:]) for i, b in enumerate(bounds)], "of double, first long, parts long, one boolean, low long, width long")
+    rows = rows.join(F.broadcast(known), "of")  # twice MOST_STRETCHES rows at most
+    evenly = F.greatest(F.least(F.floor((F.col("doc_id") - F.col("low")) / F.col("width") * F.col("parts")), F.col("parts") - 1), F.lit(0)).cast("long")
+    run = F.col("first") + F.when(F.col("one"), by_hash(F.col("parts"))).otherwise(evenly)
+    return rows.select("doc_id", "text", "hash", F.when(F.col("doc_id").isNull(), first).otherwise(run).alias("run"))
+
+
 def with_next(docs: DataFrame) -> DataFrame:
     """(run, place, doc_id, text, next_text, last): each document with the text of the next in ascending doc_id.
 
-    After the last comes the first; null ids come before all others; equal ids are ordered by text. Documents
-    are dealt by runs of neighbouring ids, as wide as makes RUN documents in the mean, and each is ordered by
-    itself. The first text of each run, one in RUN, goes to the run before.
+    After the last comes the first; null ids come before all others; equal ids are ordered by the hash of the
+    text. Documents are dealt by run_of(), and each run is ordered by itself. The first text of each run, one
+    in RUN, goes to the run before.
     """
-    rows = shared.texts(docs)
-    low, high, n = rows.agg(F.min("doc_id"), F.max("doc_id"), F.count("*")).first()
-    width = 1 if low is None else max(1, -(-(high - low + 1) // n)) * RUN
-    rows = rows.withColumn("run", F.coalesce(F.floor(F.col("doc_id") / F.lit(width)), F.lit((low or 0) // width - 1)).cast("long"))
-    order = Window.partitionBy("run").orderBy(F.col("doc_id").asc_nulls_first(), "text")
-    rows = rows.select("run", F.row_number().over(order).alias("place"), "doc_id", "text", F.lead("text").over(order).alias("follows"))
+    order = Window.partitionBy("run").orderBy(F.col("doc_id").asc_nulls_first(), "hash", "text")
+    rows = run_of(shared.texts(docs)).select("run", F.row_number().over(order).alias("place"), "doc_id", "text", F.lead("text").over(order).alias("follows"))
     heads = rows.filter("place = 1").select(F.col("run").alias("next"), F.col("text").alias("head"))
     heads = _next_run(rows.select("run").distinct()).join(heads, "next").select("run", "head")
     return rows.join(heads, "run", "left").select("run", "place", "doc_id", "text", F.coalesce("follows", "head").alias("next_text"), F.col("follows").isNull().alias("last"))

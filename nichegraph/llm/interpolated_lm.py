@@ -26,7 +26,9 @@ from . import shared
 #: Bytes of text in a batch and per range of n-gram hashes, in the mean.
 BATCH_BYTES, RANGE_BYTES = 8 << 20, 12 << 20
 #: Buckets of context frequency, by powers of two; rounds of expectation-maximisation, from equal weights.
-BUCKETS, ROUNDS = 32, 16
+BUCKETS, ROUNDS = 32, 10
+#: Tokens whose probabilities are worked out at once.
+AT_ONCE = 1 << 18
 END, START = np.uint64(1), np.uint64(2)
 
 
@@ -114,20 +116,24 @@ def contexts(one: np.ndarray, starts: np.ndarray, texts: int) -> np.ndarray:
     return out
 
 
-def grouped(arrays: list[np.ndarray], times: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
-    """Equal rows of the arrays as one with their times summed. Ordered by a hash; rows whose hashes clash may stay apart."""
-    with np.errstate(over="ignore"):
-        key = np.zeros(len(times), dtype=np.uint64)
-        for a in arrays:
-            key = (key ^ a.astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
-            key ^= key >> np.uint64(29)
-    order, new = np.argsort(key), np.zeros(len(times), dtype=bool)
-    del key
-    new[:1] = True
-    for a in arrays:
-        new[1:] |= np.diff(a[order]) != 0
-    starts = np.flatnonzero(new)
-    return [a[order[starts]] for a in arrays], np.add.reduceat(times[order], starts) if len(starts) else times
+def narrow(numbers: np.ndarray) -> bytes:
+    """Counts as numbers of 2, 4 or 8 bytes."""
+    top = int(numbers.max()) if len(numbers) else 0
+    return numbers.astype("<u2" if top < 1 << 16 else "<u4" if top < 1 << 32 else "<u8").tobytes()
+
+
+def parts(rows: pd.DataFrame) -> Iterator[tuple[slice, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Texts of a table of counted(), some at a time: their rows, where each starts, and the counts of bigrams, contexts and tokens."""
+    sizes = rows["n_tokens"].to_numpy(np.int64)
+    ends = np.cumsum(sizes)
+    first = 0
+    while first < len(rows):
+        last = max(first + 1, int(np.searchsorted(ends, ends[first] - sizes[first] + AT_ONCE, side="right")))
+        some, n = slice(first, last), sizes[first:last]
+        pair, one = (np.concatenate([np.frombuffer(x, f"<u{len(x) // k}").astype(np.int64) for x, k in zip(rows[c].iloc[some], n)]) for c in ("pair", "one"))
+        starts = np.cumsum(n) - n
+        yield some, starts, pair, contexts(one, starts, int(rows["texts"].iat[0])), one
+        first = last
 
 
 def estimates(pair: np.ndarray, context: np.ndarray, one: np.ndarray, total: int, words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -137,9 +143,8 @@ def estimates(pair: np.ndarray, context: np.ndarray, one: np.ndarray, total: int
 
 
 def counted(docs: DataFrame, divisor: int = 7, remainder: int = 2) -> DataFrame:
-    """A written table with, of kind "text", the counts of each document's bigrams and tokens in order; of kind "learn", the
-    distinct triples of counts (bigram, context, token) that leave out the occurrence itself, over training texts, and
-    how often each comes; of kind "total", the numbers of tokens and of distinct ones in training texts."""
+    """A written table with, of kind "text", the counts of each document's bigrams and tokens in order; of kind
+    "total", the numbers of tokens and of distinct ones in training texts."""
     rows = shared.texts(docs)
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     batches, ranges = max(1, -(-size // BATCH_BYTES)), max(1, -(-size // RANGE_BYTES))
@@ -171,26 +176,21 @@ def counted(docs: DataFrame, divisor: int = 7, remainder: int = 2) -> DataFrame:
         end = pd.DataFrame({"batch": [-1], "gram": [-1], "counts": [json.dumps(totals).encode()], "range": [int(asked["range"].iat[0])]})
         return pd.concat([out, end])[["batch", "gram", "range", "counts"]]
 
-    schema = "kind string, doc_id string, times long, n_tokens long, n_known long, texts long, base double, pair binary, context binary, one binary, counts binary"
+    schema = "kind string, doc_id string, times long, train boolean, n_tokens long, n_known long, texts long, base double, pair binary, one binary"
     names = [f.split()[0] for f in schema.split(", ")]
 
     def code(rows: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
         if not len(rows):
             totals = np.sum([json.loads(c) for c in answers["counts"]], axis=0)
-            return pd.DataFrame([("total", None, None, int(totals[0]), int(totals[1]), None, None, None, None, None, None)], columns=names)
-        b, ids = batch(rows), rows[["doc_id", "times"]].copy()
+            return pd.DataFrame([("total", None, None, None, int(totals[0]), int(totals[1]), None, None, None, None)], columns=names)
+        b, ids = batch(rows), rows[["doc_id", "times", "train"]].copy()
         del rows  # what is no longer needed goes at once: a worker's memory is what bounds the size of a batch
         pair, one, texts = b.counts(answers)
         del answers, b.orders, b.tokens
         out = []
-        for doc_id, times, start, n in zip(ids["doc_id"], ids["times"], b.starts, b.sizes):
+        for doc_id, times, train, start, n in zip(ids["doc_id"], ids["times"], ids["train"], b.starts, b.sizes):
             part = one[start : start + n]
-            out.append(("text", doc_id, int(times), int(n), int((part > 0).sum()), texts, float(np.log10(part + 1.0).sum()), planes(pair[start : start + n]), None, planes(part), None))
-        context = contexts(one, b.starts, texts)[b.train] - 1
-        pair, one = pair[b.train] - 1, one[b.train] - 1
-        triples, times = grouped([pair, context, one], b.times[b.train])
-        del pair, context, one
-        out.append(("learn", None, None, len(times), None, None, None, *map(planes, [*triples, times])))
+            out.append(("text", doc_id, int(times), bool(train), int(n), int((part > 0).sum()), texts, float(np.log10(part + 1.0).sum()), narrow(pair[start : start + n]), narrow(part)))
         return pd.DataFrame(out, columns=names).astype({c: "Int64" for c in ("times", "n_tokens", "n_known", "texts")})
 
     asked = rows.groupBy("batch").applyInPandas(ask, "range int, gram int, batch int, keys binary, counts binary")
@@ -202,24 +202,25 @@ def counted(docs: DataFrame, divisor: int = 7, remainder: int = 2) -> DataFrame:
 def trained(table: DataFrame, rounds: int = ROUNDS) -> tuple[int, int, np.ndarray]:
     """Training tokens, distinct ones, and BUCKETS x 3 mixture weights; of a bucket without counts, those of lower orders only.
 
-    A round of expectation-maximisation reads all triples where they are; BUCKETS x 3 sums reach the driver.
+    A round of expectation-maximisation reads the counts of all training texts where they are, each less the
+    occurrence itself; BUCKETS x 3 sums reach the driver.
     """
     total = table.filter("kind = 'total'").agg(F.sum("n_tokens"), F.sum("n_known")).first()
     total, words = int(total[0] or 0), int(total[1] or 0)
-    learn = table.filter("kind = 'learn' and n_tokens > 0").select("n_tokens", "pair", "context", "one", "counts")
+    learn = table.filter("kind = 'text' and train").select("times", "n_tokens", "texts", "pair", "one")
     weights = np.full((BUCKETS, 3), 1 / 3)
     for _ in range(rounds if total else 0):
 
         def expected(batches: Iterator[pd.DataFrame], weights: np.ndarray = weights) -> Iterator[pd.DataFrame]:
-            sums = np.zeros((BUCKETS, 3))
+            sums = np.zeros((3, BUCKETS))
             for b in batches:
-                for n, *arrays in b.itertuples(index=False):
-                    pair, context, one, counts = (from_planes(a, n) for a in arrays)
-                    bucket, p = estimates(pair, context, one, total, words)
+                times, sizes = b["times"].to_numpy(np.int64), b["n_tokens"].to_numpy(np.int64)
+                for some, _, pair, context, one in parts(b):
+                    bucket, p = estimates(pair - 1, context - 1, one - 1, total, words)
                     share = weights[bucket] * p
-                    share *= (counts / share.sum(1))[:, None]
-                    sums += np.stack([np.bincount(bucket, share[:, k], BUCKETS) for k in range(3)], axis=1)
-            yield pd.DataFrame({"bucket": np.arange(BUCKETS), "two": sums[:, 0], "one": sums[:, 1], "any": sums[:, 2]})
+                    share *= (np.repeat(times[some], sizes[some]) / share.sum(1))[:, None]
+                    sums += [np.bincount(bucket, share[:, k], BUCKETS) for k in range(3)]
+            yield pd.DataFrame({"bucket": np.arange(BUCKETS), "two": sums[0], "one": sums[1], "any": sums[2]})
 
         sums = learn.mapInPandas(expected, "bucket int, two double, one double, any double").groupBy("bucket").agg(F.sum("two"), F.sum("one"), F.sum("any")).orderBy("bucket").collect()
         sums = np.array([list(r)[1:] for r in sums]) + [1e-9, 1e-6, 1e-6]
@@ -238,12 +239,11 @@ def scored(docs: DataFrame, divisor: int = 7, remainder: int = 2) -> DataFrame:
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            out = []
-            for n, texts, pair, one in zip(b["n_tokens"], b["texts"], b["pair"], b["one"]):
-                pair, one = from_planes(pair, n), from_planes(one, n)
-                bucket, p = estimates(pair, contexts(one, np.array([0]), texts), one, total, words)
-                out.append(float(np.log10((weights[bucket] * p).sum(1)).sum()))
-            yield b[["doc_id", "times", "n_tokens", "n_known", "base"]].assign(score=np.array(out, dtype=np.float64))
+            out = [np.zeros(0)]
+            for _, starts, pair, context, one in parts(b):
+                bucket, p = estimates(pair, context, one, total, words)
+                out.append(np.add.reduceat(np.log10((weights[bucket] * p).sum(1)), starts))
+            yield b[["doc_id", "times", "n_tokens", "n_known", "base"]].assign(score=np.concatenate(out))
 
     rows = table.filter("kind = 'text'").select("doc_id", "times", "n_tokens", "n_known", "texts", "base", "pair", "one").mapInPandas(score, "doc_id string, times long, n_tokens long, n_known long, base double, score double")
     rows = rows.withColumn("doc_id", F.col("doc_id").cast("long"))

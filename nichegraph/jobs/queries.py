@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from nichegraph.functions.columns import cell_id, gene_category, with_cell
 from nichegraph.operators import clusters, colocation, enrichment, graph, niche, overlap, regions
-from nichegraph.sources.tables import gmt_terms, polygon_edges, table, transcripts_view
+from nichegraph.sources.tables import clean_lines, gmt_terms, polygon_edges, table, transcripts_view
 
 #: Parameters that suit the derived points: 25 genes, so a wider frequency bound than a panel of thousands needs.
 FACTOR, LEAST, LOW_BELOW, RADIUS, BIN, SMOOTHING, N_MODULES = 23, 50, 12, 12, 8, 8, 5
@@ -100,6 +100,20 @@ def _enriched(s: SparkSession, d: str) -> DataFrame:
     return _lists(_r(enrichment.enrichment(graph.modules(w), gmt_terms(_gmt(s, d)), w.select("gene")), 9), "genes")
 
 
+def _enriched_all(s: SparkSession, d: str) -> DataFrame:
+    """Enrichment by the terms that hold Brand#11, of which some modules have none, and of a sixth module, which is empty."""
+    w, terms = _weights(s, d), gmt_terms(_gmt(s, d)).filter("term = 'term1'")
+    few = F.when(F.col("archetype") == 2, 0.0).otherwise(F.col("weight"))
+    return _lists(_r(enrichment.enriched_modules(graph.all_modules(w.withColumn("weight", few), N_MODULES + 1), terms, w.select("gene")), 9), "genes").drop("genes").fillna("", ["term"]).fillna(0, ["overlap", "module_size", "term_size"]).fillna(-1.0, ["P", "Adjusted_P", "odds_ratio"])
+
+
+def _raw_sets(s: SparkSession, d: str) -> DataFrame:
+    """Lines of gene sets with white space for tabs, of two fields, and blank ones."""
+    g = _gmt(s, d)
+    spaced = F.when(F.col("line") % 3 == 0, F.concat(F.lit("  "), F.regexp_replace("value", "\t", " "))).when(F.col("line") == 4, "pair\tGeneA").when(F.col("line") == 5, "  ").otherwise(F.col("value"))
+    return g.select(spaced.alias("value"))
+
+
 def _cell_ids(s: SparkSession, d: str) -> DataFrame:
     t = table(s, d, "lineitem").select(
         F.when(F.col("l_tax") == 0, -1).otherwise(F.col("l_suppkey")).cast("long").alias("whole"), F.when(F.col("l_tax") == 0, float("nan")).otherwise(F.col("l_suppkey").cast("double")).alias("floating"),
@@ -159,6 +173,8 @@ QUERIES = {
     "cell_overlaps": lambda s, d: _r(_overlaps(s, d)),
     "gmt_terms": lambda s, d: _lists(gmt_terms(_gmt(s, d)), "genes"),
     "enrichment": _enriched,
+    "enrichment_all_modules": _enriched_all,
+    "clean_gene_sets": lambda s, d: clean_lines(_raw_sets(s, d)),
     "degree_centrality": lambda s, d: _r(graph.degree(_edges(s, d))),
     "adjacency_l2": lambda s, d: _r(graph.adjacency_l2(_edges(s, d))),
     "modules_from_w": lambda s, d: _lists(graph.modules(_weights(s, d)), "genes"),
@@ -304,6 +320,11 @@ def _enrich_sql() -> str:
         round(((overlap + 0.5::DOUBLE) * (n - a - b + overlap + 0.5::DOUBLE)) / ((a - overlap + 0.5::DOUBLE) * (b - overlap + 0.5::DOUBLE)), 9) AS odds_ratio, genes FROM rk WHERE rank <= 200"""
 
 
+def _enrich_all_sql() -> str:
+    tested = _enrich_sql().replace("weight >= 0.3)", "weight >= 0.3 AND archetype <> 2)").replace("JOIN gs USING (gene)", "JOIN (SELECT * FROM gs WHERE term = 'term1') gs USING (gene)")
+    return f"SELECT CAST(r.m AS INT) AS module, coalesce(term, '') AS term, coalesce(overlap, 0) AS overlap, coalesce(module_size, 0) AS module_size, coalesce(term_size, 0) AS term_size, coalesce(P, -1) AS P, coalesce(Adjusted_P, -1) AS Adjusted_P, coalesce(odds_ratio, -1) AS odds_ratio FROM range(0, {N_MODULES + 1}) r(m) LEFT JOIN ({tested}) e ON e.module = r.m"
+
+
 def _rs(*columns: str, digits: int = 6) -> str:
     return ", ".join(f"round({c}, {digits}) + 0.0 AS {c}" for c in columns)
 
@@ -371,6 +392,9 @@ ORACLE_SQL = {
       SELECT cell, {', '.join(f'round(count(*) FILTER (la.module = {k}) / count(*), 6) AS module_{k}' for k in range(N_MODULES))} FROM q LEFT JOIN la ON la.gene = q.gene AND la.x = q.x AND la.y = q.y WHERE cell IS NOT NULL GROUP BY cell""",
     "gmt_terms": f"WITH {_W}{_GMT} SELECT term, description, string_agg(gene, ',' ORDER BY gene) AS genes FROM gs GROUP BY 1, 2",
     "enrichment": _enrich_sql(),
+    "enrichment_all_modules": _enrich_all_sql(),
+    "clean_gene_sets": f"""WITH {_W}{_GMT}, raw AS (SELECT CAST(substr(term, 5) AS INT) AS t, term, string_agg(gene, chr(9) ORDER BY gene) AS genes FROM gs GROUP BY 1, 2)
+        SELECT CASE WHEN t = 4 THEN 'pair' || chr(9) || chr(9) || 'GeneA' ELSE term || chr(9) || CASE WHEN t % 2 = 0 THEN 'http://x' ELSE 'about' END || chr(9) || genes END AS value FROM raw WHERE t <> 5""",
     "degree_centrality": f"WITH {_G} SELECT i AS gene, round(sum(weight), 6) AS strength, count(*) AS degree FROM gb GROUP BY 1",
     "adjacency_l2": f"WITH {_G} SELECT i, j, round(weight / sqrt(sum(weight * weight) OVER (PARTITION BY i)), 6) AS value FROM gb",
     "modules_from_w": f"WITH {_W} SELECT archetype AS module, string_agg(gene, ',' ORDER BY gene) AS genes FROM w WHERE weight >= 0.3 GROUP BY 1",

@@ -32,3 +32,8 @@ def enrichment(modules: DataFrame, terms: DataFrame, background: DataFrame, top_
     x = F.col("overlap")
     odds = ((x + 0.5) * (n - a - b + x + 0.5)) / ((a - x + 0.5) * (b - x + 0.5))
     return rows.filter(F.col("rank") <= top_n).select("module", "term", "overlap", "module_size", "term_size", "P", "Adjusted_P", odds.alias("odds_ratio"), "genes")
+
+
+def enriched_modules(modules: DataFrame, terms: DataFrame, background: DataFrame, top_n: int = 200) -> DataFrame:
+    """enrichment() with a row for each module that has no term in common, with nulls beside its number: empty modules too."""
+    return modules.select("module").distinct().join(enrichment(modules, terms, background, top_n), "module", "left")

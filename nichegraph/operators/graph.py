@@ -121,6 +121,11 @@ def eigenvector(edges: DataFrame, rounds: int = 1000) -> DataFrame:
     return _whole(edges, kernel, "gene string, eigenvector double")
 
 
+def centrality(edges: DataFrame) -> DataFrame:
+    """(gene, strength, degree, betweenness, closeness, eigenvector)."""
+    return degree(edges).join(shortest_path_centrality(edges), "gene").join(eigenvector(edges), "gene")
+
+
 def _simplex(m: np.ndarray) -> np.ndarray:
     """Rows projected on the probability simplex."""
     u = -np.sort(-m, axis=1)
@@ -215,6 +220,13 @@ def modules(weights: DataFrame, threshold: float = 0.3) -> DataFrame:
     return weights.filter(F.col("weight") >= threshold).groupBy(F.col("archetype").alias("module")).agg(F.array_sort(F.collect_list("gene")).alias("genes"))
 
 
+def all_modules(weights: DataFrame, k: int, threshold: float = 0.3) -> DataFrame:
+    """modules() with an empty list for those of the k archetypes that no gene reaches."""
+    every = weights.sparkSession.range(k).select(F.col("id").cast("int").alias("module"))
+    found = modules(weights, threshold)
+    return every.join(found, "module", "left").select("module", F.coalesce("genes", F.array().cast("array<string>")).alias("genes"))
+
+
 def membership(genes: DataFrame, weights: DataFrame, threshold: float = 0.3) -> DataFrame:
     """(gene, cluster, primary): a gene's archetypes, an empty list if none, and the first or -1."""
     of = weights.filter(F.col("weight") >= threshold).groupBy("gene").agg(F.array_sort(F.collect_list("archetype")).alias("cluster"))
@@ -229,7 +241,9 @@ def top_genes(weights: DataFrame, k: int, group: str = "archetype") -> DataFrame
 
 
 def gene_program(weights: DataFrame, archetype: int, threshold: float = 0.3, top_n: int = 25) -> DataFrame:
-    """(gene, weight) of an archetype, at least the threshold, the top_n largest."""
+    """(gene, weight) of an archetype, at least the threshold, the top_n largest. ValueError for an archetype without weights."""
+    if weights.filter(F.col("archetype") == archetype).isEmpty():
+        raise ValueError(f"there is no archetype {archetype}")
     return weights.filter((F.col("archetype") == archetype) & (F.col("weight") >= threshold)).orderBy(F.desc("weight"), "gene").limit(top_n).select("gene", "weight")
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from nichegraph.operators import curve
@@ -112,15 +112,17 @@ def _rise(runs: DataFrame, n: int, slope_quantile: float, min_run: int, smooth_w
     return found or 0
 
 
-def knee(values: DataFrame, start_mode: str | int = "auto", slope_quantile: float = 0.2, min_run: int = 25, smooth_window: int = 11, fraction: float = 0.95, piece: int = curve.PIECE) -> DataFrame:
+def knee(values: DataFrame, start_mode: str | int = "auto", slope_quantile: float = 0.2, min_run: int = 25, smooth_window: int = 11, fraction: float = 0.95, piece: int = curve.PIECE, mask: Column | None = None, second: bool = True, sharper: bool = True) -> DataFrame:
     """(knee, threshold, occupancy) of sorted finite values: first, first_sharper, second, second_sharper.
 
     The fit starts at a sustained rise ("auto"), above 0 ("zero") or at a place. A sharper knee is where the
     distance to the chord has fallen to the fraction of its peak on the right, or else the next value.
     occupancy: share of values above the threshold. The second knee needs ten values from the first on. The
     curve is dealt to pieces of `piece` places with margins as wide as the windows; single numbers alone reach
-    the driver. ValueError for fewer than ten values.
+    the driver. mask: only values where it holds count; second and sharper: whether those knees are sought.
+    ValueError for fewer than ten values.
     """
+    values = values if mask is None else values.filter(mask)
     ok = values.filter("value is not null and not isnan(value) and abs(value) < double('infinity')").select(F.col("value").cast("double").alias("value"))
     n = ok.count()
     if n < 10:
@@ -137,20 +139,20 @@ def knee(values: DataFrame, start_mode: str | int = "auto", slope_quantile: floa
     if n - start < 10:
         raise ValueError("there are too few values after the start")
     places, found, first = curve.pieces(runs, n, piece), [], start
-    for name in ("first", "second"):
+    for name in ("first", "second") if second else ("first",):
         m = n - first
         if m < 10:
             break
         seg = _from_chord(places, first, n)
         peak, at = seg.agg(F.max(F.struct("d", (-F.col("j")).alias("j"))).alias("p")).select("p.d", -F.col("p.j")).first()
         if peak <= 0:
-            sharper = at
+            steep = at
         else:
             fallen = seg.filter((F.col("j") >= at) & (F.col("d") <= fraction * peak)).agg(F.min("j")).first()[0]
-            sharper = m - 1 if fallen is None else fallen
-        if sharper <= at < m - 1:
-            sharper = at + 1
-        found += [(name, first + at), (f"{name}_sharper", first + sharper)]
+            steep = m - 1 if fallen is None else fallen
+        if steep <= at < m - 1:
+            steep = at + 1
+        found += [(name, first + at), (f"{name}_sharper", first + steep)] if sharper else [(name, first + at)]
         first += at
     marks = values.sparkSession.createDataFrame(found, "knee string, i long")
     at = runs.join(F.broadcast(marks), (F.col("first") <= F.col("i")) & (F.col("first") + F.col("m") > F.col("i")))  # four places at most

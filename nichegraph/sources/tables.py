@@ -52,6 +52,36 @@ def gmt_terms(lines: DataFrame) -> DataFrame:
     return rows.select(F.col("f")[0].alias("term"), description.alias("description"), F.array_distinct(F.filter(F.slice("f", 3, 1 << 30), lambda x: x != "")).alias("genes"))
 
 
+def clean_lines(lines: DataFrame) -> DataFrame:
+    """lines with column value as term, description and genes between tabs; blank ones go.
+
+    Fields are split by tabs, or by white space where there are fewer than three. Of a line of two, the second
+    has the genes and the description is empty.
+    """
+    tabs = F.split("value", "\t")
+    f = F.transform(F.when(F.size(tabs) >= 3, tabs).otherwise(F.split(F.trim("value"), r"\s+")), lambda x: F.trim(x))
+    genes = F.filter(F.when(F.size(f) >= 3, F.slice(f, 3, 1 << 30)).otherwise(F.slice(f, 2, 1)), lambda x: x != "")
+    about = F.when(F.size(f) >= 3, f[1]).otherwise("")
+    rows = lines.filter((F.trim("value") != "") & (F.size(f) >= 2))
+    return rows.withColumn("value", F.array_join(F.concat(F.array(f[0], about), genes), "\t"))
+
+
+def gene_set_lines(spark: SparkSession, folder: str, species: str = "") -> DataFrame:
+    """(file, line, value) of the files of gene sets in a folder that are for the species, known by how their names begin.
+
+    Human: c5 or h, mouse: m, in either case; any other species takes all. Without such a file there are no rows.
+    """
+    kinds = {"human": "^(c5|h)", "mouse": "^m"}
+    pattern = next((p for s, p in kinds.items() if species.lower().startswith(s)), "")
+    rows = spark.read.text(folder).select(F.lower("_metadata.file_name").alias("name"), F.col("_metadata.file_name").alias("file"), F.monotonically_increasing_id().alias("line"), "value")
+    return rows.filter(F.col("name").rlike(pattern)).drop("name")
+
+
+def save_clean_sets(spark: SparkSession, source: str, target: str) -> None:
+    """Cleaned copies of a folder's files of gene sets, a folder for each; a target that exists is left as it is."""
+    clean_lines(gene_set_lines(spark, source)).select("value", "file").write.partitionBy("file").mode("ignore").text(target)
+
+
 def polygon_edges(spark: SparkSession, polygon, feature_index: int = 0, x_offset: float = 0.0, y_offset: float = 0.0, scale: float = 1.0) -> DataFrame:
     """Edges (x1, y1, x2, y2) of a GeoJSON path or dictionary, or a list of points; rings, holes and parts alike.
 

@@ -259,3 +259,36 @@ def test_quantiles_by_key_of_many_strips(spark):
         for k, vs in values.items():
             every = np.repeat(vs, [1 + i % 3 for i in range(len(vs))])
             assert got[k] == pytest.approx(tuple(np.quantile(every, q) for q in (0, 0.83, 1)))
+
+
+def test_gene_set_folders(spark, tmp_path):
+    from nichegraph.sources.tables import gene_set_lines, save_clean_sets
+
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "h.all.gmt").write_text("A\thttp://x\tg1\tg2\n\nB  about g3 g4\nP\tg5\n")
+    (tmp_path / "in" / "M2.gmt").write_text("C\tc\tg6\n")
+    names = lambda species: {r.file for r in gene_set_lines(spark, str(tmp_path / "in"), species).collect()}
+    assert (names("Human"), names("mouse"), names("")) == ({"h.all.gmt"}, {"M2.gmt"}, {"h.all.gmt", "M2.gmt"})
+    (tmp_path / "in" / "M2.gmt").rename(tmp_path / "in" / "x.gmt")
+    assert gene_set_lines(spark, str(tmp_path / "in"), "mouse").isEmpty()
+    for _ in range(2):  # the second call leaves the copies as they are
+        save_clean_sets(spark, str(tmp_path / "in"), str(tmp_path / "out"))
+    clean = {r.value for r in spark.read.text(str(tmp_path / "out")).select("value").collect()}
+    assert clean == {"A\thttp://x\tg1\tg2", "B\tabout\tg3\tg4", "P\t\tg5", "C\tc\tg6"}
+
+
+def test_gene_graph_in_one_call(spark):
+    from nichegraph.jobs.colocalization import gene_graph
+
+    genes = [f"g{i}" for i in range(8)]
+    pairs = [(a, b, 5.0 if i // 4 == j // 4 else 0.5, True) for i, a in enumerate(genes) for j, b in enumerate(genes) if i < j and (i // 4 == j // 4 or (i, j) == (3, 4))]
+    df = spark.createDataFrame(pairs, "g_a string, g_b string, Z double, keep boolean")
+    terms = spark.createDataFrame([("t", genes[:3])], "term string, genes array<string>")
+    got = gene_graph(df, k=2, w_threshold=0.6, with_centrality=True, terms=terms)
+    assert sorted(map(sorted, (r.genes for r in got.modules_w.collect()))) == [genes[:4], genes[4:]]
+    assert {r.module for r in got.enrichment.collect()} == {0, 1} and sorted((r.term or "") for r in got.enrichment.collect()) == ["", "t"]
+    assert got.centrality.count() == 8 and got.modules_h.count() == 2
+    with pytest.raises(ValueError):
+        gene_graph(df.withColumn("keep", F.lit(False)))
+    with pytest.raises(ValueError):
+        graph.gene_program(got.w, 7)

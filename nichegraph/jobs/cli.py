@@ -9,17 +9,17 @@ import time
 from pyspark.sql import DataFrame, SparkSession
 
 from nichegraph.functions.columns import coerce_threshold, parse_tokens, with_cell
-from nichegraph.operators import clusters, colocation, graph, niche, regions
-from nichegraph.sources.tables import read_points, save_bundle
+from nichegraph.jobs.colocalization import gene_graph
+from nichegraph.operators import clusters, colocation, niche, regions
+from nichegraph.sources.tables import gene_set_lines, gmt_terms, load_bundle, read_points, save_bundle
 
 
-def timed(log: list[dict], step: str, make) -> DataFrame:
-    """Runs a step, forces its result, and notes the wall time."""
+def step(log: list[dict], folder: str, name: str, df: DataFrame) -> DataFrame:
+    """Writes a step's table to the bundle, notes the wall time, and returns the table as written."""
     start = time.time()
-    out = make()
-    out.write.format("noop").mode("overwrite").save()
-    log.append({"step": step, "seconds": round(time.time() - start, 3)})
-    return out
+    save_bundle(folder, {name: df})
+    log.append({"step": name, "seconds": round(time.time() - start, 3)})
+    return load_bundle(df.sparkSession, folder, [name])[name]
 
 
 def parse(argv: list[str] | None) -> argparse.Namespace:
@@ -36,6 +36,8 @@ def parse(argv: list[str] | None) -> argparse.Namespace:
     p.add_argument("--weight-threshold", type=float, default=0.3)
     p.add_argument("--factor", type=float)
     p.add_argument("--weights", help="a table (gene, archetype, weight) of modules found before")
+    p.add_argument("--gene-sets", help="a folder of files of gene sets that modules are tested for")
+    p.add_argument("--organism", default="Mouse", help="whose files of gene sets are taken")
     p.add_argument("--cell-col", help="assignment statistics of niches by this column of cells")
     p.add_argument("--threshold", default="p80")
     p.add_argument("--unassigned-token", action="append")
@@ -45,30 +47,31 @@ def parse(argv: list[str] | None) -> argparse.Namespace:
 def main(argv: list[str] | None = None) -> dict[str, DataFrame]:
     a = parse(argv)
     spark, log = SparkSession.builder.getOrCreate(), []
-    pts = clusters.prepared(read_points(spark, a.transcripts_path, a.transcripts_format), a.mode, a.factor)
-    timed(log, "prepare", lambda: pts)
+    done = lambda name, df: step(log, a.output_dir, name, df)
+    pts = done("points", clusters.prepared(read_points(spark, a.transcripts_path, a.transcripts_format), a.mode, a.factor))
     out: dict[str, DataFrame] = {}
     if a.weights:
         weights = spark.read.parquet(a.weights)
         if missing := {"gene", "archetype", "weight"} - set(weights.columns):
             raise ValueError(f"the weights lack {sorted(missing)}")
     else:
-        out["clusters"] = timed(log, "clusters", lambda: clusters.metatranscripts(pts, min_points=a.min_points))
-        model = colocation.pair_statistics(out["clusters"])
-        out["pairs"] = timed(log, "pairs", lambda: model.pairs)
-        out["edges"] = graph.graph_edges(out["pairs"])
-        found = graph.archetypes(out["edges"], a.k, seed=a.seed)
-        weights = timed(log, "archetypes", lambda: found.filter("matrix = 'W'").drop("matrix"))
-        out["modules"] = graph.modules(weights, a.weight_threshold)
-    out["weights"] = weights
+        out["clusters"] = done("clusters", clusters.metatranscripts(pts, min_points=a.min_points))
+        out["pairs"] = done("pairs", colocation.pair_statistics(out["clusters"]).pairs)
+        terms = gmt_terms(gene_set_lines(spark, a.gene_sets, a.organism)) if a.gene_sets else None
+        g = gene_graph(out["pairs"], a.k, a.weight_threshold, seed=a.seed, terms=terms)
+        out["edges"], weights = done("edges", g.edges), g.w
+        out["modules"] = done("modules", g.modules_w)
+        if g.enrichment is not None:
+            out["enrichment"] = done("enrichment", g.enrichment)
+    out["weights"] = weights = done("weights", weights)
     maps = niche.niche_maps(pts, weights, a.bin_size, a.smoothing_radius, a.weight_threshold)
-    out |= {"niche_values": timed(log, "niche_maps", lambda: maps.touched), "niche_background": maps.background, "grid": maps.grid}
+    maps = niche.NicheMaps(done("niche_values", maps.touched), done("niche_background", maps.background), done("grid", maps.grid))
+    out |= {"niche_values": maps.touched, "niche_background": maps.background, "grid": maps.grid}
     if a.cell_col:
         t = coerce_threshold(a.threshold)
         binned = niche.with_bins(with_cell(pts, a.cell_col, parse_tokens(a.unassigned_token)), maps.grid, a.bin_size)
-        out["assignment_stats"] = regions.assignment_stats(niche.selected_bins(maps, t), niche.thresholds(maps, t), regions.bin_gene_split(binned), regions.cells_by_bin(binned))
-    out["timings"] = spark.createDataFrame([(json.dumps(x),) for x in log], "step string")
-    save_bundle(a.output_dir, out)
+        out["assignment_stats"] = done("assignment_stats", regions.assignment_stats(niche.selected_bins(maps, t), niche.thresholds(maps, t), regions.bin_gene_split(binned), regions.cells_by_bin(binned)))
+    out["timings"] = done("timings", spark.createDataFrame([(json.dumps(x),) for x in log], "step string"))
     return out
 
 

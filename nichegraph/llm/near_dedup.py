@@ -291,30 +291,44 @@ def similar_links(signed: DataFrame, texts: DataFrame, similarity: float, shingl
         left = left.join(links.select(F.col("a").alias("key"), "b"), ["key", "b"], "left_anti").select("key", "band")
 
 
-def similar_classes(docs: DataFrame, similarity: float = SIMILARITY, shingle: int = LONG_SHINGLE) -> DataFrame:
+def similar_classes(docs: DataFrame, similarity: float = SIMILARITY, shingle: int = LONG_SHINGLE, radius: int | None = None) -> DataFrame:
     """(doc_id, key, component_id, root) per document, as classes(): components of texts with at least this similarity.
 
-    key: the text's MD5. Candidates agree in one of BANDS bands of minimum hashes and are confirmed exactly.
+    key: the text's MD5. Candidates agree in one of BANDS bands of minimum hashes and are confirmed exactly. With
+    a radius, texts whose fingerprints are within it are linked too, by the index, whatever their similarity.
     """
-    rows = shared.written(shared.texts(docs).select("doc_id", F.md5("text").alias("key"), signatures(F.col("text"), shingle).alias("signature")))
-    keys = shared.written(rows.groupBy("key").agg(F.min("doc_id").alias("least"), F.count("*").alias("n"), F.first("signature").alias("signature")))
+    code = F.lit(None).cast("long") if radius is None else code_of(F.col("text"))
+    rows = shared.written(shared.texts(docs).select("doc_id", F.md5("text").alias("key"), code.alias("code"), signatures(F.col("text"), shingle).alias("signature")))
+    keys = shared.written(rows.groupBy("key").agg(F.min("doc_id").alias("least"), F.count("*").alias("n"), F.first("code").alias("code"), F.first("signature").alias("signature")))
     texts = shared.written(shared.texts(docs).select(F.md5("text").alias("key"), "text").dropDuplicates(["key"]))
-    found = shared.components(similar_links(keys, texts, similarity, shingle)).withColumnRenamed("node", "key")
+    links = similar_links(keys, texts, similarity, shingle)
+    if radius is not None:
+        links = links.union(fingerprint_links(keys.select("key", "code"), radius))
+    found = shared.components(links).withColumnRenamed("node", "key")
     one = shared.written(keys.join(found, "key", "left").select("key", "n", "least", F.coalesce("root", "key").alias("root")))
     smallest = one.groupBy("root").agg(F.min("least").alias("component_id"))
     return shared.with_class(rows.select("doc_id", "key"), one.join(smallest, "root").select("key", "n", "root", "component_id"), "key").select("doc_id", "key", "component_id", "root")
 
 
+def fingerprint_links(keys: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """Links (a, b) of keys, unique in (key, code), whose components are those of codes within the radius, equal ones included."""
+    codes = shared.written(keys.groupBy("code").agg(F.min("key").alias("first")))
+    equal = keys.join(codes, "code").filter("key <> first").select(F.col("key").alias("a"), F.col("first").alias("b"))
+    one, two = (codes.select(F.col("code").alias(k), F.col("first").alias(f"first_{k}")) for k in "ab")
+    near = near_links(codes, radius).filter("a <> b").join(one, "a").join(two, "b").select(F.col("first_a").alias("a"), F.col("first_b").alias("b"))
+    return equal.union(near)
+
+
 def deduplicated(docs: DataFrame, radius: int = RADIUS, similarity: float | None = None, shingle: int = LONG_SHINGLE) -> DataFrame:
     """The rows of docs without near-duplicates: of each class the row with the smallest id stays.
 
-    Classes are of fingerprints within the radius or, with a similarity, of texts with such sets of shingles.
+    Classes are of fingerprints within the radius; with a similarity, texts with such sets of shingles are linked as well.
     """
     text = F.coalesce(F.col("_row.text"), F.lit(""))
     if similarity is None:
         key, found = code_of(text), classes(docs, radius).withColumn("key", F.conv("fingerprint", 16, -10).cast("long"))
     else:
-        key, found = F.md5(text), similar_classes(docs, similarity, shingle)
+        key, found = F.md5(text), similar_classes(docs, similarity, shingle, radius)
     stays = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("root").agg(F.min(F.struct("doc_id", "key")).alias("_stay"))
     stays = shared.written(stays.select(F.col("_stay.doc_id").alias("_id"), F.col("_stay.key").alias("_key")))
     rows = docs.select(F.struct("*").alias("_row")).withColumn("_code", key)

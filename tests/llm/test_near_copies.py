@@ -42,3 +42,19 @@ def test_op8_repeated_ids_with_unequal_texts(spark):
     c = " ".join(f"c{i}" for i in range(200))
     df = spark.createDataFrame([(1, a, "en", "s", 0), (2, a, "en", "s", 0), (0, b, "en", "s", 0), (1, b, "en", "s", 0), (4, c, "en", "s", 0)], DOCS)
     assert sorted((r.doc_id, r.text) for r in near_dedup.deduplicated(df, similarity=0.8).collect()) == sorted([(1, a), (0, b), (4, c)])
+
+
+def test_op8_stage_links_by_fingerprints_and_by_runs_of_words(spark):
+    draw = random.Random(8)
+    words = [f"w{draw.randrange(5000)}" for _ in range(400)]
+    first, tail = " ".join(words), " ".join(f"t{i}" for i in range(90))
+    # far in sets of runs of words but near in fingerprint: a passage repeated so often that it outvotes the rest
+    passage = "same words again " * 400
+    one, two = (passage + " ".join(f"{k}{i}" for i in range(5)) for k in "xy")
+    assert (near_dedup.simhash(one) ^ near_dedup.simhash(two)).bit_count() <= 2 and jaccard(one, two) < 0.8
+    # near in words but far in fingerprint
+    three = first + " " + tail
+    assert (near_dedup.simhash(three) ^ near_dedup.simhash(first)).bit_count() > 2 and jaccard(first, three) >= 0.8
+    df = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in enumerate([one, two, first, three, first, "alone here"])], DOCS)
+    assert sorted(r.doc_id for r in near_dedup.deduplicated(df, similarity=0.8).collect()) == [0, 2, 5]
+    assert sorted(r.doc_id for r in near_dedup.deduplicated(df).collect()) == [0, 2, 3, 5]

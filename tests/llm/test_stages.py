@@ -54,11 +54,12 @@ def test_pipeline_equals_a_plain_one(spark):
         odds = rules.intercept + sum(w for parts, w in rules.rules if all((x[k] > t) == above for k, above, t in parts))
         docs += [(r.doc_id, r.text, r.source, r.lang)] if odds >= 0 else []
     sets, root = [near_dedup.shingles(d[1], 5) for d in docs], list(range(len(docs)))
+    codes = [near_dedup.simhash(d[1]) for d in docs]
     docs_of = sorted(range(len(docs)), key=lambda i: docs[i][0])
     for i in docs_of:
         for j in docs_of:
             both = len(sets[i] & sets[j])
-            if root[i] != root[j] and (docs[i][1] == docs[j][1] or both and both >= 0.8 * (len(sets[i]) + len(sets[j]) - both)):
+            if root[i] != root[j] and ((codes[i] ^ codes[j]).bit_count() <= 2 or both and both >= 0.8 * (len(sets[i]) + len(sets[j]) - both)):
                 a, b = sorted((root[i], root[j]), key=lambda k: docs[k][0])
                 root = [a if x == b else x for x in root]
     docs = [(d, redacted(t), s or "", g or "") for i, (d, t, s, g) in enumerate(docs) if root[i] == i]

@@ -17,7 +17,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of texts with 0.8 of their runs of five words in common stays: the one with the smallest id."""
+    """One document of each group of near-duplicates stays, the one with the smallest id: fingerprints two bits apart, or 0.8 of the runs of five words in common."""
     return near_dedup.deduplicated(docs, similarity=near_dedup.SIMILARITY)
 
 

@@ -26,6 +26,8 @@ RADIUS, SHINGLE, SEED = 2, 3, 42
 SIMILARITY, LONG_SHINGLE, BANDS, ROWS = 0.8, 5, 28, 7
 #: Pairs up to which a round sends their keys to the texts, which then needn't be dealt out; it changes no result.
 FEW = 20_000
+#: Leaders of a band in a round, at most; more mean fewer rounds and more pairs that a text is compared in.
+LEADERS = 64
 #: Fingerprints of a group (the groups are few for small inputs and at most MOST_GROUPS), children of a node, queries descended at once.
 GROUP, MOST_GROUPS, FANOUT, AT_ONCE = 8192, 65_536, 16, 1024
 #: Visitors of a group in one task, as a multiple of GROUP.
@@ -255,8 +257,9 @@ def shingles(text: str, shingle: int) -> set[int]:
 def similar_links(signed: DataFrame, texts: DataFrame, similarity: float, shingle: int) -> DataFrame:
     """Links (a, b) of keys whose texts' sets of shingles have at least this Jaccard similarity, exactly computed.
 
-    Texts that agree in a band are compared with the one of them with the smallest key; those that aren't
-    similar to it are compared among themselves in the next round, until no band has two left.
+    Texts that agree in a band are compared with some of them, its leaders: one in the first round, up to
+    LEADERS in later ones. Leaders and texts that are similar to one of them leave the band; rounds end when no
+    band has two left. Leaders are the smallest keys of hash buckets, so no task gathers a band.
     """
 
     @F.pandas_udf("boolean")
@@ -270,25 +273,32 @@ def similar_links(signed: DataFrame, texts: DataFrame, similarity: float, shingl
             out.append(both >= similarity * (len(mine) + len(of) - both))
         return pd.Series(out, dtype=bool)
 
-    left = shared.written(signed.select("key", F.explode("signature").alias("band")))
+    left, k = signed.select("key", F.explode("signature").alias("band")), 1
     links, tried = None, None
     while True:
-        least = left.groupBy("band").agg(F.min("key").alias("b"), F.count("*").alias("n")).filter("n > 1").drop("n")
-        left = shared.written(left.join(least, "band").filter("key <> b"))
-        if left.isEmpty():
+        left = shared.written(left)
+        bucket = F.pmod(F.xxhash64("key"), F.lit(k)).alias("bucket")
+        first = left.groupBy("band", bucket).agg(F.min("key").alias("b"), F.count("*").alias("n"))
+        leaders = first.groupBy("band").agg(F.collect_list("b").alias("leaders"), F.sum("n").alias("n")).filter("n > 1")
+        met = shared.with_class(left, leaders, "band").select("key", "band", F.array_contains("leaders", F.col("key")).alias("leads"), F.explode("leaders").alias("b"))
+        met = shared.written(met.filter("key <> b and not (leads and key < b)"))
+        if met.isEmpty():
             return links if links is not None else signed.select(F.col("key").alias("a"), F.col("key").alias("b")).limit(0)
-        pairs = left.select(F.col("key").alias("a"), "b").distinct()
+        pairs = met.select(F.col("key").alias("a"), "b").distinct()
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
         pairs = shared.written(pairs)
         ends = pairs.select(F.col("a").alias("key")).union(pairs.select(F.col("b").alias("key"))).distinct()
         few = texts.join(F.broadcast(ends), "key", "left_semi") if pairs.count() <= FEW else texts
-        one, two = (few.select(F.col("key").alias(k), F.col("text").alias(f"text_{k}")) for k in "ab")
+        one, two = (few.select(F.col("key").alias(c), F.col("text").alias(f"text_{c}")) for c in "ab")
         done = shared.written(pairs.join(one, "a").join(two, "b").select("a", "b", similar("text_a", "text_b").alias("linked")))
         found = done.filter("linked").select("a", "b")
         links = found if links is None else links.union(found)
         tried = done.select("a", "b") if tried is None else tried.union(done.select("a", "b"))
-        left = left.join(links.select(F.col("a").alias("key"), "b"), ["key", "b"], "left_anti").select("key", "band")
+        members = met.filter("not leads")
+        gone = members.join(links.select(F.col("a").alias("key"), "b"), ["key", "b"], "left_semi").select("key", "band")
+        left = members.select("key", "band").distinct().join(gone, ["key", "band"], "left_anti")
+        k = min(4 * k, LEADERS)
 
 
 def similar_classes(docs: DataFrame, similarity: float = SIMILARITY, shingle: int = LONG_SHINGLE, radius: int | None = None) -> DataFrame:

@@ -32,9 +32,7 @@ def gene_graph(pairs: DataFrame, k: int = 25, w_threshold: float = 0.3, h_thresh
     """
     if module_source not in ("W", "H"):
         raise ValueError("module_source is W or H")
-    edges = graph.graph_edges(pairs).persist()  # a row per pair of genes, read by all that follows
-    if edges.isEmpty():
-        raise ValueError("no pair of genes is kept")
+    edges = graph.graph_edges(pairs.persist(), required=True).persist()  # a row per pair of genes, read by all that follows
     genes, found = graph.vertices(edges), graph.archetypes(edges, k, seed=seed).persist()
     w, h = (found.filter(f"matrix = '{m}'").drop("matrix") for m in "WH")
     of = {"W": graph.all_modules(w, k, w_threshold), "H": graph.all_modules(h, k, h_threshold)}

@@ -83,14 +83,27 @@ def _gmt(s: SparkSession, d: str) -> DataFrame:
 
 
 def _stats(s: SparkSession, d: str) -> DataFrame:
-    maps, binned = _maps(s, d), _binned(s, d)
-    return regions.assignment_stats(niche.selected_bins(maps, "p80"), niche.thresholds(maps, "p80"), regions.bin_gene_split(binned), regions.cells_by_bin(binned))
+    maps = _maps(s, d)
+    t = niche.pinned(niche.thresholds(maps, "p80"))  # a row per map
+    return regions.assignment_stats(niche.region(maps, "p80", t), t, _binned(s, d))
 
 
 def _knee(s: SparkSession, d: str) -> DataFrame:
     return regions.knee(table(s, d, "events").select("value"))
 
 
+def _knee_record(s: SparkSession, d: str) -> DataFrame:
+    r = regions.knee_record(table(s, d, "events").select("value"), second_fraction=0.8)
+    kinds = ("first", "first_sharper", "second", "second_sharper")
+    return _r(r.select("n", "start_index", "start_x", *(F.col(f"{k}.{c}").alias(f"{k}_{c}") for k in kinds for c in r.schema[k].dataType.names)))
+
+
+def _places(s: SparkSession, d: str) -> DataFrame:
+    """Customers as points of clusters by nation."""
+    c = table(s, d, "customer")
+    return c.select(F.col("c_nationkey").alias("cluster"), F.lpad(F.col("c_custkey").cast("string"), 8, "0").alias("gene"), (F.col("c_acctbal") / 100).alias("x"), ((F.col("c_custkey") * 37) % 101).cast("double").alias("y"))
+
+
 def _lists(df: DataFrame, *columns: str) -> DataFrame:
     return df.withColumns({c: F.array_join(F.transform(c, lambda x: x.cast("string")), ",") for c in columns})
 
@@ -137,6 +150,7 @@ QUERIES = {
     **{f"prepared_{m}": lambda s, d, m=m: _platform(s, d, m) for m in ("xenium", "merfish", "cosmx", "cosmx_prefiltered")},
     "global_bin_counts": lambda s, d: clusters.bin_counts(_prepared(s, d), BIN),
     "metatranscripts": _meta,
+    "metatranscripts_by_slice": lambda s, d: _slice_meta(s, d),
     "metatranscripts_fixed_min": lambda s, d: clusters.metatranscripts(_prepared(s, d), BIN, adaptive=False),
     "meta_edges": lambda s, d: colocation.meta_edges(_meta(s, d), 10),
     "gene_freq": lambda s, d: _r(colocation.gene_frequency(_meta(s, d)), 9),
@@ -168,6 +182,8 @@ QUERIES = {
     "cells_in_selected_bins": lambda s, d: regions.cells_in(niche.selected_bins(_maps(s, d), "p98"), regions.cells_by_bin(_binned(s, d))),
     "gene_program_topk": lambda s, d: graph.gene_program(_weights(s, d), 0, 0.3, 5),
     "knee_threshold": lambda s, d: _r(_knee(s, d)),
+    "knee_record": _knee_record,
+    "label_places": lambda s, d: _r(graph.density_peaks(_places(s, d))),
     "bins_in_polygon": lambda s, d: regions.bins_in_polygon(regions.bin_counts(_binned(s, d)), polygon_edges(s, POLYGON), niche.grid_meta(_all_points(s, d), BIN), BIN),
     "module_density_threshold": lambda s, d: overlap.density(_all_points(s, d), _module_genes(s, d)).groupBy("module").agg(F.max("min_samples").alias("min_samples"), F.sum("m").alias("n_points"), F.sum(F.col("m") * (F.col("near") - 1)).alias("n_neighbours")),
     "cell_overlaps": lambda s, d: _r(_overlaps(s, d)),
@@ -183,17 +199,18 @@ QUERIES = {
     "archetypes": lambda s, d: graph.archetypes(_edges(s, d), 4),
     "nmf": lambda s, d: graph.nmf(_edges(s, d), 4),
     "communities": lambda s, d: graph.communities(_edges(s, d)),
-    "shortest_path_centrality": lambda s, d: graph.shortest_path_centrality(_edges(s, d)),
+    "shortest_path_centrality": lambda s, d: _r(graph.shortest_path_centrality(_edges(s, d))),
     "eigenvector": lambda s, d: graph.eigenvector(_edges(s, d)),
 }
 
 
 def _slices(s: SparkSession, d: str) -> DataFrame:
     """Pair statistics of every slice, in one plan."""
-    pts = _prepared(s, d)
-    parts = [clusters.metatranscripts(pts.filter(F.col("slice_id") == x), BIN, low_below=LOW_BELOW).withColumn("slice_id", F.lit(x)) for x in ("A", "N", "R")]
-    meta = parts[0].union(parts[1]).union(parts[2])
-    return colocation.pair_statistics(meta, RADIUS, by=["slice_id"]).pairs
+    return colocation.pair_statistics(_slice_meta(s, d), RADIUS, by=["slice_id"]).pairs
+
+
+def _slice_meta(s: SparkSession, d: str) -> DataFrame:
+    return clusters.metatranscripts(_prepared(s, d), BIN, low_below=LOW_BELOW, by=["slice_id"])
 
 
 def _stouffer(s: SparkSession, d: str) -> DataFrame:
@@ -288,18 +305,31 @@ _KNEE = """WITH RECURSIVE x AS MATERIALIZED (SELECT CAST(value AS DOUBLE) AS v,
 """
 
 
-def _knee_sql() -> str:
-    def seg(name: str, start: str) -> str:
+def _knees_sql(second_fraction: float = 0.95) -> str:
+    """Places f (knee, i) of the four knees."""
+
+    def seg(name: str, start: str, fraction: float) -> str:
         return f""" {name}a AS (SELECT i - {start} AS j, v, min(v) OVER () AS lo, max(v) OVER () AS hi, count(*) OVER () AS m FROM x WHERE i >= {start}),
           {name}b AS (SELECT j, v, m, abs((v - lo) / (hi - lo + 1e-12) - j / (m - 1) * ((hi - lo) / (hi - lo + 1e-12))) / sqrt(1 + ((hi - lo) / (hi - lo + 1e-12)) * ((hi - lo) / (hi - lo + 1e-12))) AS d FROM {name}a),
-          {name}p AS (SELECT j AS pj, d AS pd, m FROM {name}b ORDER BY d DESC, j LIMIT 1), {name}c AS (SELECT pj, m, coalesce((SELECT min(j) FROM {name}b WHERE j >= pj AND d <= 0.95 * pd), m - 1) AS c FROM {name}p),
+          {name}p AS (SELECT j AS pj, d AS pd, m FROM {name}b ORDER BY d DESC, j LIMIT 1), {name}c AS (SELECT pj, m, coalesce((SELECT min(j) FROM {name}b WHERE j >= pj AND d <= {fraction} * pd), m - 1) AS c FROM {name}p),
           {name}s AS (SELECT pj, CASE WHEN c <= pj AND pj < m - 1 THEN pj + 1 ELSE c END AS sj FROM {name}c)"""
 
-    return _KNEE + seg("ka", "(SELECT s FROM st)") + "," + seg("kb", "((SELECT s FROM st) + (SELECT pj FROM kas))") + """,
-      f AS (SELECT 'first' AS knee, (SELECT s FROM st) + pj AS i FROM kas UNION ALL SELECT 'first_sharper', (SELECT s FROM st) + sj FROM kas UNION ALL SELECT 'second', (SELECT s FROM st) + (SELECT pj FROM kas) + pj FROM kbs UNION ALL SELECT 'second_sharper', (SELECT s FROM st) + (SELECT pj FROM kas) + sj FROM kbs)
+    return _KNEE + seg("ka", "(SELECT s FROM st)", 0.95) + "," + seg("kb", "((SELECT s FROM st) + (SELECT pj FROM kas))", second_fraction) + """,
+      f AS (SELECT 'first' AS knee, (SELECT s FROM st) + pj AS i FROM kas UNION ALL SELECT 'first_sharper', (SELECT s FROM st) + sj FROM kas UNION ALL SELECT 'second', (SELECT s FROM st) + (SELECT pj FROM kas) + pj FROM kbs UNION ALL SELECT 'second_sharper', (SELECT s FROM st) + (SELECT pj FROM kas) + sj FROM kbs)"""
+
+
+def _knee_sql() -> str:
+    return _knees_sql() + """
       SELECT knee, round(t, 6) AS threshold, round((SELECT count(*) FROM x WHERE v > t) / (SELECT n FROM n), 6) AS occupancy FROM (SELECT knee, v AS t FROM f JOIN x USING (i))"""
 
 
+def _knee_record_sql() -> str:
+    of = {"index_fit": "i - s", "index_all": "ia", "x": "round(ia / (n - 1), 6) + 0.0", "threshold": "round(t, 6) + 0.0", "occupancy": "round(o, 6) + 0.0", "percentile": "round(100 * (1 - o), 6) + 0.0"}
+    kinds = ("first", "first_sharper", "second", "second_sharper")
+    return _knees_sql(0.8) + f""", ft AS (SELECT knee, i, v AS t, (SELECT min(i) FROM x y WHERE y.v = x.v) AS ia, (SELECT count(*) FROM x y WHERE y.v > x.v) / (SELECT n FROM n) AS o FROM f JOIN x USING (i))
+      SELECT any_value(n) AS n, any_value(s) AS start_index, round(any_value(s) / (any_value(n) - 1), 6) + 0.0 AS start_x, {', '.join(f"max({e}) FILTER (knee = '{k}') AS {k}_{c}" for k in kinds for c, e in of.items())} FROM ft, n, st"""
+
+
 def _poly_sql() -> str:
     e = [(a, b) for r in POLYGON["coordinates"] for a, b in zip(r, r[1:] + r[:1])]
     rows = ", ".join(f"({a[0]}::DOUBLE, {a[1]}::DOUBLE, {b[0]}::DOUBLE, {b[1]}::DOUBLE)" for a, b in e)
@@ -348,6 +378,7 @@ ORACLE_SQL = {
     **{f"prepared_{m}": _platform_sql(m) for m in ("xenium", "merfish", "cosmx", "cosmx_prefiltered")},
     "global_bin_counts": f"WITH {_P} SELECT CAST(floor(x / {BIN}) AS INT) AS bin_x, CAST(floor(y / {BIN}) AS INT) AS bin_y, count(*) AS n FROM p GROUP BY 1, 2",
     "metatranscripts": f"WITH {_M} SELECT * FROM m",
+    "metatranscripts_by_slice": f"WITH {_SLICES} {' UNION ALL '.join(f"SELECT '{x}' AS slice_id, * FROM m{x}" for x in 'ANR')}",
     "metatranscripts_fixed_min": f"WITH {_P}, m AS {_meta_sql('p', 'n >= 3')} SELECT * FROM m",
     "meta_edges": f"WITH {_M}{_e(10)} SELECT * FROM e",
     "gene_freq": f"WITH {_S} SELECT gene, total, {_rs('f', digits=9)} FROM sf",
@@ -384,6 +415,19 @@ ORACLE_SQL = {
     "cells_in_selected_bins": f"WITH {_N}{_sel(98)}{_CELLS} SELECT DISTINCT k, cell FROM sel JOIN cb USING (bin_id)",
     "gene_program_topk": f"WITH {_W} SELECT gene, weight FROM w WHERE archetype = 0 AND weight >= 0.3 ORDER BY weight DESC, gene LIMIT 5",
     "knee_threshold": _knee_sql(),
+    "knee_record": _knee_record_sql(),
+    "label_places": """WITH p AS (SELECT c_nationkey AS cluster, lpad(CAST(c_custkey AS VARCHAR), 8, '0') AS gene, c_acctbal / 100 AS x, CAST((c_custkey * 37) % 101 AS DOUBLE) AS y FROM customer),
+      c AS (SELECT cluster, count(*) AS n, var_samp(x) AS xx, var_samp(y) AS yy, covar_samp(x, y) AS xy, pow(count(*), 1.0 / 3) AS s FROM p GROUP BY cluster HAVING count(*) > 3),
+      d AS (SELECT a.cluster, a.gene, a.x, a.y, n, sum(exp(-0.5 * s * (yy * (a.x - b.x) * (a.x - b.x) - 2 * xy * (a.x - b.x) * (a.y - b.y) + xx * (a.y - b.y) * (a.y - b.y)) / (xx * yy - xy * xy))) AS density FROM p a JOIN c ON c.cluster = a.cluster JOIN p b ON b.cluster = a.cluster GROUP BY 1, 2, 3, 4, 5)
+      SELECT cluster, gene, round(x, 6) + 0.0 AS x, round(y, 6) + 0.0 AS y, n FROM d QUALIFY row_number() OVER (PARTITION BY cluster ORDER BY round(density, 9) DESC, gene) = 1""",
+    "shortest_path_centrality": "WITH RECURSIVE " + _G + """, ln AS (SELECT i, j, 1 / weight AS len FROM gb WHERE weight > 0), vs AS (SELECT DISTINCT i AS g FROM gb),
+      sp(r, s, v, d) AS (SELECT 0, g, g, CAST(0 AS DOUBLE) FROM vs UNION ALL SELECT r + 1, s, j, min(d + len) FROM sp JOIN (SELECT * FROM ln UNION ALL SELECT g, g, 0 FROM vs) ON v = i WHERE r < 24 GROUP BY r, s, j),
+      ds AS (SELECT s, v, d FROM sp WHERE r = 24), st AS (SELECT a.s, a.v, b.v AS w FROM ds a JOIN ln ON a.v = i JOIN ds b ON b.s = a.s AND b.v = j WHERE abs(a.d + len - b.d) <= 1e-12 AND b.d > a.d),
+      np(h, s, v, n) AS (SELECT 0, g, g, CAST(1 AS DOUBLE) FROM vs UNION ALL SELECT h + 1, np.s, w, sum(n) FROM np JOIN st ON st.s = np.s AND st.v = np.v GROUP BY h, np.s, w),
+      ws AS (SELECT s, v, sum(n) AS n FROM np GROUP BY 1, 2), sd AS (SELECT ds.s, ds.v, d, n FROM ds JOIN ws ON ws.s = ds.s AND ws.v = ds.v),
+      bt AS (SELECT a.v AS gene, sum(a.n * b.n / c.n) / 2 AS b FROM sd a JOIN sd b ON b.s = a.v JOIN sd c ON c.s = a.s AND c.v = b.v WHERE a.s <> a.v AND b.v <> a.v AND a.s <> b.v AND abs(a.d + b.d - c.d) <= 1e-11 GROUP BY 1),
+      cl AS (SELECT s AS gene, count(*) / sum(d) AS c FROM ds WHERE s <> v GROUP BY 1)
+      SELECT g AS gene, round(coalesce(b, 0), 6) + 0.0 AS betweenness, round(coalesce(c, 0), 6) + 0.0 AS closeness FROM vs LEFT JOIN bt ON bt.gene = g LEFT JOIN cl ON cl.gene = g""",
     "bins_in_polygon": f"WITH {_poly_sql()}",
     "module_density_threshold": f"WITH {_Q}, {_W}{_MG}{_NEAR} SELECT module, min_samples, CAST(sum(m) AS BIGINT) AS n_points, CAST(sum(m * (near - 1)) AS BIGINT) AS n_neighbours FROM nb JOIN mt USING (module) GROUP BY 1, 2",
     "cell_overlaps": f"""WITH {_Q}, {_W}{_MG}{_NEAR}, co AS (SELECT nb.module, x, y FROM nb JOIN mt USING (module) WHERE near >= min_samples),

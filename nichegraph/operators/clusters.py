@@ -59,35 +59,38 @@ def bin_counts(pts: DataFrame, bin_um: float = 8) -> DataFrame:
     return pts.groupBy(floor_bin(F.col("x"), bin_um).alias("bin_x"), floor_bin(F.col("y"), bin_um).alias("bin_y")).agg(F.count("*").alias("n"))
 
 
-def metatranscripts(pts: DataFrame, bin_um: float = 8, min_points: int = 3, adaptive: bool = True, low_below: int = 50, low_min: int = 2) -> DataFrame:
+def metatranscripts(pts: DataFrame, bin_um: float = 8, min_points: int = 3, adaptive: bool = True, low_below: int = 50, low_min: int = 2, by: list[str] = ()) -> DataFrame:
     """(gene, bin_x, bin_y, n, x_centroid, y_centroid, meta_id): bins of a gene with enough points.
 
     A bin with fewer than low_below points of any gene needs low_min, others min_points. The count over all
-    genes is a window over the grouped table, which needs no join.
+    genes is a window over the grouped table, which needs no join. by: columns of slices, which come first in the result; each
+    slice has clusters and ids of its own, all in one plan.
     """
-    g = pts.filter(F.col("gene").isNotNull()).groupBy("gene", floor_bin(F.col("x"), bin_um).alias("bin_x"), floor_bin(F.col("y"), bin_um).alias("bin_y")).agg(
+    g = pts.filter(F.col("gene").isNotNull()).groupBy(*by, "gene", floor_bin(F.col("x"), bin_um).alias("bin_x"), floor_bin(F.col("y"), bin_um).alias("bin_y")).agg(
         F.count("*").cast("int").alias("n"), F.avg(F.col("x").cast("double")).cast("float").alias("x_centroid"), F.avg(F.col("y").cast("double")).cast("float").alias("y_centroid")
     )
     if adaptive:
-        g = g.withColumn("every", F.sum("n").over(Window.partitionBy("bin_x", "bin_y")))
+        g = g.withColumn("every", F.sum("n").over(Window.partitionBy(*by, "bin_x", "bin_y")))
         g = g.filter(F.col("n") >= F.when(F.col("every") < low_below, low_min).otherwise(min_points)).drop("every")
     else:
         g = g.filter(F.col("n") >= min_points)
-    return with_ids(g.persist())  # read three times
+    return with_ids(g.persist(), by)  # read three times
 
 
-def with_ids(clusters: DataFrame) -> DataFrame:
-    """meta_id: the row's place by gene, bin_x and bin_y, from 0.
+def with_ids(clusters: DataFrame, by: list[str] = ()) -> DataFrame:
+    """meta_id: the row's place by gene, bin_x and bin_y within its slice, from 0.
 
     Rows are numbered within a gene and bin_x; where those start comes from running sums over their counts
     within a gene and over the genes, so no task orders all rows.
     """
-    strips = clusters.groupBy("gene", "bin_x").agg(F.count("*").alias("m"))
-    before = Window.partitionBy("gene").orderBy("bin_x").rowsBetween(Window.unboundedPreceding, -1)
-    genes = clusters.groupBy("gene").agg(F.count("*").alias("m"))
-    genes = genes.select(F.col("gene").alias("of_gene"), F.coalesce(F.sum("m").over(Window.orderBy("gene").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("gene_start"))
-    strips = strips.select("gene", "bin_x", F.coalesce(F.sum("m").over(before), F.lit(0)).alias("strip_start")).join(genes, F.col("gene") == F.col("of_gene"))
-    strips = strips.select(F.col("gene").alias("of_gene"), F.col("bin_x").alias("of_bin"), (F.col("gene_start") + F.col("strip_start")).alias("start"))
-    rank = F.row_number().over(Window.partitionBy("gene", "bin_x").orderBy("bin_y"))
-    rows = clusters.withColumn("rank", rank).join(strips, (F.col("gene") == F.col("of_gene")) & (F.col("bin_x") == F.col("of_bin")))
-    return rows.select("gene", "bin_x", "bin_y", "n", "x_centroid", "y_centroid", (F.col("start") + F.col("rank") - 1).cast("long").alias("meta_id"))
+    before = lambda *c: Window.partitionBy(*c).rowsBetween(Window.unboundedPreceding, -1)
+    named = lambda df, *c: df.withColumnsRenamed({x: f"of_{x}" for x in c})
+    same = lambda *c: [F.col(x).eqNullSafe(F.col(f"of_{x}")) for x in c]
+    sizes = clusters.groupBy(*by, "gene", "bin_x").agg(F.count("*").alias("m"))
+    genes = sizes.groupBy(*by, "gene").agg(F.sum("m").alias("m"))
+    genes = named(genes.select(*by, "gene", F.coalesce(F.sum("m").over(before(*by).orderBy("gene")), F.lit(0)).alias("gene_start")), *by, "gene")
+    strips = sizes.select(*by, "gene", "bin_x", F.coalesce(F.sum("m").over(before(*by, "gene").orderBy("bin_x")), F.lit(0)).alias("strip_start"))
+    strips = strips.join(genes, same(*by, "gene")).select(*by, "gene", "bin_x", (F.col("gene_start") + F.col("strip_start")).alias("start"))
+    rank = F.row_number().over(Window.partitionBy(*by, "gene", "bin_x").orderBy("bin_y"))
+    rows = clusters.withColumn("rank", rank).join(named(strips, *by, "gene", "bin_x"), same(*by, "gene", "bin_x"))
+    return rows.select(*by, "gene", "bin_x", "bin_y", "n", "x_centroid", "y_centroid", (F.col("start") + F.col("rank") - 1).cast("long").alias("meta_id"))

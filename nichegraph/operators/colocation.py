@@ -4,42 +4,79 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from nichegraph.operators import blocks
 
-def pairs_within(df: DataFrame, radius: float, x: str, y: str, id_column: str, keep: list[str], by: list[str] = (), once: bool = True) -> DataFrame:
-    """Pairs at a distance of at most radius, as columns with suffixes _a and _b.
 
-    Rows are hashed to cells of the radius' size; one side goes to its own cell and to neighbours, so the join
-    is an equality on cells (and on `by`). once: each unordered pair of different ids comes once, smaller id
-    first, from the own cell and half of the neighbours; else each row meets all rows near it, itself included.
+def meta_edges(meta: DataFrame, radius: float = 10, by: list[str] = (), most: int = blocks.MOST_ROWS) -> DataFrame:
+    """(edge_source, edge_target, weight, gene_source, gene_target) of clusters within the radius; weight: product of sizes.
+
+    Each pair comes once, the smaller id first, from the block of that id's cluster.
+    """
+    schema = meta.select(*by, F.col("meta_id").alias("edge_source"), F.col("meta_id").alias("edge_target"), F.col("n").cast("long").alias("weight"), F.col("gene").alias("gene_source"), F.col("gene").alias("gene_target")).schema
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        mine, others = _sides(rows)
+        a, b = mine["meta_id"].to_numpy(), others["meta_id"].to_numpy()
+        found = [(np.zeros(0, int), np.zeros(0, int))]
+        for i, j, within in blocks.near(mine, others, radius, "x_centroid", "y_centroid"):
+            k, m = np.nonzero(within & (a[i, None] < b[j]))
+            found.append((k + i.start, m + j.start))
+        one, two = mine.iloc[np.concatenate([f[0] for f in found])], others.iloc[np.concatenate([f[1] for f in found])]
+        weight = one["n"].to_numpy(np.int64) * two["n"].to_numpy(np.int64)
+        out = pd.DataFrame({"edge_source": one["meta_id"].to_numpy(), "edge_target": two["meta_id"].to_numpy(), "weight": weight, "gene_source": one["gene"].to_numpy(), "gene_target": two["gene"].to_numpy()})
+        return out.assign(**{c: rows[c].iloc[0] for c in by})[[*by, *out.columns]]
+
+    rows, task, _ = _tasks(meta, radius, by, most)
+    return rows.groupBy(*task).applyInPandas(run, schema)
+
+
+def _tasks(meta: DataFrame, radius: float, by: list[str], most: int) -> tuple[DataFrame, list[str], bool]:
+    rows = meta.select(*by, "meta_id", "gene", "n", "x_centroid", "y_centroid").filter("x_centroid is not null and y_centroid is not null")
+    return blocks.dealt(rows, radius, "x_centroid", "y_centroid", F.col("meta_id"), list(by), most)
+
+
+def _sides(rows: pd.DataFrame) -> tuple[pd.DataFrame, pd.DataFrame]:
+    return tuple(rows[rows[c]].sort_values("x_centroid") for c in ("asks", "meets"))
+
+
+def pair_sums(meta: DataFrame, radius: float = 12, undirected: bool = True, by: list[str] = (), most: int = blocks.MOST_ROWS) -> DataFrame:
+    """(g_a, g_b, w, m) per pair of genes: the sum of edges' weights and their number, without a row per edge.
+
+    A task adds up its own edges by pairs of genes, as products of matrices: sizes of one gene's clusters, who is
+    near, sizes of the other's. What is shuffled is a row per task and pair of genes. Directed pairs follow ids.
     """
-    cols = [id_column, x, y, *keep]
-    cell = lambda c: F.floor(F.col(c).cast("double") / radius)
-    side = lambda s: df.select(*(F.col(b).alias(f"{b}{s}") for b in by), *(F.col(c).alias(f"{c}{s}") for c in cols), cell(x).alias(f"cx{s}"), cell(y).alias(f"cy{s}"))
-    near = [(0, 0), (1, -1), (1, 0), (1, 1), (0, 1)] if once else [(i, j) for i in (-1, 0, 1) for j in (-1, 0, 1)]
-    a = side("_a").withColumn("o", F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in near))))
-    a = a.withColumns({"cx_a": F.col("cx_a") + F.col("o.i"), "cy_a": F.col("cy_a") + F.col("o.j")})
-    d = lambda c: F.col(f"{c}_a").cast("double") - F.col(f"{c}_b").cast("double")
-    on = (F.col("cx_a") == F.col("cx_b")) & (F.col("cy_a") == F.col("cy_b")) & (d(x) * d(x) + d(y) * d(y) <= float(radius) ** 2)
-    for b in by:
-        on = on & (F.col(f"{b}_a") == F.col(f"{b}_b"))
-    if once:
-        own = (F.col("o.i") == 0) & (F.col("o.j") == 0)
-        on = on & (~own | (F.col(f"{id_column}_a") < F.col(f"{id_column}_b")))
-    pairs = a.join(side("_b"), on).drop("o", "cx_a", "cy_a", "cx_b", "cy_b", *(f"{b}_b" for b in by))
-    if not once:
-        return pairs
-    swap = F.col(f"{id_column}_a") > F.col(f"{id_column}_b")
-    pick = lambda c: [F.when(swap, F.col(f"{c}_b")).otherwise(F.col(f"{c}_a")).alias(f"{c}_a"), F.when(swap, F.col(f"{c}_a")).otherwise(F.col(f"{c}_b")).alias(f"{c}_b")]
-    return pairs.select(*(F.col(f"{b}_a") for b in by), *(p for c in cols for p in pick(c)))
-
-
-def meta_edges(meta: DataFrame, radius: float = 10, by: list[str] = ()) -> DataFrame:
-    """(edge_source, edge_target, weight, gene_source, gene_target) of clusters within the radius; weight: product of sizes."""
-    p = pairs_within(meta, radius, "x_centroid", "y_centroid", "meta_id", ["gene", "n"], by)
-    return p.select(*(F.col(f"{b}_a").alias(b) for b in by), F.col("meta_id_a").alias("edge_source"), F.col("meta_id_b").alias("edge_target"), (F.col("n_a").cast("long") * F.col("n_b")).alias("weight"), F.col("gene_a").alias("gene_source"), F.col("gene_b").alias("gene_target"))
+    schema = meta.select(*by, F.col("gene").alias("g_a"), F.col("gene").alias("g_b"), F.lit(0).cast("long").alias("w"), F.lit(0).cast("long").alias("m")).schema
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        mine, others = _sides(rows)
+        names, code = np.unique(np.concatenate([mine["gene"], others["gene"]]).astype(str), return_inverse=True)
+        ga, gb = code[: len(mine)], code[len(mine) :]
+        a, b, na, nb = (d[c].to_numpy(np.int64) for c in ("meta_id", "n") for d in (mine, others))
+        w, m = (np.zeros(len(names) ** 2 if len(names) < 2048 else 0, dtype=np.int64) for _ in range(2))
+        parts = []
+        for i, j, within in blocks.near(mine, others, radius, "x_centroid", "y_centroid"):
+            k, q = np.nonzero(within & (a[i, None] < b[j]))
+            first, second = ga[i][k], gb[j][q]
+            if undirected:  # names are in order, so codes are
+                first, second = np.minimum(first, second), np.maximum(first, second)
+            keys, weight = first * len(names) + second, na[i][k] * nb[j][q]
+            if len(w):
+                np.add.at(w, keys, weight)
+                np.add.at(m, keys, 1)
+            else:
+                part = pd.DataFrame({"key": keys, "w": weight, "m": 1}).groupby("key", as_index=False).sum()
+                parts.append(part)
+        sums = pd.concat(parts).groupby("key", as_index=False).sum() if parts else pd.DataFrame({"key": np.flatnonzero(m), "w": w[m > 0], "m": m[m > 0]})
+        out = pd.DataFrame({"g_a": names[sums["key"] // max(1, len(names))], "g_b": names[sums["key"] % max(1, len(names))], "w": sums["w"], "m": sums["m"]})
+        return out.assign(**{c: rows[c].iloc[0] for c in by})[[*by, *out.columns]]
+
+    rows, task, _ = _tasks(meta, radius, by, most)
+    return rows.groupBy(*task).applyInPandas(run, schema).groupBy(*by, "g_a", "g_b").agg(F.sum("w").alias("w"), F.sum("m").alias("m"))
 
 
 def gene_frequency(meta: DataFrame, eps: float = 1e-9, by: list[str] = ()) -> DataFrame:
@@ -65,12 +102,9 @@ def pair_statistics(meta: DataFrame, radius: float = 12, undirected: bool = True
     own, all in one plan. Directed pairs follow the order of cluster ids.
     """
     by, meta = list(by), meta.persist()  # read three times
-    e = meta_edges(meta, radius, by)
-    a, b = F.col("gene_source"), F.col("gene_target")
-    e = e.select(*by, (F.least(a, b) if undirected else a).alias("g_a"), (F.greatest(a, b) if undirected else b).alias("g_b"), "weight")
+    o = pair_sums(meta, radius, undirected, by)
     if drop_self:
-        e = e.filter("g_a <> g_b")
-    o = e.groupBy(*by, "g_a", "g_b").agg(F.sum("weight").alias("w"), F.count("*").alias("m"))
+        o = o.filter("g_a <> g_b")
     totals = o.groupBy(*by).agg(F.sum("w").alias("S"), F.sum("m").alias("n_edges"), F.count("*").alias("n_pairs"))
     genes = gene_frequency(meta, eps, by)
     side = lambda s: genes.select(*by, F.col("gene").alias(f"g_{s}"), F.col("f").alias(f"f_{s}"))

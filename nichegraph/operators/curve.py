@@ -10,15 +10,21 @@ from pyspark.sql import functions as F
 PIECE, STRIP, MOST_STRIPS = 1_000_000, 1_000_000, 10_000
 
 
-def sorted_runs(values: DataFrame, n: int, strip: int = STRIP) -> DataFrame:
+def strips_of(n: int, strip: int = STRIP) -> int:
+    return min(MOST_STRIPS, max(1, n // strip))
+
+
+def sorted_runs(values: DataFrame, n: int, strip: int = STRIP, cuts: list[float] | None = None) -> DataFrame:
     """(value, first, m) of each distinct number in column value: the place of its first copy in ascending order, from 0, and its copies.
 
-    n: the rows of values. Copies are counted before anything is ordered. Approximate quantiles deal the distinct
+    n: the rows of values; cuts: between strips, if they are known. Copies are counted before anything is ordered. Approximate quantiles deal the distinct
     values to strips, each ordered by itself; they only decide how even the strips are.
     """
     counts = values.groupBy("value").agg(F.count("*").alias("m"))
-    k = min(MOST_STRIPS, max(1, n // strip))
-    cuts = sorted(set(values.approxQuantile("value", [i / k for i in range(1, k)], 1 / (4 * k)))) if k > 1 else []
+    k = strips_of(n, strip)
+    if cuts is None:
+        cuts = values.approxQuantile("value", [i / k for i in range(1, k)], 1 / (4 * k)) if k > 1 else []
+    cuts = sorted(set(cuts))
     rows = counts.withColumn("strip", F.lit(0.0))
     if cuts:
         rows = Bucketizer(splits=[float("-inf"), *cuts, float("inf")], inputCol="value", outputCol="strip").transform(counts)
@@ -55,14 +61,14 @@ def quantile(values: DataFrame, q: float, strip: int = STRIP) -> float | None:
     return a + (b - a) * (at - low)
 
 
-def quantiles(rows: DataFrame, key: str, at: dict[str, float], strip: int = STRIP) -> DataFrame:
+def quantiles(rows: DataFrame, key: str, at: dict[str, float], strip: int = STRIP, strips: int | None = None) -> DataFrame:
     """(key, and a column per name in `at`): exact linear quantiles of column value, which comes freq times, by key.
 
     Equal values are counted before anything is ordered. Approximate quantiles of a key deal its distinct values
-    to strips, each ordered by itself. Keys are few, as those of maps and modules.
+    to strips, each ordered by itself; their number is counted unless it is given. Keys are few, as those of maps and modules.
     """
     counts = rows.groupBy(key, "value").agg(F.sum("freq").alias("m"))
-    strips = min(1024, max(1, counts.count() // strip))
+    strips = min(1024, max(1, counts.count() // strip)) if strips is None else strips
     counts = counts.withColumn("strip", F.lit(0))
     if strips > 1:
         cuts = rows.groupBy(F.col(key).alias("of")).agg(F.percentile_approx("value", [i / strips for i in range(1, strips)], 10 * strips).alias("cuts"))

@@ -1,25 +1,28 @@
-"""The gene graph: edges, centrality, modules; small dense kernels run in one task each.
+"""The gene graph: edges, centrality, modules, places of labels; small dense kernels run in one task each.
 
 The graph has a vertex per gene, some thousands at most, whatever the number of points.
 """
 
 from __future__ import annotations
 
-import heapq
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Vertices that a kernel takes; tasks that share the sources of shortest paths.
-MOST_VERTICES, SOURCE_GROUPS = 8_000, 32
+from nichegraph.sources.cuts import written
+
+#: Vertices that a dense kernel takes; lengths of paths that differ by less are equal.
+MOST_VERTICES, TIE = 8_000, 1e-12
 
 
-def graph_edges(pairs: DataFrame, weight: str = "Z", self_loops: bool = False) -> DataFrame:
-    """(a, b, weight) of kept pairs, without self-loops unless asked for."""
+def graph_edges(pairs: DataFrame, weight: str = "Z", self_loops: bool = False, required: bool = False) -> DataFrame:
+    """(a, b, weight) of kept pairs, without self-loops unless asked for. required: ValueError if there are none."""
     e = pairs.filter("keep")
-    return (e if self_loops else e.filter("g_a <> g_b")).select(F.col("g_a").alias("a"), F.col("g_b").alias("b"), F.col(weight).alias("weight"))
+    e = (e if self_loops else e.filter("g_a <> g_b")).select(F.col("g_a").alias("a"), F.col("g_b").alias("b"), F.col(weight).alias("weight"))
+    if required and e.isEmpty():
+        raise ValueError("no pair of genes is kept")
+    return e
 
 
 def both_ways(edges: DataFrame) -> DataFrame:
@@ -57,51 +60,62 @@ def _whole(edges: DataFrame, kernel, schema: str) -> DataFrame:
     return edges.select(F.lit(0).alias("whole"), "a", "b", "weight").groupBy("whole").applyInPandas(kernel, schema)
 
 
-def shortest_path_centrality(edges: DataFrame) -> DataFrame:
-    """(gene, betweenness, closeness): paths by length 1 / weight; undirected, unnormalised; a task per group of sources.
+def distances(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(source, gene, distance) of all pairs that paths connect, and links (i, j, length): a link's length is 1 / weight.
 
-    closeness: vertices reached over the sum of distances to them. The graph of genes is dealt to every group
-    by a shuffle; none of it reaches the driver.
+    Frontier relaxation from all sources at once: what became nearer in a round goes on over its links, and the
+    nearest offer counts; a round is a join and a grouping of its frontier. Links of weights up to 0 are left out.
     """
+    links = written(both_ways(edges.filter("a <> b")).filter("weight > 0").groupBy("i", "j").agg(F.min(1 / F.col("weight")).alias("length")))
+    start = vertices(edges.filter("a <> b"))
+    known = written(start.select(F.col("gene").alias("source"), "gene", F.lit(0.0).alias("distance"), F.lit(True).alias("nearer")))
+    while True:
+        offers = known.filter("nearer").join(links, F.col("gene") == F.col("i")).groupBy("source", F.col("j").alias("gene")).agg(F.min(F.col("distance") + F.col("length")).alias("offer"))
+        both = known.select("source", "gene", "distance", F.lit(None).cast("double").alias("offer")).unionByName(offers.withColumn("distance", F.lit(None).cast("double")))
+        both = both.groupBy("source", "gene").agg(F.min("distance").alias("old"), F.min("offer").alias("offer"))
+        nearer = F.col("offer").isNotNull() & (F.col("old").isNull() | (F.col("offer") < F.col("old") - TIE))
+        known = written(both.select("source", "gene", F.when(nearer, F.col("offer")).otherwise(F.col("old")).alias("distance"), nearer.alias("nearer")))
+        if known.filter("nearer").isEmpty():
+            return known.drop("nearer"), links
 
-    def run(key: tuple, e: pd.DataFrame) -> pd.DataFrame:
-        names = sorted({*e["a"], *e["b"]})
-        if len(names) > MOST_VERTICES:
-            raise ValueError(f"{len(names)} vertices are too many for a kernel")
-        at, rows = {n: k for k, n in enumerate(names)}, []
-        near: list[dict[int, float]] = [{} for _ in names]
-        for a, b, w in zip(e["a"], e["b"], e["weight"]):
-            if w > 0:
-                near[at[a]][at[b]] = near[at[b]][at[a]] = 1 / w
-        links = [sorted(x.items()) for x in near]
-        for s in range(int(key[0]), len(names), SOURCE_GROUPS):
-            far, ways, before, order = {}, {int(s): 1.0}, {int(s): []}, []
-            seen, heap = {int(s): 0.0}, [(0.0, int(s))]
-            while heap:
-                d, v = heapq.heappop(heap)
-                if v in far:
-                    continue
-                far[v] = d
-                order.append(v)
-                for w, length in links[v]:
-                    n = d + length
-                    if w not in seen or n < seen[w] - 1e-12:
-                        seen[w], ways[w], before[w] = n, ways[v], [v]
-                        heapq.heappush(heap, (n, w))
-                    elif w not in far and abs(n - seen[w]) <= 1e-12:
-                        ways[w] += ways[v]
-                        before[w].append(v)
-            share = dict.fromkeys(order, 0.0)
-            for w in reversed(order):
-                for v in before[w]:
-                    share[v] += ways[v] / ways[w] * (1 + share[w])
-            rows += [(names[v], share[v] / 2 if v != s else 0.0, 0.0) for v in order]
-            rows.append((names[s], 0.0, (len(far) - 1) / sum(far.values()) if len(far) > 1 else 0.0))
-        return pd.DataFrame(rows, columns=["gene", "betweenness", "closeness"])
-
-    dealt = edges.filter("a <> b").select("a", "b", "weight", F.explode(F.sequence(F.lit(0), F.lit(SOURCE_GROUPS - 1))).alias("g"))
-    parts = dealt.groupBy("g").applyInPandas(run, "gene string, betweenness double, closeness double")
-    return parts.groupBy("gene").agg(F.sum("betweenness").alias("betweenness"), F.sum("closeness").alias("closeness"))
+
+def shortest_path_centrality(edges: DataFrame) -> DataFrame:
+    """(gene, betweenness, closeness): paths by length 1 / weight; undirected, unnormalised.
+
+    closeness: vertices reached over the sum of distances to them, 0 for none. Shortest paths are counted by the number of
+    their links; shares of paths are then summed up backwards, from the pairs with most links. Lengths within
+    TIE of each other are equal. No task holds the graph, and there is no bound on vertices.
+    """
+    known, links = distances(edges)
+    far = known.select("source", F.col("gene").alias("j"), F.col("distance").alias("far"))
+    steps = known.join(links, F.col("gene") == F.col("i")).join(far, ["source", "j"]).filter((F.abs(F.col("distance") + F.col("length") - F.col("far")) <= TIE) & (F.col("far") > F.col("distance")))
+    steps = written(steps.select("source", "gene", "j"))  # the links that shortest paths go over, by source
+    paths = known.filter("source = gene").select("source", "gene", F.lit(0).alias("links"), F.lit(1.0).alias("ways"))
+    every = paths
+    while True:
+        paths = written(paths.join(steps, ["source", "gene"]).groupBy("source", F.col("j").alias("gene")).agg(F.sum("ways").alias("ways"), (F.max("links") + 1).alias("links")).select("source", "gene", "links", "ways"))
+        if paths.isEmpty():
+            break
+        every = every.union(paths)
+    ways = written(every.groupBy("source", "gene").agg(F.sum("ways").alias("ways"), F.max("links").alias("links")))
+    through = None
+    of_end = ways.select("source", F.col("gene").alias("j"), F.col("ways").alias("ways_j"), F.col("links").alias("links_j"))
+    for n in range(ways.agg(F.max("links")).first()[0] or 0, 1, -1):
+        ends = of_end.filter(F.col("links_j") == n)
+        if through is not None:
+            ends = ends.join(through.groupBy("source", F.col("gene").alias("j")).agg(F.sum("share").alias("own")), ["source", "j"], "left")
+        else:
+            ends = ends.withColumn("own", F.lit(0.0))
+        part = steps.join(ends, ["source", "j"]).join(ways, ["source", "gene"]).filter("source <> gene")
+        part = written(part.select("source", "gene", (F.col("ways") / F.col("ways_j") * (1 + F.coalesce("own", F.lit(0.0)))).alias("share")))
+        through = part if through is None else through.union(part)
+    close = known.filter("source <> gene").groupBy(F.col("source").alias("gene")).agg((F.count("*") / F.sum("distance")).alias("closeness"))
+    out = vertices(edges.filter("a <> b")).join(close, "gene", "left")
+    if through is not None:
+        out = out.join(through.groupBy("gene").agg((F.sum("share") / 2).alias("betweenness")), "gene", "left")
+    else:
+        out = out.withColumn("betweenness", F.lit(0.0))
+    return out.select("gene", F.coalesce("betweenness", F.lit(0.0)).alias("betweenness"), F.coalesce("closeness", F.lit(0.0)).alias("closeness"))
 
 
 def eigenvector(edges: DataFrame, rounds: int = 1000) -> DataFrame:
@@ -253,3 +267,26 @@ def umap_distance(edges: DataFrame) -> DataFrame:
     top = edges.agg(F.max("weight").alias("top"))
     every = v.select(F.col("gene").alias("i")).crossJoin(v.select(F.col("gene").alias("j"))).crossJoin(top)  # genes only: a dense result by definition
     return every.join(w, ["i", "j"], "left").select("i", "j", (F.col("top") - F.coalesce("weight", F.lit(0.0))).alias("distance"))
+
+
+def density_peaks(points: DataFrame, clusters: list[int] | None = None) -> DataFrame:
+    """(cluster, gene, x, y, n): of each cluster of more than three points the one in its densest place, where a label goes.
+
+    points: (cluster, gene, x, y). The density is that of a Gaussian kernel with the cluster's own covariance,
+    scaled by n ** (-1/3); a constant factor doesn't move the peak and is left out. Of equal densities the first
+    gene by name is taken. Points without coordinates are left out; so are clusters whose points are on one line,
+    as their covariance has no inverse. clusters: only these.
+    """
+    p = points.filter("x is not null and y is not null and not isnan(x) and not isnan(y) and cluster is not null").select("cluster", "gene", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))
+    if clusters is not None:
+        p = p.filter(F.col("cluster").isin(clusters))
+    of = p.groupBy("cluster").agg(F.count("*").alias("n"), F.var_samp("x").alias("xx"), F.var_samp("y").alias("yy"), F.covar_samp("x", "y").alias("xy")).filter("n > 3")
+    scale = F.pow(F.col("n").cast("double"), F.lit(-1 / 3))
+    det = F.col("xx") * F.col("yy") - F.col("xy") * F.col("xy")
+    of = of.filter(det > 1e-12 * F.col("xx") * F.col("yy")).select("cluster", "n", *((F.col(c) / det / scale).alias(c) for c in ("xx", "yy", "xy")))
+    other = p.select("cluster", F.col("x").alias("ox"), F.col("y").alias("oy"))
+    dx, dy = F.col("x") - F.col("ox"), F.col("y") - F.col("oy")
+    kernel = F.exp(-0.5 * (F.col("yy") * dx * dx - 2 * F.col("xy") * dx * dy + F.col("xx") * dy * dy))
+    near = p.join(of, "cluster").join(other, "cluster").groupBy("cluster", "gene", "x", "y", "n").agg(F.sum(kernel).alias("density"))
+    top = near.groupBy("cluster").agg(F.min(F.struct((-F.round("density", 9)).alias("less"), "gene", "x", "y", "n")).alias("top"))
+    return top.select("cluster", "top.gene", "top.x", "top.y", "top.n")

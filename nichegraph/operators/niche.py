@@ -8,13 +8,17 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from nichegraph.functions.columns import raster_bin
 from nichegraph.operators.curve import quantiles
 
 
+#: Bins of a strip, in which runs are found.
+STRIP = 65_536
+
+
 def grid_meta(pts: DataFrame, bin_size: float) -> DataFrame:
     """One row (x_min, y_min, width, height) over points with numbers for coordinates; nulls without points."""
     ok = lambda c: F.when(~F.isnan(c), F.col(c).cast("double"))
@@ -120,17 +124,68 @@ def thresholds(maps: NicheMaps, threshold: str | float) -> DataFrame:
     return rows.select("k").distinct().withColumn("t", F.lit(float(threshold)))
 
 
+def background_runs(maps: NicheMaps, which: DataFrame, strip: int = STRIP) -> DataFrame:
+    """(k, first, last): runs of bin ids that touched leaves out, of the maps in `which` (k), cut at strips of bins.
+
+    They are the gaps between touched bins, found by windows over strips of the grid, so no pixel is written out
+    and no task has a whole map. A map without touched bins has a run per strip.
+    """
+    few = F.broadcast(which.select("k"))  # a row per map
+    pixels = maps.grid.select((F.col("width").cast("long") * F.col("height")).alias("pixels"))
+    strips = which.select("k").crossJoin(F.broadcast(pixels)).select("k", "pixels", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("pixels") - 1) / strip))).alias("strip"))
+    starts = strips.select("k", "strip", (F.col("strip") * strip - 1).alias("bin_id"), F.least((F.col("strip") + 1) * strip, F.col("pixels")).alias("end"))
+    there = maps.touched.join(few, "k", "left_semi").select("k", F.floor(F.col("bin_id") / strip).alias("strip"), "bin_id", F.lit(None).cast("long").alias("end"))
+    w = Window.partitionBy("k", "strip").orderBy("bin_id")
+    until = F.coalesce(F.lead("bin_id").over(w), F.max("end").over(Window.partitionBy("k", "strip")))
+    return starts.union(there).select("k", (F.col("bin_id") + 1).alias("first"), (until - 1).alias("last")).filter("first <= last")
+
+
+def written_out(runs: DataFrame) -> DataFrame:
+    """(k, bin_id) of the bins in runs; a run is no longer than a strip."""
+    return runs.repartition("k", "first").select("k", F.explode(F.sequence("first", "last")).alias("bin_id"))
+
+
 def all_pixels(maps: NicheMaps, where: Column) -> DataFrame:
-    """Background pixels (k, bin_id, value) of the maps whose background row satisfies `where`: the grid less touched ones."""
+    """Background pixels (k, bin_id, value) of the maps whose background row satisfies `where`."""
     bg = maps.background.filter(where).select("k", "value")
-    return grid_bins(maps.grid).crossJoin(F.broadcast(bg)).join(maps.touched.select("k", "bin_id"), ["k", "bin_id"], "left_anti").select("k", "bin_id", "value")  # a row per map
+    return written_out(background_runs(maps, bg)).join(F.broadcast(bg), "k")  # a row per map
+
+
+@dataclass(frozen=True)
+class Region:
+    """Selected pixels of maps: bins (k, bin_id) are touched ones; background (k) are the maps whose other pixels are all selected."""
+
+    bins: DataFrame
+    background: DataFrame
+    maps: NicheMaps
+
+    def runs(self) -> DataFrame:
+        return background_runs(self.maps, self.background)
+
+    def sizes(self) -> DataFrame:
+        """(k, bins) of every map with selected pixels, from the rows and the background's number of pixels."""
+        rest = self.maps.background.join(F.broadcast(self.background), "k", "left_semi").select("k", F.col("pixels").alias("bins"))
+        return self.bins.groupBy("k").agg(F.count("*").alias("bins")).union(rest).groupBy("k").agg(F.sum("bins").alias("bins"))
+
+    def rows_of(self, by_bin: DataFrame) -> DataFrame:
+        """Rows (bin_id, ...) of selected pixels, with their k: background maps take all rows but those of touched bins."""
+        of = by_bin.join(self.bins.select("k", "bin_id"), "bin_id").select("k", *by_bin.columns)
+        touched = self.maps.touched.join(F.broadcast(self.background), "k", "left_semi").select("k", "bin_id")
+        rest = by_bin.crossJoin(F.broadcast(self.background.select("k"))).join(touched, ["k", "bin_id"], "left_anti")  # a row per map
+        return of.unionByName(rest.select("k", *by_bin.columns))
+
+
+def region(maps: NicheMaps, threshold: str | float = "p80", t: DataFrame | None = None) -> Region:
+    """Pixels with value >= threshold; t: thresholds() of the maps, if they are there already."""
+    t = thresholds(maps, threshold) if t is None else t
+    bins = maps.touched.join(F.broadcast(t), "k").filter("value >= t").select("k", "bin_id")  # a row per map
+    return Region(bins, maps.background.filter("pixels > 0").join(F.broadcast(t), "k").filter("value >= t").select("k"), maps)
 
 
 def selected_bins(maps: NicheMaps, threshold: str | float = "p80") -> DataFrame:
     """(k, bin_id) with value >= threshold; background pixels are added where theirs is."""
-    t = thresholds(maps, threshold)
-    rows = maps.touched.unionByName(all_pixels(maps, F.col("pixels") > 0).join(F.broadcast(maps.background.join(t, "k").filter("value >= t").select("k")), "k", "left_semi"))
-    return rows.join(F.broadcast(t), "k").filter("value >= t").select("k", "bin_id")
+    r = region(maps, threshold)
+    return r.bins.union(written_out(r.runs()))
 
 
 def symmetric_scale(maps: NicheMaps, q: float = 0.995) -> DataFrame:

@@ -7,10 +7,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from nichegraph.operators import blocks
 from nichegraph.operators.curve import quantiles
 
-#: A block's side in radii; rows of a block, its margin included, that one task compares with each other; own rows compared at once.
-SIDE, MOST_ROWS, AT_ONCE = 4, 20_000, 512
+#: Rows of a block from which whole cells are summed up.
+DENSE = 2_000
 
 
 def _sites(pts: DataFrame, module_genes: DataFrame) -> DataFrame:
@@ -18,46 +19,69 @@ def _sites(pts: DataFrame, module_genes: DataFrame) -> DataFrame:
     return pts.join(module_genes, "gene").groupBy("module", "x", "y").agg(F.count("*").alias("m"))
 
 
-def near_sums(sites: DataFrame, radius: float, weight: str) -> DataFrame:
+def near_sums(sites: DataFrame, radius: float, weight: str, most: int = blocks.MOST_ROWS) -> DataFrame:
     """sites (module, x, y, ...) with near: the weights of the module's sites within the radius, its own included.
 
-    Sites are dealt to square blocks with a margin of the radius. A block of more than MOST_ROWS rows is dealt
-    to parts: each part of its own rows meets each part of all its rows in a task of its own, and the sums add up.
+    Sites are dealt to blocks with a margin of the radius; sums of the parts of a crowded block add up.
     """
-    size, r2, names = SIDE * radius, float(radius) ** 2, [c for c in sites.columns if c not in ("module", "x", "y")]
-    at = lambda c, by: F.floor((F.col(c).cast("double") + by) / size)
-    span = lambda c: F.explode(F.sequence(at(c, -radius), at(c, radius)))
-    rows = sites.select("*", span("x").alias("bx")).select("*", span("y").alias("by"))
-    rows = rows.withColumn("own", (F.col("bx") == at("x", 0)) & (F.col("by") == at("y", 0)))
-    block = ["module", "bx", "by"]
-    large = rows.groupBy(*block).agg(F.ceil(F.count("*") / MOST_ROWS).cast("int").alias("parts")).filter("parts > 1")
-    split = not large.isEmpty()
-    if split:
-        rows = rows.join(large, block, "left").fillna(1, ["parts"])
-        part = F.pmod(F.xxhash64("x", "y"), F.col("parts")).cast("int")
-        every = F.sequence(F.lit(0), F.col("parts") - 1)
-        asks = F.transform(every, lambda q: F.struct(part.alias("p"), q.alias("q"), F.lit(True).alias("asks"), F.lit(False).alias("meets")))
-        meets = F.transform(every, lambda p: F.struct(p.alias("p"), part.alias("q"), F.lit(False).alias("asks"), F.lit(True).alias("meets")))
-        rows = rows.select("*", F.inline(F.when(F.col("own"), F.concat(asks, meets)).otherwise(meets)))
-    else:
-        rows = rows.select("*", F.lit(0).alias("p"), F.lit(0).alias("q"), F.col("own").alias("asks"), F.lit(True).alias("meets"))
+    names = [c for c in sites.columns if c not in ("module", "x", "y")]
+    rows, task, split = blocks.dealt(sites, radius, "x", "y", F.struct("x", "y"), ["module"], most)
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         mine, others = rows[rows["asks"]].sort_values("x"), rows[rows["meets"]].sort_values("x")
-        x, y, w = (others[c].to_numpy(np.float64) for c in ("x", "y", weight))
-        mx, my, near = mine["x"].to_numpy(np.float64), mine["y"].to_numpy(np.float64), np.zeros(len(mine))
-        for i in range(0, len(mine), AT_ONCE):
-            part = slice(i, i + AT_ONCE)
-            a, b = np.searchsorted(x, (mx[part][0] - radius * 1.001, mx[part][-1] + radius * 1.001))
-            dx, dy = mx[part, None] - x[a:b], my[part, None] - y[a:b]
-            near[part] = (dx * dx + dy * dy <= r2) @ w[a:b]
+        w, near = others[weight].to_numpy(np.float64), np.zeros(len(mine))
+        if len(others) >= DENSE and len(mine):
+            near = tiled_sums(*(d[c].to_numpy(np.float64) for d in (mine, others) for c in ("x", "y")), w, radius)
+        else:
+            for i, j, within in blocks.near(mine, others, radius, "x", "y"):
+                near[i] = within @ w[j]
         return mine[["module", "x", "y", *names]].assign(near=near.astype(np.int64))
 
     schema = sites.select("module", "x", "y", *names).withColumn("near", F.lit(0).cast("long")).schema
-    out = rows.groupBy(*block, "p", "q").applyInPandas(run, schema)
+    out = rows.groupBy(*task).applyInPandas(run, schema)
     return out.groupBy("module", "x", "y", *names).agg(F.sum("near").alias("near")) if split else out
 
 
+def tiled_sums(x: np.ndarray, y: np.ndarray, ox: np.ndarray, oy: np.ndarray, w: np.ndarray, radius: float) -> np.ndarray:
+    """For each point the weights of the others within the radius: whole cells near its tile as sums, those on the circle's rim point by point.
+
+    Cells are an eighth of the radius wide, tiles two cells. A column of cells is sorted, so that a run of its cells is
+    a stretch of the others and the difference of two running sums.
+    """
+    c, x0, y0 = radius / 8, ox.min(), oy.min()
+    place = lambda v, low: np.floor((v - low) / c).astype(np.int64)
+    cx, cy = place(ox, x0), place(oy, y0)
+    wide, high = int(cx.max()) + 1, int(cy.max()) + 1
+    order = np.argsort(cx * high + cy, kind="stable")
+    ox, oy, w = ox[order], oy[order], w[order]
+    start = np.searchsorted((cx * high + cy)[order], np.arange(wide * high + 1))
+    running = np.concatenate([[0.0], np.cumsum(w)])
+    # by column beside the tile's first: cells that a circle round any of the tile's points may reach, and those that all hold
+    d = np.arange(-9, 11)
+    gap, far = np.maximum(np.maximum(d - 2, -(d + 1)), 0) ** 2, np.maximum(np.abs(d + 1), np.abs(2 - d)) ** 2
+    columns = []
+    for k, dx in enumerate(d):
+        out, inner = d[gap[k] + gap <= 64 * (1 + 1e-9)], d[far[k] + far <= 64 * (1 - 1e-9)]
+        if len(out):
+            columns.append((dx, out[0], out[-1] + 1, *((inner[0], inner[-1] + 1) if len(inner) else (out[0], out[0]))))
+    near, tile = np.zeros(len(x)), np.stack([place(x, x0) // 2, place(y, y0) // 2], axis=1)
+    sorted_by = np.lexsort((tile[:, 1], tile[:, 0]))
+    ends = np.flatnonzero((np.diff(tile[sorted_by], axis=0) != 0).any(1)) + 1
+    for own in np.split(sorted_by, ends):
+        tx, ty = 2 * tile[own[0]]
+        whole, rim = 0.0, []
+        for dx, a, b, p, q in columns:
+            if 0 <= tx + dx < wide:
+                row = (tx + dx) * high
+                a, p, q, b = (start[row + min(max(ty + v, 0), high)] for v in (a, p, q, b))
+                whole += running[q] - running[p]
+                rim += [slice(a, p), slice(q, b)]
+        rx, ry, rw = (np.concatenate([v[s] for s in rim]) if rim else np.zeros(0) for v in (ox, oy, w))
+        ex, ey = x[own, None] - rx, y[own, None] - ry
+        near[own] = whole + (ex * ex + ey * ey <= float(radius) ** 2) @ rw
+    return near
+
+
 def density(pts: DataFrame, module_genes: DataFrame, radius: float = 10, least: int = 50) -> DataFrame:
     """(module, x, y, m, near, min_samples): points within the radius, itself included, and the module's minimum.
 

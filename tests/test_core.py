@@ -212,7 +212,7 @@ def test_support_errors(spark):
     with pytest.raises(ValueError):
         regions.support(empty, empty, [])
     with pytest.raises(ValueError):
-        regions.assignment_stats(empty, empty, empty, empty, 0)
+        regions.assignment_stats(empty, empty, empty, 0)
 
 
 def test_command_runs(spark, tmp_path, golden):
@@ -234,7 +234,7 @@ def test_stream_counts(spark, tmp_path):
     assert {(r.bin_x, r.n_total, r.n_unassigned) for r in spark.table("bins").collect()} == {(0, 2, 1), (1, 1, 0)}
 
 
-def test_near_sums_of_split_blocks_equal_brute_force(spark, monkeypatch):
+def test_near_sums_of_split_blocks_equal_brute_force(spark):
     from nichegraph.operators import overlap
 
     draw = np.random.default_rng(3)
@@ -243,11 +243,21 @@ def test_near_sums_of_split_blocks_equal_brute_force(spark, monkeypatch):
     df = spark.createDataFrame(rows, "module int, x double, y double, m int")
     want = {r[:3]: sum(o[3] for o in rows if o[0] == r[0] and (o[1] - r[1]) ** 2 + (o[2] - r[2]) ** 2 <= 25) for r in rows}
     for most in (20_000, 30):
-        monkeypatch.setattr(overlap, "MOST_ROWS", most)
-        got = overlap.near_sums(df, 5, "m").collect()
+        got = overlap.near_sums(df, 5, "m", most).collect()
         assert len(got) == len(rows) and {(r.module, r.x, r.y): r.near for r in got} == want
 
 
+def test_tiled_sums_equal_brute_force():
+    from nichegraph.operators.overlap import tiled_sums
+
+    draw = np.random.default_rng(8)
+    for n, step, spread in ((900, 0.5, 60), (900, 10, 60), (300, 0.01, 3), (1, 1, 1)):
+        ox, oy = (np.round(draw.uniform(low, low + spread, n) / step) * step for low in (100, -30))
+        w, some = draw.integers(1, 5, n).astype(float), slice(0, n // 2 + 1)
+        want = [w[(ox - a) ** 2 + (oy - b) ** 2 <= 100].sum() for a, b in zip(ox[some], oy[some])]
+        assert tiled_sums(ox[some], oy[some], ox, oy, w, 10.0).tolist() == want
+
+
 def test_quantiles_by_key_of_many_strips(spark):
     from nichegraph.operators.curve import quantiles
 

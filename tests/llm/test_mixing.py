@@ -43,3 +43,26 @@ def test_op4_sampled_tokens_have_the_targets_shares(spark):
         got = {r[0]: r[1] / total for r in rows.groupBy(d).agg(F.sum("_tokens")).collect()}
         assert all(abs(got[v] - p) < 0.02 for v, p in shares.items())
     assert 0.55 < total / docs.agg(F.sum(F.regexp_count("text", F.lit("word")))).first()[0] <= 1
+
+
+def test_op4_slow_targets_are_met(spark):
+    cells = spark.createDataFrame([("a", "x", "t", 100, 1), ("a", "y", "t", 100, 1), ("b", "x", "t", 0, 1), ("b", "y", "t", 100, 1)], CELLS)
+    targets = {"source": target(spark, {"a": 0.502, "b": 0.498}), "lang": target(spark, {"x": 0.5, "y": 0.5})}
+    got = {(r.source, r.lang): r for r in mixing.rake(cells, targets).collect()}
+    assert all(r.gap <= 1e-6 for r in got.values())
+    for k, w in {("a", "x"): 0.5, ("a", "y"): 0.002, ("b", "y"): 0.498, ("b", "x"): 0.0}.items():
+        assert abs(got[k].weight - w) < 1e-5
+
+
+def test_op4_leaps_end_at_the_weights_of_plain_sweeps(spark):
+    draw = np.random.default_rng(6)
+    n = (draw.integers(0, 50, (4, 3, 2)) ** 2 * (draw.random((4, 3, 2)) < 0.8)).astype(float)
+    names = ["source", "lang", "topic"]
+    want, goal = n / n.sum(), [draw.dirichlet(np.ones(k)) * 0.3 + n.sum(tuple(x for x in range(3) if x != i)) / n.sum() * 0.7 for i, k in enumerate(n.shape)]
+    for _ in range(20_000):
+        for i in range(3):
+            sums = want.sum(tuple(x for x in range(3) if x != i), keepdims=True)
+            want = want * goal[i].reshape([-1 if x == i else 1 for x in range(3)]) / np.maximum(sums, 1e-300)
+    cells = spark.createDataFrame([(f"s{i}", f"l{j}", f"t{k}", int(n[i, j, k]), 1) for i in range(4) for j in range(3) for k in range(2)], CELLS)
+    got = mixing.rake(cells, {d: target(spark, {f"{d[0]}{v}": float(p) for v, p in enumerate(g)}) for d, g in zip(names, goal)}).collect()
+    assert all(abs(r.weight - want[int(r.source[1]), int(r.lang[1]), int(r.topic[1])]) < 1e-5 for r in got)

@@ -102,3 +102,15 @@ def test_op6_every_leaf_moves_its_rows():
     y[160:] = 1
     rules = quality_rules.tree_rules(x, y, rounds=30, depth=3)
     assert ((0, True, 0.0),) in rules and ((0, False, 0.0), (1, True, 0.0)) in rules and len(rules) <= 12
+
+
+def test_training_rows_are_bounded_as_rows(spark):
+    from nichegraph.llm import labelled
+
+    docs = spark.createDataFrame([(1, f"text {i % 50}") for i in range(3000)] + [(2, "other"), (3, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (2, 0), (3, 1), (4, 1)], "doc_id long, quality int")
+    whole = labelled.training_rows(docs.filter("doc_id > 1"), labels, "quality", 1000, 999, 30)
+    assert sorted(map(tuple, whole.collect())) == [(2, "other", 0), (3, "", 1)]
+    for most, n in ((30, 30), (100, 52)):
+        rows = labelled.training_rows(docs, labels, "quality", 1000, 999, most).collect()
+        assert len(rows) == len(set(rows)) == n

@@ -86,22 +86,22 @@ class Batch:
         for keys in (self.tokens, pair):
             distinct, at = np.unique(keys, return_inverse=True)
             self.orders.append((distinct, at.astype(np.int32)))
-            self.cuts.append(np.searchsorted((distinct >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32), np.arange(ranges + 1, dtype=np.uint64)))
+            there, starts = np.unique((distinct >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32), return_index=True)  # ranges that it has n-grams of
+            self.cuts.append((there.tolist(), [*starts.tolist(), len(distinct)]))
 
     def asks(self) -> Iterator[tuple[int, int, bytes, bytes]]:
         """(range, order, keys, counts in training texts) of each range of hashes that has some."""
-        for order, ((keys, at), cuts) in enumerate(zip(self.orders, self.cuts)):
+        for order, ((keys, at), (there, cuts)) in enumerate(zip(self.orders, self.cuts)):
             counts = np.bincount(at[self.train], self.times[self.train], len(keys)).astype(np.int64)
-            for r, (a, b) in enumerate(zip(cuts, cuts[1:])):
-                if b > a:
-                    yield r, order, packed(keys[a:b]), planes(counts[a:b])
+            for r, a, b in zip(there, cuts, cuts[1:]):
+                yield r, order, packed(keys[a:b]), planes(counts[a:b])
 
     def counts(self, answers: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, int]:
         """Counts in all training texts of each token's bigram and of the token itself, and of texts, which are the starts."""
         known = []
         for order, (keys, _) in enumerate(self.orders):
             some = answers[answers["gram"] == order].sort_values("range")
-            sizes = [b - a for a, b in zip(self.cuts[order], self.cuts[order][1:]) if b > a]
+            sizes = np.diff(self.cuts[order][1])
             known.append(np.concatenate([from_planes(c, n) for c, n in zip(some["counts"], sizes, strict=True)]))
             if len(known[-1]) != len(keys):
                 raise ValueError("a batch's answers don't fit its n-grams")

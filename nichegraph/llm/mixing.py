@@ -177,5 +177,5 @@ def calibrated(docs: DataFrame, targets: dict[str, DataFrame] | None = None, see
 
 
 def mixed(docs: DataFrame, targets: dict[str, DataFrame] | None = None, seed: int = 17) -> DataFrame:
-    """The rows of docs that calibrated() keeps, with the columns of docs."""
+    """The rows of docs that calibrated() keeps, with the columns of docs; null texts have no tokens, so their rows always stay."""
     return with_probability(docs, targets, seed).filter("_draw < _probability").select("_row.*")

@@ -165,7 +165,7 @@ def scored(docs: DataFrame, labels: DataFrame, divisor: int = 3, remainder: int
 
 
 def kept(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of docs whose text's score is at least 0.5, with the columns of docs."""
+    """The rows of docs whose text's score is at least 0.5, with the columns of docs; null texts are scored as empty ones and stay null."""
     rules = trained(docs, labels)
     rows = docs.select(F.struct("*").alias("_row"), statistics(F.col("text")).alias("_s"))
     return rows.filter(rules.score(F.col("_s")) >= 0.5).select("_row.*")

@@ -191,7 +191,7 @@ def scan(docs: DataFrame) -> DataFrame:
 
 
 def redact(docs: DataFrame, mark: str = "[secret]") -> DataFrame:
-    """docs with each run of overlapping spans replaced by the mark and n_chars set anew; other texts stay as they are."""
+    """docs with each run of overlapping spans replaced by the mark and n_chars set anew; other texts, null ones too, stay as they are."""
     rows = secret_spans(docs.select(F.struct("*").alias("_row"), "text"))
     clean = without(F.col("text"), F.col("spans"), lambda starts, _: F.when(starts, F.lit(mark)).otherwise(F.lit("")))
     rows = rows.withColumn("text", F.when(F.size("spans") > 0, clean).otherwise(F.col("text")))

@@ -65,7 +65,8 @@ def with_originals(pages: DataFrame, least: int = LEAST_BYTES) -> DataFrame:
     """(page_id, url, html, digest, refers_to): refers_to is the page that a revisit refers to, else null.
 
     Of equal payloads of at least `least` bytes the largest page_id is the original, and rows that repeat it
-    are too. Only digests that occur more than once are joined back, so pages seldom have to be shuffled.
+    are too. Only digests that occur more than once are joined back; where they are too many to broadcast, pages are shuffled
+    by digest once.
     """
     html = F.coalesce(F.col("html").cast("string"), F.lit(""))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.coalesce(F.col("url"), F.lit("")).alias("url"), html.alias("html"), F.sha1(html.cast("binary")).alias("digest"))

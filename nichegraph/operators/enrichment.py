@@ -12,7 +12,10 @@ from pyspark.sql import functions as F
 
 
 def enrichment(modules: DataFrame, terms: DataFrame, background: DataFrame, top_n: int = 200) -> DataFrame:
-    """(module, term, overlap, module_size, term_size, P, Adjusted_P, odds_ratio, genes), top_n of each module by P and term."""
+    """(module, term, overlap, module_size, term_size, P, Adjusted_P, odds_ratio, genes), top_n of each module by P and term.
+
+    The background is a table of genes, of a million at most, as log factorials up to its size are one array.
+    """
     bg = background.select("gene").distinct()
     m = modules.select("module", F.explode("genes").alias("gene")).distinct().join(bg, "gene", "left_semi")
     t = terms.select("term", F.explode("genes").alias("gene")).distinct().join(bg, "gene", "left_semi")

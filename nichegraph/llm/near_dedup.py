@@ -24,10 +24,10 @@ from . import shared
 RADIUS, SHINGLE, SEED = 2, 3, 42
 #: Near copies of whole texts: Jaccard similarity of sets of runs of words; bands of minimum hashes and hashes in each, which find 0.8 in 99.9 % of cases.
 SIMILARITY, LONG_SHINGLE, BANDS, ROWS = 0.8, 5, 28, 7
-#: Pairs up to which a round sends their keys to the texts, which then needn't be dealt out; it changes no result.
-FEW = 20_000
-#: Leaders of a band in a round, at most; more mean fewer rounds and more pairs that a text is compared in.
-LEADERS = 64
+#: What an estimate from minima may fall short of the similarity by: four standard deviations at 0.8 of 196 minima.
+SLACK = 0.115
+#: Texts of a band, and bytes of a group's texts, of a part: a task compares two parts. Rows and bytes of tasks put together.
+BAND_PART, TEXT_PART, BUCKET_ROWS = 4096, 8 << 20, 20_000
 #: Fingerprints of a group (the groups are few for small inputs and at most MOST_GROUPS), children of a node, queries descended at once.
 GROUP, MOST_GROUPS, FANOUT, AT_ONCE = 8192, 65_536, 16, 1024
 #: Visitors of a group in one task, as a multiple of GROUP.
@@ -225,93 +225,167 @@ def classes(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
 
 
 def signatures(text: Column, shingle: int, bands: int = BANDS, rows: int = ROWS) -> Column:
-    """A 64-bit hash per band: of the band's minima of the shingles' hashes. Texts without words have none."""
+    """(bands: a 64-bit hash of each band's minima of the shingles' hashes; sketch: a byte of every minimum). Texts without words have none."""
 
-    @F.pandas_udf("array<long>")
-    def run(t: pd.Series) -> pd.Series:
+    @F.pandas_udf("struct<bands:array<long>,sketch:binary>")
+    def run(t: pd.Series) -> pd.DataFrame:
         draw = np.random.default_rng(SEED)
         by, plus = (draw.integers(0, 1 << 63, (bands * rows, 1), dtype=np.uint64) for _ in range(2))
         by, out = by * np.uint64(2) + np.uint64(1), []
         for x in t:
-            h = np.array(sorted(shingles(x, shingle)), dtype=np.uint64)
+            h = shingles(x, shingle)
             if not len(h):
-                out.append([])
+                out.append(([], b""))
                 continue
             least = np.full(bands * rows, (1 << 32) - 1, dtype=np.uint64)
             for i in range(0, len(h), 4096):
                 least = np.minimum(least, ((h[i : i + 4096] * by + plus) >> np.uint64(32)).min(1))
-            least = least.astype("<u4").reshape(bands, rows)
-            out.append([xxhash.xxh64_intdigest(b.tobytes(), k) - (1 << 63) for k, b in enumerate(least)])
-        return pd.Series(out)
+            least = least.astype("<u4")
+            out.append(([xxhash.xxh64_intdigest(b.tobytes(), k) - (1 << 63) for k, b in enumerate(least.reshape(bands, rows))], (least & 255).astype(np.uint8).tobytes()))
+        return pd.DataFrame(out, columns=["bands", "sketch"])
 
     return run(text)
 
 
-def shingles(text: str, shingle: int) -> set[int]:
-    """XXH64 of the distinct runs of so many lower-case words; of all words where there are fewer."""
+def shingles(text: str, shingle: int) -> np.ndarray:
+    """XXH64 of the distinct runs of so many lower-case words, sorted; of all words where there are fewer."""
     words = text.encode("utf-8", "replace").lower().split()
     grams = map(b" ".join, zip(*(words[i:] for i in range(shingle)))) if len(words) >= shingle else [b" ".join(words)] if words else []
-    return {xxhash.xxh64_intdigest(g, SEED) for g in grams}
+    return np.unique(np.fromiter((xxhash.xxh64_intdigest(g, SEED) for g in grams), dtype=np.uint64))
 
 
-def similar_links(signed: DataFrame, texts: DataFrame, similarity: float, shingle: int) -> DataFrame:
-    """Links (a, b) of keys whose texts' sets of shingles have at least this Jaccard similarity, exactly computed.
+def linked(n: int, near) -> Iterator[tuple[int, int]]:
+    """Links (member, first) of the components of n items; near(i, others) says which of the others are linked to i.
 
-    Texts that agree in a band are compared with some of them, its leaders: one in the first round, up to
-    LEADERS in later ones. Leaders and texts that are similar to one of them leave the band; rounds end when no
-    band has two left. Leaders are the smallest keys of hash buckets, so no task gathers a band.
+    Every item is compared with all that no component has reached yet, so a component costs its members times
+    what lies outside of it, and none of its links to the outside is passed over.
     """
+    left = np.arange(n)
+    while len(left) > 1:
+        first, left = left[0], left[1:]
+        todo = [first]
+        while todo and len(left):
+            i = todo.pop()
+            hit = near(i, left)
+            yield from ((int(j), int(first)) for j in left[hit])
+            todo += left[hit].tolist()
+            left = left[~hit]
 
-    @F.pandas_udf("boolean")
-    def similar(x: pd.Series, y: pd.Series) -> pd.Series:
-        last, of, out = None, set(), []
-        for a, b in zip(x, y):
-            if b != last:
-                last, of = b, shingles(b, shingle)
-            mine = shingles(a, shingle)
-            both = len(mine & of)
-            out.append(both >= similarity * (len(mine) + len(of) - both))
-        return pd.Series(out, dtype=bool)
-
-    left, k = signed.select("key", F.explode("signature").alias("band")), 1
-    links, tried = None, None
-    while True:
-        left = shared.written(left)
-        bucket = F.pmod(F.xxhash64("key"), F.lit(k)).alias("bucket")
-        first = left.groupBy("band", bucket).agg(F.min("key").alias("b"), F.count("*").alias("n"))
-        leaders = first.groupBy("band").agg(F.collect_list("b").alias("leaders"), F.sum("n").alias("n")).filter("n > 1")
-        met = shared.with_class(left, leaders, "band").select("key", "band", F.array_contains("leaders", F.col("key")).alias("leads"), F.explode("leaders").alias("b"))
-        met = shared.written(met.filter("key <> b and not (leads and key < b)"))
-        if met.isEmpty():
-            return links if links is not None else signed.select(F.col("key").alias("a"), F.col("key").alias("b")).limit(0)
-        pairs = met.select(F.col("key").alias("a"), "b").distinct()
-        if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = shared.written(pairs)
-        ends = pairs.select(F.col("a").alias("key")).union(pairs.select(F.col("b").alias("key"))).distinct()
-        few = texts.join(F.broadcast(ends), "key", "left_semi") if pairs.count() <= FEW else texts
-        one, two = (few.select(F.col("key").alias(c), F.col("text").alias(f"text_{c}")) for c in "ab")
-        done = shared.written(pairs.join(one, "a").join(two, "b").select("a", "b", similar("text_a", "text_b").alias("linked")))
-        found = done.filter("linked").select("a", "b")
-        links = found if links is None else links.union(found)
-        tried = done.select("a", "b") if tried is None else tried.union(done.select("a", "b"))
-        members = met.filter("not leads")
-        gone = members.join(links.select(F.col("a").alias("key"), "b"), ["key", "b"], "left_semi").select("key", "band")
-        left = members.select("key", "band").distinct().join(gone, ["key", "band"], "left_anti")
-        k = min(4 * k, LEADERS)
+
+def near_sketches(sketches: np.ndarray, least: float):
+    """near() for linked(): rows of bytes of minima with at least this estimate of the similarity."""
+    n = sketches.shape[1]
+
+    def near(i: int, others: np.ndarray) -> np.ndarray:
+        same = np.concatenate([(sketches[others[k : k + 4096]] == sketches[i]).sum(1) for k in range(0, len(others), 4096)])
+        return (same / n - 1 / 256) / (1 - 1 / 256) >= least
+
+    return near
+
+
+def near_sets(sets: list[np.ndarray], similarity: float):
+    """near() for linked(): sorted sets with at least this Jaccard similarity."""
+    size = np.array([len(x) for x in sets])
+    start = np.concatenate([[0], np.cumsum(size)])
+    every = np.concatenate(sets) if len(sets) else np.zeros(0, np.uint64)
+
+    def near(i: int, others: np.ndarray) -> np.ndarray:
+        out, mine = np.zeros(len(others), dtype=bool), sets[i]
+        may = np.flatnonzero((size[others] >= similarity * size[i]) & (similarity * size[others] <= size[i]) & (size[others] > 0))
+        for k in range(0, len(may), 1024):
+            some = others[may[k : k + 1024]]
+            ends = np.cumsum(size[some])
+            at = np.arange(ends[-1]) + np.repeat(start[some] - np.concatenate([[0], ends[:-1]]), size[some])
+            theirs = every[at]
+            found = np.searchsorted(mine, theirs)
+            hit = mine[np.minimum(found, len(mine) - 1)] == theirs
+            both = np.add.reduceat(hit.astype(np.int64), np.concatenate([[0], ends[:-1]]))
+            out[may[k : k + 1024]] = both >= similarity * (size[i] + size[some] - both)
+        return out
+
+    return near
+
+
+def _tasks(rows: DataFrame, group: str, buckets: int) -> DataFrame:
+    """rows (group, part, parts, ...) with the pairs of parts p and q that they are compared in, and the bucket of each pair."""
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).filter("parts = 1 or other <> part")
+    rows = rows.withColumns({"p": F.least("part", "other"), "q": F.greatest("part", "other")}).drop("part", "parts", "other")
+    return rows.withColumn("bucket", F.pmod(F.xxhash64(group, "p", "q"), F.lit(buckets)))
+
+
+def _groups(rows: pd.DataFrame, group: str) -> Iterator[np.ndarray]:
+    """Places of the rows of each pair of parts in a bucket."""
+    yield from (v for v in rows.groupby([group, "p", "q"], sort=False).indices.values() if len(v) > 1)
+
+
+def candidates(signed: DataFrame, similarity: float) -> DataFrame:
+    """Links (a, b) of keys whose components hold all pairs that agree in a band and whose minima say that they may be similar.
+
+    signed: (key, bands, sketch). Bands of one key are left out before sketches are joined; those with many are
+    dealt to pairs of parts.
+    """
+    left = shared.written(signed.select("key", F.explode("bands").alias("band")))
+    sizes = left.groupBy("band").agg(F.count("*").alias("n"), F.ceil(F.count("*") / BAND_PART).cast("int").alias("parts")).filter("n > 1")
+    there = shared.with_class(left, sizes, "band").withColumn("part", F.pmod(F.xxhash64("key"), F.col("parts")).cast("int"))
+    there = shared.written(_tasks(there, "band", max(1, left.count() // BUCKET_ROWS)))
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        keys, out = rows["key"].to_numpy(), []
+        sketches = np.frombuffer(b"".join(rows["sketch"]), dtype=np.uint8).reshape(len(rows), -1)
+        groups = list(_groups(rows, "band"))
+        pairs = np.array([g for g in groups if len(g) == 2]).reshape(-1, 2)
+        for k in range(0, len(pairs), 4096):
+            a, b = pairs[k : k + 4096].T
+            same = ((sketches[a] == sketches[b]).mean(1) - 1 / 256) / (1 - 1 / 256) >= similarity - SLACK
+            out += zip(keys[a[same]], keys[b[same]])
+        for g in groups:
+            if len(g) > 2:
+                out += [(keys[g[i]], keys[g[j]]) for i, j in linked(len(g), near_sketches(sketches[g], similarity - SLACK))]
+        return pd.DataFrame(list(dict.fromkeys(out)), columns=["a", "b"])
+
+    return there.join(signed.select("key", "sketch"), "key").groupBy("bucket").applyInPandas(run, "a string, b string").distinct()
+
+
+def similar_links(signed: DataFrame, texts: DataFrame, similarity: float, shingle: int) -> DataFrame:
+    """Links (a, b) of keys whose components are those of all candidate pairs with at least this Jaccard similarity, exactly computed.
+
+    signed: (key, bands, sketch, size); texts: (key, text), keys may repeat. Candidates' components are groups; only their texts
+    are read, once each. A group of many bytes is dealt to pairs of parts, small groups share tasks. The number of
+    steps doesn't depend on the data, but for the rounds in which components join.
+    """
+    groups = shared.written(shared.components(candidates(signed, similarity)).withColumnRenamed("node", "key"))
+    groups = groups.join(signed.select("key", "size"), "key")
+    mass = groups.groupBy("root").agg(F.count("*").alias("n"), F.ceil(F.sum("size") / TEXT_PART).cast("int").alias("parts"))
+    groups = shared.with_class(groups, mass, "root").withColumn("part", F.pmod(F.xxhash64("key", "root"), F.col("parts")).cast("int"))
+    groups = shared.written(groups)
+    bytes_all = groups.agg(F.sum(F.col("size") * F.greatest(F.col("parts") - 1, F.lit(1)))).first()[0]
+    if bytes_all is None:
+        return signed.select(F.col("key").alias("a"), F.col("key").alias("b")).limit(0)
+    some = texts.join(groups.select("key"), "key", "left_semi").dropDuplicates(["key"])
+    rows = _tasks(groups.select("key", "root", "part", "parts"), "root", max(1, bytes_all // TEXT_PART)).join(some, "key")
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        keys, out = rows["key"].to_numpy(), []
+        for g in _groups(rows, "root"):
+            sets = [shingles(x, shingle) for x in rows["text"].iloc[g]]
+            out += [(keys[g[i]], keys[g[j]]) for i, j in linked(len(g), near_sets(sets, similarity))]
+        return pd.DataFrame(out, columns=["a", "b"])
+
+    return rows.groupBy("bucket").applyInPandas(run, "a string, b string")
 
 
 def similar_classes(docs: DataFrame, similarity: float = SIMILARITY, shingle: int = LONG_SHINGLE, radius: int | None = None) -> DataFrame:
     """(doc_id, key, component_id, root) per document, as classes(): components of texts with at least this similarity.
 
-    key: the text's MD5. Candidates agree in one of BANDS bands of minimum hashes and are confirmed exactly. With
-    a radius, texts whose fingerprints are within it are linked too, by the index, whatever their similarity.
+    key: the text's MD5. Candidates agree in one of BANDS bands of minimum hashes and may be similar by all minima;
+    they are confirmed exactly. With a radius, texts whose fingerprints are within it are linked too, by the index,
+    whatever their similarity.
     """
     code = F.lit(None).cast("long") if radius is None else code_of(F.col("text"))
-    rows = shared.written(shared.texts(docs).select("doc_id", F.md5("text").alias("key"), code.alias("code"), signatures(F.col("text"), shingle).alias("signature")))
-    keys = shared.written(rows.groupBy("key").agg(F.min("doc_id").alias("least"), F.count("*").alias("n"), F.first("code").alias("code"), F.first("signature").alias("signature")))
-    texts = shared.written(shared.texts(docs).select(F.md5("text").alias("key"), "text").dropDuplicates(["key"]))
-    links = similar_links(keys, texts, similarity, shingle)
+    rows = shared.written(shared.texts(docs).select("doc_id", F.md5("text").alias("key"), F.octet_length("text").cast("long").alias("size"), code.alias("code"), signatures(F.col("text"), shingle).alias("signature")))
+    keys = rows.groupBy("key").agg(F.min("doc_id").alias("least"), F.count("*").alias("n"), F.first("size").alias("size"), F.first("code").alias("code"), F.first("signature").alias("signature"))
+    keys = shared.written(keys.select("key", "least", "n", "size", "code", "signature.bands", "signature.sketch"))
+    links = similar_links(keys, shared.texts(docs).select(F.md5("text").alias("key"), "text"), similarity, shingle)
     if radius is not None:
         links = links.union(fingerprint_links(keys.select("key", "code"), radius))
     found = shared.components(links).withColumnRenamed("node", "key")
@@ -332,6 +406,7 @@ def fingerprint_links(keys: DataFrame, radius: int = RADIUS) -> DataFrame:
 def deduplicated(docs: DataFrame, radius: int = RADIUS, similarity: float | None = None, shingle: int = LONG_SHINGLE) -> DataFrame:
     """The rows of docs without near-duplicates: of each class the row with the smallest id stays.
 
+    Null, empty and blank texts are one class, of which one row stays.
     Classes are of fingerprints within the radius; with a similarity, texts with such sets of shingles are linked as well.
     """
     text = F.coalesce(F.col("_row.text"), F.lit(""))

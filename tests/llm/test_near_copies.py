@@ -2,13 +2,16 @@
 
 import random
 
+import numpy as np
+import pytest
+
 from nichegraph.llm import near_dedup
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
 
 def jaccard(a, b):
-    x, y = near_dedup.shingles(a, 5), near_dedup.shingles(b, 5)
+    x, y = set(near_dedup.shingles(a, 5).tolist()), set(near_dedup.shingles(b, 5).tolist())
     return len(x & y) / len(x | y)
 
 
@@ -58,3 +61,55 @@ def test_op8_stage_links_by_fingerprints_and_by_runs_of_words(spark):
     df = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in enumerate([one, two, first, three, first, "alone here"])], DOCS)
     assert sorted(r.doc_id for r in near_dedup.deduplicated(df, similarity=0.8).collect()) == [0, 2, 5]
     assert sorted(r.doc_id for r in near_dedup.deduplicated(df).collect()) == [0, 2, 3, 5]
+
+
+def families(draw, n):
+    """A template with a few words drawn anew in every text, so that similarities lie around the bound, and chains of edits."""
+    base = [f"t{draw.randrange(4000)}" for _ in range(120)]
+    out = []
+    for _ in range(n):
+        words = list(base)
+        for at in draw.sample(range(120), 3):
+            words[at] = f"n{draw.randrange(10**6)}"
+        out.append(" ".join(words))
+    words = list(base)
+    for step in range(n // 4):
+        words[step * 3 % 120] = f"c{step}"
+        out.append(" ".join(words))
+    return out
+
+
+def components(texts, similarity=0.8):
+    sets, root = [set(near_dedup.shingles(t, 5).tolist()) for t in texts], list(range(len(texts)))
+    for i, a in enumerate(sets):
+        for j in range(i):
+            both = len(a & sets[j])
+            if root[i] != root[j] and both >= similarity * (len(a) + len(sets[j]) - both):
+                x, y = sorted((root[i], root[j]))
+                root = [x if r == y else r for r in root]
+    return root
+
+
+@pytest.mark.parametrize("band, text", [(near_dedup.BAND_PART, near_dedup.TEXT_PART), (40, 20_000)])
+def test_op8_stage_on_templates_equals_all_pairs(spark, monkeypatch, band, text):
+    monkeypatch.setattr(near_dedup, "BAND_PART", band)
+    monkeypatch.setattr(near_dedup, "TEXT_PART", text)
+    draw = random.Random(11)
+    texts = families(draw, 120) + families(draw, 60) + [" ".join(f"u{draw.randrange(9999)}" for _ in range(50)) for _ in range(30)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = components(texts)
+    got = [r.component_id for r in near_dedup.similar_classes(df).orderBy("doc_id").collect()]
+    assert 2 < len(set(want)) < len(texts) - 50 and got == want
+
+
+def test_op8_linked_passes_over_no_link():
+    draw = np.random.default_rng(2)
+    near = np.triu(draw.random((200, 200)) < 0.006, 1)
+    near |= near.T
+    want = np.arange(200)
+    for i, j in zip(*np.nonzero(near)):
+        near_dedup.unite(want, np.array([i]), np.array([j]))
+    got = np.arange(200)
+    for i, j in near_dedup.linked(200, lambda i, others: near[i, others]):
+        near_dedup.unite(got, np.array([i]), np.array([j]))
+    assert (got == want).all()

@@ -53,7 +53,7 @@ def test_pipeline_equals_a_plain_one(spark):
         x = quality_rules.statistics_of(r.text)
         odds = rules.intercept + sum(w for parts, w in rules.rules if all((x[k] > t) == above for k, above, t in parts))
         docs += [(r.doc_id, r.text, r.source, r.lang)] if odds >= 0 else []
-    sets, root = [near_dedup.shingles(d[1], 5) for d in docs], list(range(len(docs)))
+    sets, root = [set(near_dedup.shingles(d[1], 5).tolist()) for d in docs], list(range(len(docs)))
     codes = [near_dedup.simhash(d[1]) for d in docs]
     docs_of = sorted(range(len(docs)), key=lambda i: docs[i][0])
     for i in docs_of:

@@ -13,6 +13,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,6 +35,25 @@ def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "replace").translate(WORD_BYTES).split()
 
 
+def block_of(name: str, ids: list[str | None], sizes: list[int], words: list[bytes]) -> pa.RecordBatch:
+    """A block's rows of the index: one per term, put together from whole buffers, and one for its documents."""
+    of: dict[bytes, int] = {}
+    terms = np.fromiter((of.setdefault(w, len(of)) for w in words), dtype=np.int32, count=len(words))
+    size = np.array(sizes, dtype="<i8")
+    starts = np.concatenate([[0], np.cumsum(size[:-1] + GAP)]).astype("<i8")
+    place = (np.arange(len(words)) + np.repeat(np.arange(len(sizes)) * GAP, size)).astype("<u4")
+    n = np.bincount(terms, minlength=len(of)).astype(np.int64)
+    known = np.array([x is not None for x in ids])
+    every = np.array([int(x) if x is not None else 0 for x in ids], dtype="<i8")
+    rows = len(of) + 1
+    ends = lambda lengths: pa.py_buffer(np.concatenate([[0], np.cumsum(lengths)]).astype("<i4"))
+    there = pa.py_buffer(np.packbits(np.arange(rows) < len(of), bitorder="little"))
+    term = pa.StringArray.from_buffers(rows, ends([*map(len, of), 0]), pa.py_buffer(b"".join(of)), there)
+    places = pa.BinaryArray.from_buffers(pa.binary(), rows, [None, ends([*(n * 4), len(known)]), pa.py_buffer(place[np.argsort(terms, kind="stable")].tobytes() + known.tobytes())])
+    last = lambda x: pa.concat_arrays([pa.nulls(rows - 1, pa.binary()), pa.array([x.tobytes()])])
+    return pa.RecordBatch.from_arrays([pa.repeat(name, rows), term, pa.array([*n, len(sizes)], pa.int64()), places, last(every), last(starts), last(size)], names=[c.split()[0] for c in INDEX.split(", ")])
+
+
 def index(docs: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
     """The positional index (INDEX's columns) of whole texts, written to the shared folder; it serves any test set.
 
@@ -40,43 +61,21 @@ def index(docs: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
     """
     docs = docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text")
 
-    def build(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        from pyspark import TaskContext
-
-        part, n_blocks = TaskContext.get().partitionId(), 0
-
-        def block(ids: list, sizes: list[int], words: list[bytes]) -> pd.DataFrame:
-            of: dict[bytes, int] = {}
-            terms = np.fromiter((of.setdefault(w, len(of)) for w in words), dtype=np.int32, count=len(words))
-            size = np.array(sizes, dtype="<i8")
-            starts = np.concatenate([[0], np.cumsum(size[:-1] + GAP)]).astype("<i8")
-            place = (np.arange(len(words)) + np.repeat(np.arange(len(sizes)) * GAP, size)).astype("<u4")
-            order = np.argsort(terms, kind="stable")
-            n = np.bincount(terms, minlength=len(of))
-            cut = np.concatenate([[0], np.cumsum(n)]) * 4
-            raw = place[order].tobytes()
-            rows = [(name, w.decode("utf-8", "replace"), int(m), raw[a:b], None, None, None) for w, m, a, b in zip(of, n, cut, cut[1:])]
-            known = np.array([x is not None for x in ids])
-            every = np.array([int(x) if x is not None else 0 for x in ids], dtype="<i8")
-            rows.append((name, None, len(sizes), known.tobytes(), every.tobytes(), starts.tobytes(), size.tobytes()))
-            return pd.DataFrame(rows, columns=[c.split()[0] for c in INDEX.split(", ")])
-
-        ids, sizes, words = [], [], []
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, n_blocks, ids, sizes, words = TaskContext.get().partitionId(), 0, [], [], []
         for b in batches:
-            for doc_id, text in zip(b["doc_id"], b["text"]):
-                own = words_of(text)
+            for doc_id, text in zip(b.column("doc_id").to_pylist(), b.column("text").cast(pa.binary()).to_pylist()):
+                own = (text or b"").translate(WORD_BYTES).split()
                 ids.append(doc_id)
                 sizes.append(len(own))
                 words += own
                 if len(words) + GAP * len(ids) >= block_words:
-                    name, n_blocks = f"{part}-{n_blocks}", n_blocks + 1
-                    yield block(ids, sizes, words)
-                    ids, sizes, words = [], [], []
+                    yield block_of(f"{part}-{n_blocks}", ids, sizes, words)
+                    n_blocks, ids, sizes, words = n_blocks + 1, [], [], []
         if ids:
-            name = f"{part}-{n_blocks}"
-            yield block(ids, sizes, words)
+            yield block_of(f"{part}-{n_blocks}", ids, sizes, words)
 
-    return shared.written(docs.mapInPandas(build, INDEX), "zstd")
+    return shared.written(docs.mapInArrow(build, INDEX), "zstd")
 
 
 class Windows:

@@ -226,3 +226,19 @@ def test_knee_record(spark):
         regions.knee_record(df, 405)
     with pytest.raises(ValueError):
         regions.knee_record(df, "never")
+
+
+def test_clusters_by_slice_are_those_of_each(spark):
+    from nichegraph.operators import clusters
+
+    draw = np.random.default_rng(12)
+    rows = [(f"g{draw.integers(0, 3)}" if i % 50 else None, float(x), float(y), None if i % 3 == 0 else "ab"[i % 2]) for i, (x, y) in enumerate(draw.uniform(0, 60, (600, 2)))]
+    pts = spark.createDataFrame(rows, "gene string, x float, y float, slice string")
+    both = clusters.metatranscripts(pts, by=["slice"])
+    assert both.columns == ["slice", "gene", "bin_x", "bin_y", "n", "x_centroid", "y_centroid", "meta_id"]
+    for s in ("a", "b", None):
+        own = clusters.metatranscripts(pts.filter(F.col("slice").eqNullSafe(s)))
+        got = both.filter(F.col("slice").eqNullSafe(s)).drop("slice")
+        assert own.count() > 20 and own.exceptAll(got).isEmpty() and got.exceptAll(own).isEmpty()
+    with pytest.raises(ValueError):
+        graph.graph_edges(spark.createDataFrame([("a", "b", 1.0, False)], "g_a string, g_b string, Z double, keep boolean"), required=True)

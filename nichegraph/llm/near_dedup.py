@@ -28,6 +28,8 @@ SIMILARITY, LONG_SHINGLE, BANDS, ROWS = 0.8, 5, 28, 7
 SLACK = 0.115
 #: Texts of a band, and bytes of a group's texts, of a part: a task compares two parts. Rows and bytes of tasks put together.
 BAND_PART, TEXT_PART, BUCKET_ROWS = 4096, 8 << 20, 20_000
+#: Bits of the filter that texts pass on their way to the groups: 8 MB, whatever the size of the corpus.
+FILTER_BITS = 1 << 26
 #: Fingerprints of a group (the groups are few for small inputs and at most MOST_GROUPS), children of a node, queries descended at once.
 GROUP, MOST_GROUPS, FANOUT, AT_ONCE = 8192, 65_536, 16, 1024
 #: Visitors of a group in one task, as a multiple of GROUP.
@@ -346,6 +348,19 @@ def candidates(signed: DataFrame, similarity: float) -> DataFrame:
     return there.join(signed.select("key", "sketch"), "key").groupBy("bucket").applyInPandas(run, "a string, b string").distinct()
 
 
+def among(rows: DataFrame, keys: DataFrame, bits: int = FILTER_BITS) -> DataFrame:
+    """rows whose key is in keys, and some whose key isn't: those that share one of `bits` hashes with one that is.
+
+    The filter is a table of bitmaps of a fixed size, sent to where the rows are, so that few rows need be shuffled to the
+    join that decides.
+    """
+    number = F.pmod(F.xxhash64("key"), F.lit(bits)) + 1
+    filled = keys.select(number.alias("number")).groupBy(F.bitmap_bucket_number("number").alias("filter")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("number")).alias("bits"))
+    at = F.bitmap_bit_position(number)
+    byte = F.conv(F.hex(F.substring("bits", F.floor(at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    return rows.withColumn("filter", F.bitmap_bucket_number(number)).join(F.broadcast(filled), "filter").filter(F.getbit(byte, (at % 8).cast("int")) == 1).drop("filter", "bits")
+
+
 def similar_links(signed: DataFrame, texts: DataFrame, similarity: float, shingle: int) -> DataFrame:
     """Links (a, b) of keys whose components are those of all candidate pairs with at least this Jaccard similarity, exactly computed.
 
@@ -361,7 +376,7 @@ def similar_links(signed: DataFrame, texts: DataFrame, similarity: float, shingl
     bytes_all = groups.agg(F.sum(F.col("size") * F.greatest(F.col("parts") - 1, F.lit(1)))).first()[0]
     if bytes_all is None:
         return signed.select(F.col("key").alias("a"), F.col("key").alias("b")).limit(0)
-    some = texts.join(groups.select("key"), "key", "left_semi").dropDuplicates(["key"])
+    some = among(texts, groups.select("key")).dropDuplicates(["key"])
     rows = _tasks(groups.select("key", "root", "part", "parts"), "root", max(1, bytes_all // TEXT_PART)).join(some, "key")
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:

@@ -113,3 +113,13 @@ def test_op8_linked_passes_over_no_link():
     for i, j in near_dedup.linked(200, lambda i, others: near[i, others]):
         near_dedup.unite(got, np.array([i]), np.array([j]))
     assert (got == want).all()
+
+
+def test_op8_filter_lets_all_keys_pass_and_few_others(spark):
+    rows = spark.range(5000).selectExpr("md5(cast(id as string)) AS key", "id", "'x' AS text")
+    keys = rows.filter("id % 50 = 0").select("key")
+    few = near_dedup.among(rows, keys)
+    assert few.columns == rows.columns and keys.exceptAll(few.select("key")).isEmpty() and few.count() < 110
+    crowded = near_dedup.among(rows, keys, 1 << 9)
+    assert keys.exceptAll(crowded.select("key")).isEmpty() and 100 < crowded.count() < 5000
+    assert near_dedup.among(rows, keys.limit(0)).isEmpty()

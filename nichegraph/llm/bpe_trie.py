@@ -18,7 +18,6 @@ import hashlib
 import json
 import os.path
 import re
-import sys
 import unicodedata
 from collections.abc import Callable, Iterable, Iterator
 
@@ -58,17 +57,16 @@ def _sizes(tokens: dict[bytes, int]) -> dict[bytes, tuple[int, ...]]:
     return {e: tuple(sorted(n, reverse=True)) for e, n in out.items()}
 
 
-@functools.lru_cache(maxsize=1)
-def unassigned() -> re.Pattern:
-    """A character that Python's tables don't know."""
-    gaps, start = [], None
-    for c in range(sys.maxunicode + 2):
-        if c <= sys.maxunicode and unicodedata.category(chr(c)) == "Cn":
-            start = c if start is None else start
-        elif start is not None:
-            gaps.append(f"\\U{start:08x}-\\U{c - 1:08x}")
-            start = None
-    return re.compile(f"[{''.join(gaps)}]")
+#: Characters met so far, by whether Python's tables know them.
+MET: dict[bool, set[str]] = {True: set(), False: set()}
+
+
+def unassigned(text: str) -> set[str]:
+    """The text's characters that Python's tables don't know; each character is looked up once."""
+    chars = set(text)
+    for c in chars - MET[True] - MET[False]:
+        MET[unicodedata.category(c) != "Cn"].add(c)
+    return chars & MET[False]
 
 
 @functools.lru_cache(maxsize=100_000)
@@ -188,17 +186,17 @@ class Vocabulary:
                 out.append(part)
             elif part:
                 plain = part if part.isascii() else unicodedata.normalize("NFC", part).replace("\u03a3", "\u03c3")
-                if not plain.isascii() and unassigned().search(plain):
-                    plain = unassigned().sub(lambda m: newer(m[0])[0], plain)
+                if not plain.isascii() and (odd := unassigned(plain)):
+                    plain = plain.translate({ord(c): newer(c)[0] for c in odd})
                 # split() alone takes four controls for white space too, which have no such property
                 out += [c for c in self.space.split(plain.lower()) if c] if SEPARATORS.search(plain) else plain.lower().split()
         return out
 
     def words(self, chunk: str) -> list[str]:
         """The words of a chunk; characters that Python doesn't know count as their class."""
-        if chunk.isascii() or not unassigned().search(chunk):
+        if chunk.isascii() or not (odd := unassigned(chunk)):
             return self.split.findall(chunk)
-        return [chunk[m.start() : m.end()] for m in self.split.finditer(unassigned().sub(lambda m: newer(m[0])[1], chunk))]
+        return [chunk[m.start() : m.end()] for m in self.split.finditer(chunk.translate({ord(c): newer(c)[1] for c in odd}))]
 
     def learn(self, chunks: set[str]) -> None:
         """Encodes the chunks that aren't known yet by their distinct words."""

@@ -226,25 +226,29 @@ def classes(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     return shared.with_class(rows, one, "code").select("doc_id", text, "component_id", "root")
 
 
-def signatures(text: Column, shingle: int, bands: int = BANDS, rows: int = ROWS) -> Column:
-    """(bands: a 64-bit hash of each band's minima of the shingles' hashes; sketch: a byte of every minimum). Texts without words have none."""
+def signatures(text: Column, shingle: int, coded: bool = False, bands: int = BANDS, rows: int = ROWS) -> Column:
+    """(bands: a 64-bit hash of each band's minima of the shingles' hashes; sketch: a byte of every minimum; code: the fingerprint, if asked for).
 
-    @F.pandas_udf("struct<bands:array<long>,sketch:binary>")
+    Texts without words have no bands.
+    """
+
+    @F.pandas_udf("struct<bands:array<long>,sketch:binary,code:long>")
     def run(t: pd.Series) -> pd.DataFrame:
         draw = np.random.default_rng(SEED)
         by, plus = (draw.integers(0, 1 << 63, (bands * rows, 1), dtype=np.uint64) for _ in range(2))
         by, out = by * np.uint64(2) + np.uint64(1), []
         for x in t:
-            h = shingles(x, shingle)
+            h, code = shingles(x, shingle), simhash(x) if coded else None
+            code = code if code is None or code < 1 << 63 else code - (1 << 64)
             if not len(h):
-                out.append(([], b""))
+                out.append(([], b"", code))
                 continue
             least = np.full(bands * rows, (1 << 32) - 1, dtype=np.uint64)
             for i in range(0, len(h), 4096):
                 least = np.minimum(least, ((h[i : i + 4096] * by + plus) >> np.uint64(32)).min(1))
             least = least.astype("<u4")
-            out.append(([xxhash.xxh64_intdigest(b.tobytes(), k) - (1 << 63) for k, b in enumerate(least.reshape(bands, rows))], (least & 255).astype(np.uint8).tobytes()))
-        return pd.DataFrame(out, columns=["bands", "sketch"])
+            out.append(([xxhash.xxh64_intdigest(b.tobytes(), k) - (1 << 63) for k, b in enumerate(least.reshape(bands, rows))], (least & 255).astype(np.uint8).tobytes(), code))
+        return pd.DataFrame(out, columns=["bands", "sketch", "code"]).astype({"code": "Int64"})
 
     return run(text)
 
@@ -396,10 +400,9 @@ def similar_classes(docs: DataFrame, similarity: float = SIMILARITY, shingle: in
     they are confirmed exactly. With a radius, texts whose fingerprints are within it are linked too, by the index,
     whatever their similarity.
     """
-    code = F.lit(None).cast("long") if radius is None else code_of(F.col("text"))
-    rows = shared.written(shared.texts(docs).select("doc_id", F.md5("text").alias("key"), F.octet_length("text").cast("long").alias("size"), code.alias("code"), signatures(F.col("text"), shingle).alias("signature")))
-    keys = rows.groupBy("key").agg(F.min("doc_id").alias("least"), F.count("*").alias("n"), F.first("size").alias("size"), F.first("code").alias("code"), F.first("signature").alias("signature"))
-    keys = shared.written(keys.select("key", "least", "n", "size", "code", "signature.bands", "signature.sketch"))
+    rows = shared.written(shared.texts(docs).select("doc_id", F.md5("text").alias("key"), F.octet_length("text").cast("long").alias("size"), signatures(F.col("text"), shingle, radius is not None).alias("signature")))
+    keys = rows.groupBy("key").agg(F.min("doc_id").alias("least"), F.count("*").alias("n"), F.first("size").alias("size"), F.first("signature").alias("signature"))
+    keys = shared.written(keys.select("key", "least", "n", "size", "signature.*"))
     links = similar_links(keys, shared.texts(docs).select(F.md5("text").alias("key"), "text"), similarity, shingle)
     if radius is not None:
         links = links.union(fingerprint_links(keys.select("key", "code"), radius))

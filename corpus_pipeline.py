@@ -10,6 +10,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 from nichegraph.llm import bpe_trie, mixing, near_dedup, quality_rules, secret_scan, shared
 
+#: Characters of words that a worker of the last stage keeps, and of text that it encodes at once: fewer than bpe_trie's, as
+#: the workers live on beside the other stages of a session.
+KEPT_CHARS, CHARS = 10_000_000, 1_000_000
+
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier, trained on labels, rejects go."""
@@ -33,7 +37,7 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as BPE tokens: their number, and digests of the ids and of the decoded text."""
-    return bpe_trie.digests(docs)
+    return bpe_trie.digests(docs, kept_chars=KEPT_CHARS, chars=CHARS)
 
 
 STAGES = [("quality", quality), ("near_duplicates", near_duplicates), ("secrets", secrets), ("mixture", mixture), ("tokens", tokens)]

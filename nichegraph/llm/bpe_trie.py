@@ -81,7 +81,8 @@ def newer(c: str) -> tuple[str, str]:
 class Vocabulary:
     """Tokens, merges and the special tokens of a file; encodes sorted distinct words."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, kept_chars: int = KEPT_CHARS):
+        self.kept_chars = kept_chars
         data = json.load(open(path, encoding="utf-8"))
         model, byte = data["model"], byte_symbols()
         self.end = model["end_of_word_suffix"]
@@ -201,7 +202,7 @@ class Vocabulary:
     def learn(self, chunks: set[str]) -> None:
         """Encodes the chunks that aren't known yet by their distinct words."""
         known = self.known
-        if self.held > KEPT_CHARS:
+        if self.held > self.kept_chars:
             known.clear()
             self.held = 0
         known |= {t: (str(i), t) for t, i in self.specials.items()}
@@ -227,9 +228,9 @@ class Vocabulary:
 
 
 @functools.lru_cache(maxsize=1)
-def _vocabulary(path: str) -> Vocabulary:
+def _vocabulary(path: str, kept_chars: int) -> Vocabulary:
     """A worker's vocabulary, with the words that its tasks have met."""
-    return Vocabulary(path)
+    return Vocabulary(path, kept_chars)
 
 
 def encoded(docs: DataFrame, path: str | None = None) -> DataFrame:
@@ -237,23 +238,27 @@ def encoded(docs: DataFrame, path: str | None = None) -> DataFrame:
     return _mapped(docs, path, "ids string, decoded string", lambda a, b: (a, b))
 
 
-def digests(docs: DataFrame, path: str | None = None) -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256) per document, null texts as empty. Repeated rows stay."""
+def digests(docs: DataFrame, path: str | None = None, kept_chars: int = KEPT_CHARS, chars: int = CHARS) -> DataFrame:
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256) per document, null texts as empty. Repeated rows stay.
+
+    kept_chars, chars: what a worker holds, as KEPT_CHARS and CHARS; the rows don't depend on them. Workers keep it while
+    later stages run in them.
+    """
     sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
-    return _mapped(docs, path, "n_tokens long, ids_sha256 string, decoded_sha256 string", lambda a, b: (a.count(" ") + 1 if a else 0, sha(a), sha(b)))
+    return _mapped(docs, path, "n_tokens long, ids_sha256 string, decoded_sha256 string", lambda a, b: (a.count(" ") + 1 if a else 0, sha(a), sha(b)), kept_chars, chars)
 
 
-def _mapped(docs: DataFrame, path: str | None, schema: str, row: Callable[[str, str], tuple]) -> DataFrame:
+def _mapped(docs: DataFrame, path: str | None, schema: str, row: Callable[[str, str], tuple], kept_chars: int = KEPT_CHARS, at_once: int = CHARS) -> DataFrame:
     path = path or default_path()
     names = [f.split()[0] for f in schema.split(", ")]
 
     @F.pandas_udf(schema)
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        vocabulary = _vocabulary(path)
+        vocabulary = _vocabulary(path, kept_chars)
         for texts in batches:
             rows, some, chars = [], [], 0
             for t in [*texts, None]:
-                if some and (t is None or chars + len(t) > CHARS):
+                if some and (t is None or chars + len(t) > at_once):
                     rows += [row(a, b) for a, b in vocabulary.encode(some)]
                     some, chars = [], 0
                 if t is not None:

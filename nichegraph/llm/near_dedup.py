@@ -28,6 +28,8 @@ SIMILARITY, LONG_SHINGLE, BANDS, ROWS = 0.8, 5, 28, 7
 SLACK = 0.115
 #: Texts of a band, and bytes of a group's texts, of a part: a task compares two parts. Rows and bytes of tasks put together.
 BAND_PART, TEXT_PART, BUCKET_ROWS = 4096, 8 << 20, 20_000
+#: Rows with their signatures, some 600 bytes each, that are worth a file.
+SIGNED_A_FILE = 5000
 #: Bits of the filter that texts pass on their way to the groups: 8 MB, whatever the size of the corpus.
 FILTER_BITS = 1 << 26
 #: Fingerprints of a group (the groups are few for small inputs and at most MOST_GROUPS), children of a node, queries descended at once.
@@ -331,9 +333,10 @@ def candidates(signed: DataFrame, similarity: float) -> DataFrame:
     dealt to pairs of parts.
     """
     left = shared.written(signed.select("key", F.explode("bands").alias("band")))
+    n = left.count()
     sizes = left.groupBy("band").agg(F.count("*").alias("n"), F.ceil(F.count("*") / BAND_PART).cast("int").alias("parts")).filter("n > 1")
-    there = shared.with_class(left, sizes, "band").withColumn("part", F.pmod(F.xxhash64("key"), F.col("parts")).cast("int"))
-    there = shared.written(_tasks(there, "band", max(1, left.count() // BUCKET_ROWS)))
+    there = shared.with_class(left, sizes, "band", few_files=True).withColumn("part", F.pmod(F.xxhash64("key"), F.col("parts")).cast("int"))
+    there = shared.written(_tasks(there, "band", max(1, n // BUCKET_ROWS)), rows=n)
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         keys, out = rows["key"].to_numpy(), []
@@ -372,11 +375,13 @@ def similar_links(signed: DataFrame, texts: DataFrame, similarity: float, shingl
     are read, once each. A group of many bytes is dealt to pairs of parts, small groups share tasks. The number of
     steps doesn't depend on the data, but for the rounds in which components join.
     """
-    groups = shared.written(shared.components(candidates(signed, similarity)).withColumnRenamed("node", "key"))
+    n = signed.count()
+    groups = shared.written(shared.components(candidates(signed, similarity), rows=n).withColumnRenamed("node", "key"), rows=n)
+    n = groups.count()
     groups = groups.join(signed.select("key", "size"), "key")
     mass = groups.groupBy("root").agg(F.count("*").alias("n"), F.ceil(F.sum("size") / TEXT_PART).cast("int").alias("parts"))
-    groups = shared.with_class(groups, mass, "root").withColumn("part", F.pmod(F.xxhash64("key", "root"), F.col("parts")).cast("int"))
-    groups = shared.written(groups)
+    groups = shared.with_class(groups, mass, "root", few_files=True).withColumn("part", F.pmod(F.xxhash64("key", "root"), F.col("parts")).cast("int"))
+    groups = shared.written(groups, rows=n)
     bytes_all = groups.agg(F.sum(F.col("size") * F.greatest(F.col("parts") - 1, F.lit(1)))).first()[0]
     if bytes_all is None:
         return signed.select(F.col("key").alias("a"), F.col("key").alias("b")).limit(0)
@@ -402,19 +407,20 @@ def similar_classes(docs: DataFrame, similarity: float = SIMILARITY, shingle: in
     """
     rows = shared.written(shared.texts(docs).select("doc_id", F.md5("text").alias("key"), F.octet_length("text").cast("long").alias("size"), signatures(F.col("text"), shingle, radius is not None).alias("signature")))
     keys = rows.groupBy("key").agg(F.min("doc_id").alias("least"), F.count("*").alias("n"), F.first("size").alias("size"), F.first("signature").alias("signature"))
-    keys = shared.written(keys.select("key", "least", "n", "size", "signature.*"))
+    keys = shared.written(keys.select("key", "least", "n", "size", "signature.*"), rows=rows.count(), rows_a_file=SIGNED_A_FILE)
+    n = keys.count()
     links = similar_links(keys, shared.texts(docs).select(F.md5("text").alias("key"), "text"), similarity, shingle)
     if radius is not None:
         links = links.union(fingerprint_links(keys.select("key", "code"), radius))
-    found = shared.components(links).withColumnRenamed("node", "key")
-    one = shared.written(keys.join(found, "key", "left").select("key", "n", "least", F.coalesce("root", "key").alias("root")))
+    found = shared.components(links, rows=n).withColumnRenamed("node", "key")
+    one = shared.written(keys.join(found, "key", "left").select("key", "n", "least", F.coalesce("root", "key").alias("root")), rows=n)
     smallest = one.groupBy("root").agg(F.min("least").alias("component_id"))
-    return shared.with_class(rows.select("doc_id", "key"), one.join(smallest, "root").select("key", "n", "root", "component_id"), "key").select("doc_id", "key", "component_id", "root")
+    return shared.with_class(rows.select("doc_id", "key"), one.join(smallest, "root").select("key", "n", "root", "component_id"), "key", few_files=True).select("doc_id", "key", "component_id", "root")
 
 
 def fingerprint_links(keys: DataFrame, radius: int = RADIUS) -> DataFrame:
     """Links (a, b) of keys, unique in (key, code), whose components are those of codes within the radius, equal ones included."""
-    codes = shared.written(keys.groupBy("code").agg(F.min("key").alias("first")))
+    codes = shared.written(keys.groupBy("code").agg(F.min("key").alias("first")), rows=keys.count())
     equal = keys.join(codes, "code").filter("key <> first").select(F.col("key").alias("a"), F.col("first").alias("b"))
     one, two = (codes.select(F.col("code").alias(k), F.col("first").alias(f"first_{k}")) for k in "ab")
     near = near_links(codes, radius).filter("a <> b").join(one, "a").join(two, "b").select(F.col("first_a").alias("a"), F.col("first_b").alias("b"))

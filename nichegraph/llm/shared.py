@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 #: A key with more than one of so many rows is joined where the rows are.
 HOT_SHARE = 10_000
+#: Rows of a few short columns that are worth a file of a written table.
+ROWS_A_FILE = 50_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -54,36 +56,45 @@ def fresh_dir(spark: SparkSession, kind: str) -> str:
     return f"{shared_dir(spark)}/{kind}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, compression: str = "snappy") -> DataFrame:
-    """df as a Parquet table in the shared folder: cuts the lineage and survives the loss of executors."""
+def written(df: DataFrame, compression: str = "snappy", rows: int | None = None, rows_a_file: int = ROWS_A_FILE) -> DataFrame:
+    """df as a Parquet table in the shared folder: cuts the lineage and survives the loss of executors.
+
+    rows: about how many it has, if known. The last stage then has a task for each rows_a_file of them at most, so that a
+    small table isn't a file for every shuffle partition. Only for a df whose own work stands before its last shuffle.
+    """
+    if rows is not None:
+        df = df.coalesce(max(1, -(-rows // rows_a_file)))
     path = fresh_dir(df.sparkSession, "table")
     df.write.parquet(path, compression=compression)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def with_class(rows: DataFrame, of: DataFrame, key: str) -> DataFrame:
+def with_class(rows: DataFrame, of: DataFrame, key: str, few_files: bool = False) -> DataFrame:
     """rows joined by the key to `of`, which has a row and the number n of rows for each key.
 
     Keys with more than a HOT_SHARE-th of all rows, HOT_SHARE at most, are sent to the rows where they are; all
-    other keys deal out so few rows each that no task gets many more than others.
+    other keys deal out so few rows each that no task gets many more than others. few_files: `of` is written by as few
+    tasks as rows' number asks for.
     """
-    of = written(of)
-    hot = of.filter(F.col("n") > max(1, rows.count() // HOT_SHARE))
+    total = rows.count()
+    of = written(of, rows=total if few_files else None)
+    hot = of.filter(F.col("n") > max(1, total // HOT_SHARE))
     rows = rows.join(F.broadcast(hot.withColumn("hot", F.lit(True)).drop("n")), key, "left")
     names = [c for c in of.columns if c not in (key, "n")]
     rest = rows.filter("hot is null").drop("hot", *names).join(of.drop("n"), key)
     return rows.filter("hot").drop("hot").unionByName(rest.select(*rows.drop("hot").columns))
 
 
-def components(links: DataFrame) -> DataFrame:
+def components(links: DataFrame, rows: int | None = None) -> DataFrame:
     """Connected components of links (a, b): one row (node, root) per linked node, root the smallest node.
 
     Alternates large-star and small-star contraction; each round is written to the shared folder. A node's
     links are read by joins that Spark may split, never gathered into one row. Null ends and loops are left
-    out. Ends when a round changes nothing.
+    out. Ends when a round changes nothing. rows: about how many distinct links there are, if known; rounds never
+    add to their number.
     """
     ends = links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    now = written(ends.filter("a is not null and b is not null and a <> b").distinct())
+    now = written(ends.filter("a is not null and b is not null and a <> b").distinct(), rows=rows)
 
     def sign(df: DataFrame):
         return df.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
@@ -93,10 +104,10 @@ def components(links: DataFrame) -> DataFrame:
         both = now.union(now.select("b", "a"))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
         large = both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        large = written(large.distinct())
+        large = written(large.distinct(), rows=was[0])
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        now = written(small.union(least).distinct())
+        now = written(small.union(least).distinct(), rows=was[0])
         if (new := sign(now)) == was:
             break
         was = new

@@ -333,10 +333,9 @@ def candidates(signed: DataFrame, similarity: float) -> DataFrame:
     dealt to pairs of parts.
     """
     left = shared.written(signed.select("key", F.explode("bands").alias("band")))
-    n = left.count()
     sizes = left.groupBy("band").agg(F.count("*").alias("n"), F.ceil(F.count("*") / BAND_PART).cast("int").alias("parts")).filter("n > 1")
     there = shared.with_class(left, sizes, "band", few_files=True).withColumn("part", F.pmod(F.xxhash64("key"), F.col("parts")).cast("int"))
-    there = shared.written(_tasks(there, "band", max(1, n // BUCKET_ROWS)), rows=n)
+    there = shared.written(_tasks(there, "band", max(1, left.count() // BUCKET_ROWS)))
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         keys, out = rows["key"].to_numpy(), []
@@ -376,8 +375,7 @@ def similar_links(signed: DataFrame, texts: DataFrame, similarity: float, shingl
     steps doesn't depend on the data, but for the rounds in which components join.
     """
     n = signed.count()
-    groups = shared.written(shared.components(candidates(signed, similarity), rows=n).withColumnRenamed("node", "key"), rows=n)
-    n = groups.count()
+    groups = shared.written(shared.components(candidates(signed, similarity)).withColumnRenamed("node", "key"), rows=n)
     groups = groups.join(signed.select("key", "size"), "key")
     mass = groups.groupBy("root").agg(F.count("*").alias("n"), F.ceil(F.sum("size") / TEXT_PART).cast("int").alias("parts"))
     groups = shared.with_class(groups, mass, "root", few_files=True).withColumn("part", F.pmod(F.xxhash64("key", "root"), F.col("parts")).cast("int"))
@@ -412,7 +410,7 @@ def similar_classes(docs: DataFrame, similarity: float = SIMILARITY, shingle: in
     links = similar_links(keys, shared.texts(docs).select(F.md5("text").alias("key"), "text"), similarity, shingle)
     if radius is not None:
         links = links.union(fingerprint_links(keys.select("key", "code"), radius))
-    found = shared.components(links, rows=n).withColumnRenamed("node", "key")
+    found = shared.components(links).withColumnRenamed("node", "key")
     one = shared.written(keys.join(found, "key", "left").select("key", "n", "least", F.coalesce("root", "key").alias("root")), rows=n)
     smallest = one.groupBy("root").agg(F.min("least").alias("component_id"))
     return shared.with_class(rows.select("doc_id", "key"), one.join(smallest, "root").select("key", "n", "root", "component_id"), "key", few_files=True).select("doc_id", "key", "component_id", "root")

@@ -59,8 +59,8 @@ def fresh_dir(spark: SparkSession, kind: str) -> str:
 def written(df: DataFrame, compression: str = "snappy", rows: int | None = None, rows_a_file: int = ROWS_A_FILE) -> DataFrame:
     """df as a Parquet table in the shared folder: cuts the lineage and survives the loss of executors.
 
-    rows: about how many it has, if known. The last stage then has a task for each rows_a_file of them at most, so that a
-    small table isn't a file for every shuffle partition. Only for a df whose own work stands before its last shuffle.
+    rows: about how many its last stage reads, if known. That stage then has a task for each rows_a_file of them at most, so
+    that a small table isn't a file for every shuffle partition.
     """
     if rows is not None:
         df = df.coalesce(max(1, -(-rows // rows_a_file)))
@@ -85,16 +85,15 @@ def with_class(rows: DataFrame, of: DataFrame, key: str, few_files: bool = False
     return rows.filter("hot").drop("hot").unionByName(rest.select(*rows.drop("hot").columns))
 
 
-def components(links: DataFrame, rows: int | None = None) -> DataFrame:
+def components(links: DataFrame) -> DataFrame:
     """Connected components of links (a, b): one row (node, root) per linked node, root the smallest node.
 
     Alternates large-star and small-star contraction; each round is written to the shared folder. A node's
     links are read by joins that Spark may split, never gathered into one row. Null ends and loops are left
-    out. Ends when a round changes nothing. rows: about how many distinct links there are, if known; rounds never
-    add to their number.
+    out. Ends when a round changes nothing. Rounds never add to the number of links.
     """
     ends = links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    now = written(ends.filter("a is not null and b is not null and a <> b").distinct(), rows=rows)
+    now = written(ends.filter("a is not null and b is not null and a <> b").distinct())
 
     def sign(df: DataFrame):
         return df.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()

@@ -5,15 +5,21 @@ The graph has a vertex per gene, some thousands at most, whatever the number of
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from nichegraph.operators import gauss
 from nichegraph.sources.cuts import written
 
 #: Vertices that a dense kernel takes; lengths of paths that differ by less are equal.
 MOST_VERTICES, TIE = 8_000, 1e-12
+#: Points of a cluster that are all compared with each other.
+FEW_POINTS = 500
 
 
 def graph_edges(pairs: DataFrame, weight: str = "Z", self_loops: bool = False, required: bool = False) -> DataFrame:
@@ -276,17 +282,29 @@ def density_peaks(points: DataFrame, clusters: list[int] | None = None) -> DataF
     scaled by n ** (-1/3); a constant factor doesn't move the peak and is left out. Of equal densities the first
     gene by name is taken. Points without coordinates are left out; so are clusters whose points are on one line,
     as their covariance has no inverse. clusters: only these.
+
+    In clusters of more than FEW_POINTS series rule out all places but those that may be the densest. These, and all places of
+    smaller clusters, are compared by sums over every point of the cluster. Places of one density to nine digits,
+    such as a ring's, are all kept for that.
     """
     p = points.filter("x is not null and y is not null and not isnan(x) and not isnan(y) and cluster is not null").select("cluster", "gene", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))
     if clusters is not None:
         p = p.filter(F.col("cluster").isin(clusters))
-    of = p.groupBy("cluster").agg(F.count("*").alias("n"), F.var_samp("x").alias("xx"), F.var_samp("y").alias("yy"), F.covar_samp("x", "y").alias("xy")).filter("n > 3")
+    of = p.groupBy("cluster").agg(F.count("*").alias("n"), F.var_samp("x").alias("xx"), F.var_samp("y").alias("yy"), F.covar_samp("x", "y").alias("xy"), F.avg("x").alias("mx"), F.avg("y").alias("my")).filter("n > 3")
     scale = F.pow(F.col("n").cast("double"), F.lit(-1 / 3))
     det = F.col("xx") * F.col("yy") - F.col("xy") * F.col("xy")
-    of = of.filter(det > 1e-12 * F.col("xx") * F.col("yy")).select("cluster", "n", *((F.col(c) / det / scale).alias(c) for c in ("xx", "yy", "xy")))
-    other = p.select("cluster", F.col("x").alias("ox"), F.col("y").alias("oy"))
+    of = of.filter(det > 1e-12 * F.col("xx") * F.col("yy")).select("cluster", "n", "mx", "my", (1e-9 + 1e-14 * (F.col("xx") * F.col("yy") / det)).alias("slack"), F.try_divide(F.lit(1.0), F.sqrt(F.col("yy") * scale)).alias("up"), *((F.col(c) / det / scale).alias(c) for c in ("xx", "yy", "xy")))
+    # equal rows count by their number squared, as each of them meets all of them
+    same = p.groupBy("cluster", "x", "y", "gene").agg(F.count("*").alias("k")).groupBy("cluster", "x", "y").agg(F.sum("k").alias("m"), F.min(F.struct((-F.col("k")).alias("less"), "gene")).alias("top"))
+    dx, dy = F.col("x") - F.col("mx"), F.col("y") - F.col("my")
+    across = F.sqrt("yy") * dx - F.try_divide("xy", F.sqrt("yy")) * dy
+    usual = reduce(and_, (F.col(c).between(1e-100, 1e100) for c in ("xx", "yy", "up")))  # doubles hold their products
+    many = (F.col("n") > FEW_POINTS) & F.coalesce(usual, F.lit(False))
+    places = written(same.join(of, "cluster").select("cluster", "x", "y", "m", (-F.col("top.less")).alias("k"), "top.gene", "n", "xx", "yy", "xy", "slack", many.alias("many"), across.alias("u"), (F.col("up") * dy).alias("v")))
+    asked = places.filter("not many").unionByName(gauss.may_be_densest(places.filter("many")))
+    other = places.select("cluster", F.col("x").alias("ox"), F.col("y").alias("oy"), F.col("m").alias("om"))
     dx, dy = F.col("x") - F.col("ox"), F.col("y") - F.col("oy")
     kernel = F.exp(-0.5 * (F.col("yy") * dx * dx - 2 * F.col("xy") * dx * dy + F.col("xx") * dy * dy))
-    near = p.join(of, "cluster").join(other, "cluster").groupBy("cluster", "gene", "x", "y", "n").agg(F.sum(kernel).alias("density"))
+    near = asked.join(other, "cluster").groupBy("cluster", "gene", "x", "y", "n").agg(F.sum(F.col("k") * F.col("om") * kernel).alias("density"))
     top = near.groupBy("cluster").agg(F.min(F.struct((-F.round("density", 9)).alias("less"), "gene", "x", "y", "n")).alias("top"))
     return top.select("cluster", "top.gene", "top.x", "top.y", "top.n")
